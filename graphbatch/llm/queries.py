@@ -52,7 +52,7 @@ OP8_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
      f AS (SELECT x, min(page_id) AS m FROM p GROUP BY x)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            1 + ((('0x' || substr(p.x, CAST(5 * (i // 4) + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
        CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN m <> page_id THEN m END AS refers_to
