@@ -17,6 +17,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.ngram_join import similar_components
+
+    return similar_components(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphbatch.llm.bpe import encode_texts
 
@@ -45,7 +51,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_bpe, op8_warc, op9_url_filters, op10_token_output)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_ngram_join, op7_bpe, op8_warc, op9_url_filters, op10_token_output)}
 
 
 OP8_SQL = """
@@ -71,5 +77,20 @@ SELECT b.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM b LEFT
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))
+                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(sh) AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
+g AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id WHERE r.root < g.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op9_url_filters": OP9_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op8_warc": OP8_SQL, "op9_url_filters": OP9_SQL}
