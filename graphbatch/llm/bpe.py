@@ -205,8 +205,10 @@ def encode_texts(
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = dict(docs.dtypes)[id_col]
-    if digests_only and head.count() == table.count():  # no word is outside the head: nothing to join in a shuffle
-        return _digests(rows, known, path, id_type)
+    if head.count() == table.count():  # no word is outside the head: nothing to join in a shuffle
+        if digests_only:
+            return _digests(rows, known, path, id_type)
+        return _with_length(rows.mapInPandas(lambda batches: (b[["doc_id", "ids"]] for b in known(batches)), f"doc_id {id_type}, ids binary"))
     parts = write_and_reread(rows.mapInPandas(known, f"row long, doc_id {id_type}, ids binary, gaps array<long>, missing array<string>"), "bpe-parts")
     whole = parts.where(F.col("gaps").isNull()).select("doc_id", "ids")
     open_rows = parts.where(F.col("gaps").isNotNull())
@@ -228,6 +230,10 @@ def encode_texts(
     encoded = whole.unionByName(filled)
     if digests_only:
         return digest_rows(encoded, path)
+    return _with_length(encoded)
+
+
+def _with_length(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

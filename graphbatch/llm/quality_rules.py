@@ -28,14 +28,17 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word_chars", "symbols_per_word", "dup_lines_per_100_words", "repeat_share", "distinct_share", "upper_share")
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, the base counts and the learned list's features.
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: the id, the base counts and the learned list's features; with ``carry`` also the whole row as ``_row``.
 
     ``n_repeat_words`` counts the positions inside a 3-word window that occurs twice or more. Windows are compared
     by 64-bit hash within one text; only texts that do repeat one go through the position sort.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    row = [F.struct(*(F.col(c) for c in docs.columns)).alias("_row")] if carry else []
+    kept = ["_row"] if carry else []
     step = docs.select(
+        *row,
         F.col(id_col).alias("doc_id"),
         words_of(F.col(text_col)).alias("_w"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -44,6 +47,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     n = F.size("_w")
     step = step.select(
+        *kept,
         "doc_id",
         "n_symbols",
         "_upper",
@@ -60,6 +64,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covered = F.aggregate(F.transform("_p", lambda x, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_p"), k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     per_word = lambda x: F.when(F.col("n_words") > 0, x / F.col("n_words")).otherwise(F.lit(0.0))
     return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select(
+        *kept,
         "doc_id",
         *COUNTS,
         per_word(F.col("word_chars")).alias("mean_word_chars"),
@@ -215,9 +220,20 @@ def learn_decision_list(
     return DecisionList(tuple(rules))
 
 
+def _learn(docs: DataFrame, labels: DataFrame, **options) -> DecisionList:
+    wanted = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    labelled = docs.join(F.broadcast(bounded_sample(wanted, F.col("doc_id"), options.get("sample_limit", 20_000))), "doc_id", "left_semi")
+    return learn_decision_list(text_statistics(labelled), labels, **options)
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the base counts, base_failed, rule (0: none), kept; one row per input row."""
-    labelled = docs.join(F.broadcast(bounded_sample(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct(), F.col("doc_id"), options.get("sample_limit", 20_000))), "doc_id", "left_semi")
-    learned = learn_decision_list(text_statistics(labelled), labels, **options)
+    learned = _learn(docs, labels, **options)
     out = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", learned.rule_index())
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that pass the base rule and the learned list, all columns as they were; no join, no shuffle of texts."""
+    learned = _learn(docs, labels, **options)
+    return text_statistics(docs, carry=True).where(~base_failed() & learned.keeps()).select("_row.*")

@@ -17,12 +17,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphbatch.llm.ngram_join import similar_components
 
     return similar_components(read_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.pii import pseudonymise
+
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.decontamination import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphbatch.llm.bpe import encode_texts
 
@@ -51,7 +81,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_ngram_join, op7_bpe, op8_warc, op9_url_filters, op10_token_output)}
+    ops = (op1_quality_rules, op2_toxicity, op3_ngram_join, op4_pii, op5_decontamination, op6_substring_dedup, op7_bpe, op8_warc, op9_url_filters, op10_token_output)
+    return {f.__name__: f for f in (*ops, pipeline)}
 
 
 OP8_SQL = """
