@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphbatch.llm.common import scratch_path, write_and_reread
+from graphbatch.llm.common import scratch_path, slices, write_and_reread
 from graphbatch.llm.digest_index import DigestIndex, build_index
 
 #: Below this code point the letter and number classes are the same in all Unicode versions in use.
@@ -118,7 +118,7 @@ class WordCoder:
         return out
 
 
-def distinct_words(docs: DataFrame, text_col: str, path: str, held: int = 300_000) -> DataFrame:
+def distinct_words(docs: DataFrame, text_col: str, path: str, held: int = 200_000) -> DataFrame:
     """(word, n) over all texts; a task sends on what it has counted whenever it holds ``held`` words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +181,7 @@ def encode_texts(
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, index = WordCoder.cached(path), DigestIndex.cached(uri, shards)
         kept: dict[str, bytes] = {}
-        for b in batches:
+        for b in slices(batches):
             out = {"ids": [], "gaps": [], "missing": []}
             split = [coder.split(t) for t in b["text"]]
             new = list({w for words in split for w in words if w not in kept})
@@ -199,7 +199,7 @@ def encode_texts(
                         runs.append(value)
                         at += len(value)
                 out["ids"].append(b"".join(runs)), out["gaps"].append(gaps), out["missing"].append(missing)
-            if len(kept) > 400_000:
+            if len(kept) > 300_000:
                 kept.clear()
             yield b[["row", "doc_id"]].assign(**out)
 

@@ -50,6 +50,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+"), "")
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in smaller pieces, so that what a task derives from whole texts stays small."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
     """At most ``limit`` rows, the same ones on every run: those whose key hashes lowest."""
     return df.orderBy(F.xxhash64(key), key).limit(limit)

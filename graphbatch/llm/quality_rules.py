@@ -128,7 +128,8 @@ def _bins(sample: DataFrame, features: Sequence[str], n_bins: int) -> dict[str,
     levels = [k / n_bins for k in range(1, n_bins)]
     low = lambda f: F.when(F.col("low") == 1, F.col(f))
     row = sample.agg(*(F.percentile_approx(f, levels, 10_000).alias(f) for f in features), *(F.percentile_approx(low(f), levels, 10_000).alias(f"low_{f}") for f in features)).first()
-    return {f: sorted({float(x) for x in (row[f] or []) + (row[f"low_{f}"] or [])}) for f in features}
+    seen = {f: sorted({float(x) for x in (row[f] or []) + (row[f"low_{f}"] or [])}) for f in features}
+    return {f: sorted({*v, *((a + b) / 2 for a, b in zip(v, v[1:], strict=False))}) for f, v in seen.items()}
 
 
 def _bin_of(value: Column, cuts: list[float]) -> Column:
@@ -236,4 +237,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass the base rule and the learned list, all columns as they were; no join, no shuffle of texts."""
     learned = _learn(docs, labels, **options)
-    return text_statistics(docs, carry=True).where(~base_failed() & learned.keeps()).select("_row.*")
+    # The row number keeps the filter above the statistics: pushed below, each of its terms would repeat their whole computation.
+    judged = text_statistics(docs, carry=True).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(~base_failed() & learned.keeps() & (F.col("_at") >= 0)).select("_row.*")
