@@ -123,7 +123,7 @@ def pack_small_groups(groups: DataFrame, cap: int) -> DataFrame:
     return _moved(groups, sizes.coalesce(1).mapInPandas(pack, "old long, new long"))
 
 
-def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, max_rounds: int = 400) -> DataFrame:
+def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 200_000, max_rounds: int = 400) -> DataFrame:
     """(node_id, group_id): as ``merge_by_outputs``, the bound being on the union of the groups' neighbour sets.
 
     A pair whose set sizes add up to more than int(cap 1.0005) is turned down at once. The size of a union is counted only for the
@@ -136,8 +136,14 @@ def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap
         sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
         s = lambda g: sizes.select(F.col("g").alias(g), F.col("size").alias(f"s_{g}"))  # noqa: E731,B023
         live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= quick).drop("s_gi", "s_gj"))
-        if live.isEmpty():
+        left = live.count()
+        if left == 0:
             return groups
+        if left <= finish_rows:
+            ends = live.select(F.col("gi").alias("g")).union(live.select("gj")).distinct()
+            open_sets = cut(sets.join(ends, "g", "left_semi"))
+            if open_sets.count() <= finish_rows:
+                return _moved(groups, _finish_aux(live, open_sets, cap, quick))
         top = cut(_dominant(live))
         both = top.join(sets.withColumnRenamed("g", "gi"), "gi").join(sets.withColumnRenamed("g", "gj"), ["gj", "node"]).groupBy("gi", "gj").agg(F.count("*").alias("shared"))
         judged = top.join(both, ["gi", "gj"], "left").join(s("gi"), "gi").join(s("gj"), "gj")
@@ -151,6 +157,35 @@ def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap
     raise RuntimeError(f"merging has not settled in {max_rounds} rounds")
 
 
+def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataFrame:
+    """(old, new) group ids after deciding the open pairs one by one; both tables are bounded by the caller."""
+    none = F.lit(None)
+    rows = live.select("i", "j", "w", "gi", "gj").union(sets.select("node", none.cast("long"), none.cast("double"), "g", none.cast("long")))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(batches), ignore_index=True)
+        aux = {int(g): set(part["i"].astype("i8")) for g, part in every[every["gj"].isna()].groupby("gi")}
+        parent, refused = {g: g for g in aux}, set()
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                g = parent[g]
+            return g
+
+        for r in every[every["gj"].notna()].sort_values(["w", "i", "j"], ascending=[False, True, True]).itertuples():
+            a, b = sorted((root(int(r.gi)), root(int(r.gj))))
+            if a == b or (a, b) in refused:
+                continue
+            if len(aux[a]) + len(aux[b]) <= quick and len(union := aux[a] | aux[b]) <= cap:
+                parent[b], aux[a] = a, union
+                del aux[b]
+            else:
+                refused.add((a, b))
+        yield pd.DataFrame({"old": list(parent), "new": [root(g) for g in parent]})
+
+    return rows.coalesce(1).mapInPandas(decide, "old long, new long")
+
+
 def pack_small_aux(groups: DataFrame, neighbors: DataFrame, cap: int) -> DataFrame:
     """(node_id, group_id): the two groups with the smallest neighbour sets are joined while the union stays within ``cap``; the first failure ends it.
 
