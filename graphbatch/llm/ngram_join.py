@@ -3,9 +3,10 @@
 1. One pass gives each text's set size and set digest; texts with equal sets form a class, and the smallest id stands for it.
 2. Each representative's shingles are hashed into a fixed number of groups; its group counts are a point. It is listed under its
    prefix: the shingles it would have to lose before falling below the threshold, rarest first. Linked texts share at least one.
-3. Points listed under one shingle are packed into R-trees (leaves of points sorted by set size, boxes of coordinate maxima). The
-   summed coordinate minima of two boxes, or two points, bound their overlap from above; only pairs whose bound reaches the
-   needed overlap survive. Lists longer than a block are cut into blocks, joined block by block.
+3. Lists with the same members count once. Points listed under one shingle are packed into R-trees (leaves of points sorted by set
+   size, boxes of coordinate maxima). The summed coordinate minima of two boxes, or two points, bound their overlap from above; only
+   pairs whose bound reaches the needed overlap survive. Lists longer than a block are cut into blocks, joined block by block. A pair
+   that shares several lists is taken from the first of them only.
 4. Surviving pairs are verified on whole texts. A first round follows, for each point, its best surviving partners only; this ties
    large groups of copies together. The last round takes every surviving pair whose ends are still in different components, so no link
    between different components is missed, and pairs inside a component, which change nothing, are never listed.
@@ -81,6 +82,23 @@ class CountVectorTree:
         return self.order[i], self.order[j], bound
 
 
+def shared_earlier(keys: np.ndarray, key: int) -> np.ndarray:
+    """Whether rows a and b of a list also share a list with a smaller key, as a square matrix."""
+    earlier = [k[k < key] for k in keys]
+    flat = np.concatenate(earlier)
+    if not len(flat):
+        return np.zeros((len(keys), len(keys)), bool)
+    known, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in earlier])
+    out = np.zeros((len(keys), len(keys)), bool)
+    for start in range(0, len(known), 512):  # a stripe of columns at a time
+        mine = (column >= start) & (column < start + 512)
+        m = np.zeros((len(keys), 512), np.float32)
+        m[row[mine], column[mine] - start] = 1
+        out |= m @ m.T > 0
+    return out
+
+
 def surviving_pairs(points: pd.DataFrame, percent: int, all_pairs: bool) -> pd.DataFrame:
     """Pairs (a < b) of points listed under one shingle whose bound reaches the threshold; ``points`` is sorted by list.
 
@@ -89,7 +107,8 @@ def surviving_pairs(points: pd.DataFrame, percent: int, all_pairs: bool) -> pd.D
     """
     ids, sizes, parts = points["rid"].to_numpy(), points["n"].to_numpy(), points["component"].to_numpy()
     vectors = np.frombuffer(b"".join(points["vec"]), "<u4").reshape(len(points), -1).astype(np.int32)
-    list_id = points["list"].to_numpy()
+    list_id, key, keys = points["list"].to_numpy(), points["key"].to_numpy(), points["keys"].to_numpy()
+    own, crossing = points["own"].to_numpy(), points["crossing"].to_numpy()
     borders = np.flatnonzero(np.r_[True, list_id[1:] != list_id[:-1]])
     lengths = np.diff(np.r_[borders, len(points)])
     left, right = [], []
@@ -101,14 +120,23 @@ def surviving_pairs(points: pd.DataFrame, percent: int, all_pairs: bool) -> pd.D
             right.append((at[:, None] + j).ravel())
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     bound = min_sum(vectors[i], vectors[j]) if len(i) else np.zeros(0, np.int64)
-    ok = bound >= needed_overlap(sizes[i] + sizes[j], percent)
-    found = [(i[ok], j[ok], bound[ok])]
+    ok = (bound >= needed_overlap(sizes[i] + sizes[j], percent)) & (parts[i] != parts[j])
+    i, j, bound = i[ok], j[ok], bound[ok]
+    earlier: dict[int, set[int]] = {}
+    fresh = np.ones(len(i), bool)
+    for q, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        for x in (a, b):
+            if x not in earlier:
+                earlier[x] = set(keys[x][keys[x] < key[x]].tolist())
+        fresh[q] = earlier[a].isdisjoint(earlier[b])
+    found = [(i[fresh], j[fresh], bound[fresh])]
     for at, m in zip(borders[lengths > LEAF], lengths[lengths > LEAF], strict=True):
         a, b, bound = CountVectorTree(vectors[at : at + m], sizes[at : at + m]).close_pairs(percent)
-        found.append((a + at, b + at, bound))
+        ok = (parts[at + a] != parts[at + b]) & ~shared_earlier(keys[at : at + m], key[at])[a, b]
+        found.append((a[ok] + at, b[ok] + at, bound[ok]))
     i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-    apart = parts[i] != parts[j]
-    i, j, bound = i[apart], j[apart], bound[apart]
+    met_here = ~crossing[i] | (own[i] != own[j])  # pairs of one block have a list of their own
+    i, j, bound = i[met_here], j[met_here], bound[met_here]
     likeness = bound / np.maximum(1, sizes[i] + sizes[j] - bound)
     if not all_pairs and len(i):
         # The best partner of each point within each list; ties go to the smaller id, so copies meet at one point.
@@ -225,12 +253,16 @@ def similar_components(
     points = write_and_reread(_points(firsts, words, percent, common), "ngram-points")
 
     listed = points.select("rid", F.explode("keys").alias("key"))
-    shared = listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    rows = listed.join(shared, "key").join(points.select("rid", "n", "vec"), "rid")
-    blocks = F.ceil(F.col("c") / block).cast("int")
+    member = lambda k: F.bit_xor(F.xxhash64("rid", F.lit(k)))
+    shared = listed.groupBy("key").agg(F.count("*").alias("c"), member(1).alias("x"), member(2).alias("y"), F.sum(F.shiftrightunsigned(F.xxhash64("rid"), 33)).alias("z")).where("c > 1")
+    shared = write_and_reread(shared.groupBy("c", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "c"), "ngram-shared")
+    of_text = listed.join(shared, "key").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("key", "c"))).alias("lists"))  # at most a text's prefix
+    rows = points.select("rid", "n", "vec").join(of_text, "rid").select("rid", "n", "vec", F.col("lists.key").alias("keys"), F.explode("lists").alias("at"))
+    blocks = F.ceil(F.col("at.c") / block).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("c") > block, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "rid", "n", "vec")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("at.c") > block, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(F.xxhash64("at.key", low, high).alias("list"), F.col("at.key").alias("key"), "own", (low != high).alias("crossing"), "rid", "n", "vec", "keys")
     rows = write_and_reread(rows, "ngram-lists")
 
     def pairs_of(rows: DataFrame, all_pairs: bool) -> DataFrame:
@@ -250,6 +282,7 @@ def similar_components(
         dealt = rows.repartition(n_parts, "list").sortWithinPartitions("list", "rid")
         return dealt.mapInPandas(find, "a long, b long, likeness double").where("a <> b")
 
+    # In the first round no one is linked yet: each text's component is itself.
     first = pairs_of(rows.withColumn("component", F.col("rid")), False)
     # Of the partners found in its lists each text follows the likeliest one.
     ends = first.select(F.col("a").alias("x"), F.col("b").alias("y"), "likeness").union(first.select(F.col("b").alias("x"), F.col("a").alias("y"), "likeness"))
