@@ -27,7 +27,7 @@ def digest(key: bytes) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def build_index(entries: DataFrame, uri: str, shard_rows: int = 2_000_000) -> int:
+def build_index(entries: DataFrame, uri: str, shard_rows: int = 500_000) -> int:
     """Write (key binary, value binary) rows as an index; of equal keys the smallest value stays. Returns the number of shards."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
