@@ -102,7 +102,7 @@ def toxic_rows(seed=3, n=600):
         bad = i % 6 == 0
         if bad:
             words[r.randrange(50)] = r.choice(["grumblefink", "GRUMBLEF1NK", "snortwad", "sn0rtw4d!"])
-        elif i % 7 == 0:
+        elif i % 31 == 0:
             words[10:11] = ["old", "snortwad"]
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
