@@ -7,9 +7,9 @@
    size, boxes of coordinate maxima). The summed coordinate minima of two boxes, or two points, bound their overlap from above; only
    pairs whose bound reaches the needed overlap survive. Lists longer than a block are cut into blocks, joined block by block. A pair
    that shares several lists is taken from the first of them only.
-4. Surviving pairs are verified on whole texts. A first round follows, for each point, its best surviving partners only; this ties
-   large groups of copies together. The last round takes every surviving pair whose ends are still in different components, so no link
-   between different components is missed, and pairs inside a component, which change nothing, are never listed.
+4. Surviving pairs are verified on whole texts. In each of the first rounds every point follows its best partner in another component
+   only; this ties large groups of copies together. The last round takes every surviving pair whose ends are still in different components,
+   so no link between different components is missed, and pairs inside a component, which change nothing, are never listed.
 
 The order of shingles in a prefix affects speed only: shingles that are frequent in some task of the first pass go last. That list is
 bounded (``common_limit``); any order gives the same result as long as all texts use the same one.
@@ -33,7 +33,7 @@ from graphbatch.llm.components import connected_components
 from graphbatch.llm.shingles import shingle_set
 
 LEAF = 32
-GROUPS = 64
+GROUPS = 256
 
 
 def needed_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -234,6 +234,7 @@ def similar_components(
     block: int = 1024,
     local_count: int = 4,
     common_limit: int = 200_000,
+    rounds: int = 3,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: see the module's text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -282,18 +283,23 @@ def similar_components(
         dealt = rows.repartition(n_parts, "list").sortWithinPartitions("list", "rid")
         return dealt.mapInPandas(find, "a long, b long, likeness double").where("a <> b")
 
-    # In the first round no one is linked yet: each text's component is itself.
-    first = pairs_of(rows.withColumn("component", F.col("rid")), False)
-    # Of the partners found in its lists each text follows the likeliest one.
-    ends = first.select(F.col("a").alias("x"), F.col("b").alias("y"), "likeness").union(first.select(F.col("b").alias("x"), F.col("a").alias("y"), "likeness"))
-    best = ends.groupBy("x").agg(F.max(F.struct("likeness", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
-    best = write_and_reread(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-best")
-    links = write_and_reread(verified_links(firsts, best, words, percent), "ngram-links")
-    linked = connected_components(links)
-    parts = rows.join(linked.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    rest = write_and_reread(pairs_of(parts, True).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "ngram-rest")
-    more = write_and_reread(verified_links(firsts, rest, words, percent), "ngram-more")
-    final = connected_components(links.union(more))
+    spark = docs.sparkSession
+    links = tried = spark.createDataFrame([], "a long, b long")
+    parts = rows.withColumn("component", F.col("rid"))
+    for r in range(rounds):
+        near = pairs_of(parts, False).join(tried, ["a", "b"], "left_anti")
+        ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "likeness").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "likeness"))
+        best = ends.groupBy("x").agg(F.max(F.struct("likeness", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
+        best = write_and_reread(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"ngram-best{r}")
+        new = write_and_reread(verified_links(firsts, best, words, percent), f"ngram-links{r}")
+        if new.isEmpty():
+            tried = tried.union(best)
+            break
+        links, tried = links.union(new), tried.union(best)
+        linked = connected_components(links)
+        parts = rows.join(linked.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    rest = write_and_reread(pairs_of(parts, True).join(tried, ["a", "b"], "left_anti"), "ngram-rest")
+    final = connected_components(links.union(verified_links(firsts, rest, words, percent)))
 
     named = classes.join(final.withColumnRenamed("id", "rid"), "rid", "left").select("n", "digest", F.coalesce("component", "rid").alias("component_id"))
     out = sets.join(named, ["n", "digest"], "left")
