@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cell(x):
-    if x is None or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     if isinstance(x, float):
         return round(x, 6)
