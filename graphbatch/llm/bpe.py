@@ -184,10 +184,13 @@ def encode_texts(
         for b in slices(batches):
             out = {"ids": [], "gaps": [], "missing": []}
             split = [coder.split(t) for t in b["text"]]
-            new = list({w for words in split for w in words if w not in kept})
-            kept.update((w, v) for w, v in zip(new, index.lookup([w.encode() for w in new]), strict=True) if v is not None)
-            for words in split:
-                ids = list(map(kept.get, words))
+            found = [list(map(kept.get, words)) for words in split]
+            new = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None})
+            fresh = {w: v for w, v in zip(new, index.lookup([w.encode() for w in new]), strict=True) if v is not None}
+            kept.update(fresh)
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids = [fresh.get(w) if x is None else x for w, x in zip(words, ids, strict=True)]
                 if None not in ids:
                     out["ids"].append(b"".join(ids)), out["gaps"].append(None), out["missing"].append(None)
                     continue

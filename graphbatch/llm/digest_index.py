@@ -94,13 +94,19 @@ class DigestIndex:
             mine = np.flatnonzero(place == k)
             if not len(mine) or not len(s["digests"]):
                 continue
-            at = np.searchsorted(s["digests"], hashes[mine])
-            hit = (at < len(s["digests"])) & (s["digests"][np.minimum(at, len(s["digests"]) - 1)] == hashes[mine])
-            for q, j in zip(mine[hit].tolist(), at[hit].tolist(), strict=True):
-                while j < len(s["digests"]) and s["digests"][j] == hashes[q]:
-                    (ka, va), (kb, vb) = (s["ends"][j - 1] if j else (0, 0)), s["ends"][j]
-                    if s["keys"][ka:kb].tobytes() == keys[q]:
-                        out[q] = s["values"][va:vb].tobytes()
-                        break
+            stored, ends = s["digests"], s["ends"]
+            keys_of, values_of = memoryview(s["keys"]), memoryview(s["values"])
+            at = np.searchsorted(stored, hashes[mine])
+            hit = (at < len(stored)) & (stored[np.minimum(at, len(stored) - 1)] == hashes[mine])
+            asked, at = mine[hit], at[hit]
+            until = np.asarray(ends[at])
+            since = np.where(at[:, None] > 0, ends[np.maximum(at, 1) - 1], 0)
+            for q, j, (ka, va), (kb, vb) in zip(asked.tolist(), at.tolist(), since.tolist(), until.tolist(), strict=True):
+                while keys_of[ka:kb] != keys[q]:  # another key with the same digest: look at the next place
                     j += 1
+                    if j == len(stored) or stored[j] != hashes[q]:
+                        break
+                    (ka, va), (kb, vb) = (kb, vb), ends[j].tolist()
+                else:
+                    out[q] = bytes(values_of[va:vb])
         return out
