@@ -91,9 +91,16 @@ class WordCoder:
             return self._split_plain(text)
         return [w for part in self.added.split(text) if part for w in ([part] if part in self.added_words else self._split_plain(part))]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word's ids as little-endian unsigned 32-bit integers."""
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def encode_words(self, words: list[str], chunk: int = 4000) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers; many words are one call of the library, which tells whose each id is."""
+        out: list[bytes] = []
+        for k in range(0, len(words), chunk):
+            part = words[k : k + chunk]
+            encoded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.asarray(encoded.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.asarray(encoded.word_ids, np.int64), np.arange(len(part)), side="right")).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
     def encode(self, text: str | None, limit: int = 1_500_000) -> bytes:
         """Ids of a whole text; words are encoded when first met and kept, up to ``limit`` words in this process."""
