@@ -199,13 +199,19 @@ def _known_ids(docs: DataFrame, ids: DataFrame, how: str, broadcast_rows: int =
     return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", how)
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, broadcast_rows: int = 500_000, share: int = 1000) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold. Texts are gathered by a; only a's set and one other are held."""
-    asked = pairs.select(F.col("a").alias("g"), F.col("b").alias("doc_id")).union(pairs.select(F.col("a").alias("g"), F.col("a").alias("doc_id")).distinct())
-    texts = _known_ids(docs, asked.select("doc_id").distinct(), "left_semi")
-    dealt = asked.join(texts, "doc_id").withColumn("own", F.when(F.col("g") == F.col("doc_id"), 0).otherwise(1))
+    # A text with very many partners is met by them in several places, about ``share`` in each.
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / share)).cast("int")
+    salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("c")), "a").select(F.col("a").alias("g"), salt.alias("salt"), "b")
+    asked = salted.select("g", "salt", F.col("b").alias("doc_id")).union(salted.select("g", "salt", F.col("g").alias("doc_id")).distinct())
+    if asked.count() <= broadcast_rows:  # 20 bytes a row: texts are picked where they are read and shuffled once, by g
+        dealt = docs.join(F.broadcast(asked), "doc_id")
+    else:
+        dealt = asked.join(docs, "doc_id")
+    dealt = dealt.withColumn("own", F.when(F.col("g") == F.col("doc_id"), 0).otherwise(1))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "g").sortWithinPartitions("g", "own", "doc_id")
+    dealt = dealt.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", "own", "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, held = np.zeros(0, np.uint64), None

@@ -161,6 +161,13 @@ def test_components_equal_brute_force(spark, words, percent, block):
     assert got == brute_components(rows, words, percent)
 
 
+def test_links_are_the_same_by_broadcast_and_by_shuffle(spark):
+    docs = frame(spark, some_docs(11, 40)).select("doc_id", "text")
+    pairs = spark.createDataFrame([(a, b) for a, b in itertools.combinations(range(40), 2)], "a long, b long")
+    few, many = ({tuple(x) for x in ngram_join.verified_links(docs, pairs, 4, 85, n, share).collect()} for n, share in ((10_000, 1000), (0, 7)))
+    assert few == many and few
+
+
 def test_tree_loses_no_pair():
     r = np.random.default_rng(1)
     base = r.poisson(2, (40, 64))
