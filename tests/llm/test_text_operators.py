@@ -288,6 +288,29 @@ def test_repeated_passages_are_found(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def covered(rows, start, end, doc_id):
+    """Share of the words start..end of a text that lie in reported passages."""
+    words = {w for x in rows if x.doc_id == doc_id for w in range(x.start_word, x.end_word)}
+    return len(words & set(range(start, end))) / (end - start)
+
+
+def unlike(name: str, n: int) -> str:
+    """Words that occur nowhere else."""
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_passages_around_unlike_text_are_found(spark):
+    header, footer = unlike("h", 80), unlike("f", 70)
+    long_text = unlike("w", 1000).split(" ")
+    changed = long_text[:400] + unlike("new", 90).split(" ") + long_text[490:]
+    rows = [(1, f"{header} {unlike('a', 300)} {footer}"), (2, f"{header} {unlike('b', 280)} {footer}"), (3, " ".join(long_text)), (4, " ".join(changed))]
+    rows += [(5, f"{unlike('p', 60)} {unlike('c', 55)} {unlike('q', 60)}"), (6, f"{unlike('p', 60)} {unlike('d', 55)} {unlike('q', 60)}")]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {x.doc_id for x in got} == {2, 4, 6} and all(x.identity == 1 for x in got)
+    for doc_id, start, end, here in [(2, 0, 80, True), (2, 80, 360, False), (2, 360, 430, True), (4, 0, 400, True), (4, 400, 490, False), (4, 490, 1000, True), (6, 0, 60, True), (6, 115, 175, True)]:
+        assert covered(got, start, end, doc_id) == here
+
+
 def test_chains_equal_the_quadratic_version():
     r = random.Random(10)
     for _ in range(50):
