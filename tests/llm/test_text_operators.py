@@ -311,6 +311,14 @@ def test_passages_around_unlike_text_are_found(spark):
         assert covered(got, start, end, doc_id) == here
 
 
+def test_passages_whose_phrases_have_other_holders_are_found(spark):
+    passage = unlike("w", 75).split(" ")
+    rows = [(i, f"{unlike(f'a{i}x', 20)} {' '.join(passage[i : i + 7])} {unlike(f'b{i}x', 20)}") for i in range(0, 69)]
+    rows += [(i, f"{unlike(f'a{i}x', 100)} {' '.join(passage)} {unlike(f'b{i}x', 100)}") for i in (100, 101)]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).where("doc_id = 101").collect()
+    assert covered(got, 100, 175, 101) == 1 and {x.other_doc_id for x in got} == {100}
+
+
 def test_chains_equal_the_quadratic_version():
     r = random.Random(10)
     for _ in range(50):
