@@ -319,6 +319,22 @@ def test_passages_whose_phrases_have_other_holders_are_found(spark):
     assert covered(got, 100, 175, 101) == 1 and {x.other_doc_id for x in got} == {100}
 
 
+def test_every_copy_in_a_text_is_found(spark):
+    passage = unlike("w", 70)
+    words = passage.split(" ")
+    early = " x ".join(" ".join(words[i : i + 5]) for i in range(0, 66))
+    rows = [(1, f"{unlike('a', 50)} {passage} {unlike('b', 50)}"), (2, f"{unlike('c', 30)} {passage} {unlike('d', 40)} {passage} {unlike('e', 30)}"), (3, f"{early} {unlike('f', 30)} {passage}")]
+    again = unlike("v", 80)
+    rows += [(4, f"{again} {unlike('g', 40)} {again} {unlike('i', 40)} {again}"), (5, " ".join(["m", *unlike("n", 9).split(" ")] * 40))]
+    rows += [(6, rows[-1][1])]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    n = len(rows[2][1].split(" "))
+    for doc_id, start, end in [(2, 30, 100), (2, 140, 210), (3, n - 70, n), (4, 120, 200), (4, 240, 320), (5, 10, 400), (6, 0, 400)]:
+        assert covered(got, start, end, doc_id) == 1, (doc_id, start, end)
+    for doc_id, start, end in [(1, 0, 170), (2, 100, 140), (4, 0, 120), (4, 200, 240), (5, 0, 10)]:
+        assert covered(got, start, end, doc_id) == 0, (doc_id, start, end)
+
+
 def test_chains_equal_the_quadratic_version():
     r = random.Random(10)
     for _ in range(50):
