@@ -2,16 +2,16 @@
 
 Texts and items are words (A-Z lower-cased). For each item length a window of as many words starts at every word of a text.
 
-1. Count filter. A window within ``k`` word edits of an item of ``n`` words shares at least n - 1 - 2k of its word pairs with the items (each
-   edit breaks two). Hashed pairs of all items form a bitmap of fixed size; prefix sums of its hits over a text give every
-   window's count, the inside of a run of one pair left out. This loses nothing and leaves few windows; of those a text keeps the ones
-   with most hits around.
+1. Count filter. An item of ``n`` words held within ``k`` word edits lies in at most n + k words and shares at least n - 1 - 2k of its word
+   pairs with them (each edit breaks two). Hashed pairs of all items form a bitmap of fixed size; prefix sums of its hits over a text give
+   the count of the n + k words from every start, the inside of a run of one pair left out. Of the starts that pass, those stay whose words share as many pairs with the items of one of
+   64 groups (a mask a pair, also of fixed size). Neither loses an item.
 2. CGK embedding. A random walk reads the window's words, writes one word a step and moves on by a hashed random bit, so windows within a
    few edits fall into step again and write mostly equal words: edit distance becomes Hamming distance.
-3. Bit-sampling LSH. Each repetition has a walk of its own and samples ``bits`` of its steps as the key. The number of repetitions is set so
-   that items edited at the full allowed rate still meet themselves with ``target_recall``, measured on simulated edits of at most 64 items.
+3. Bit-sampling LSH. Each repetition has a walk of its own and samples ``bits`` of its steps as the key. The number of repetitions is set for
+   each item length so that items edited at the full allowed rate still meet themselves with ``target_recall``, measured on simulated edits of at most 16 items a length.
    Equal windows are embedded once, however many texts hold them.
-4. Word edit distance of each candidate window and item, exactly.
+4. Least word edit distance of the item and any stretch of the window widened by ``k`` words on either side, exactly.
 
 Defined results: null and empty texts or items match nothing; items of fewer than ``min_words`` words are too short to tell a leak and
 are left out; repeated rows and items are matched once each by id. A text shorter than an item by at most the allowed edits is one window. Empty tables give no
@@ -20,19 +20,19 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphbatch.llm.common import write_and_reread
 from graphbatch.llm.shingles import word_hashes, words_of_text
 
 BITMAP_BITS = 1 << 24
+MASK_SHIFT = 4  # masks of item groups are kept for every 16 bits of the bitmap
 PAD = np.uint64(0)
 
 
@@ -57,14 +57,15 @@ class CgkSampler:
         self.salts = rng.integers(1, 1 << 63, repetitions, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         self.picks = rng.random((repetitions, bits))
 
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """``windows``: (count, n) word hashes; returns (count, repetitions) 64-bit keys."""
+    def keys(self, windows: np.ndarray, repetitions: int | None = None) -> np.ndarray:
+        """``windows``: (count, n) word hashes; returns (count, repetitions) 64-bit keys, of the first repetitions only if told."""
         count, n = windows.shape
+        repetitions = repetitions or self.repetitions
         padded = np.column_stack([windows, np.full(count, PAD)])
         rows = np.arange(count)
-        out = np.empty((count, self.repetitions), np.uint64)
+        out = np.empty((count, repetitions), np.uint64)
         with np.errstate(over="ignore"):
-            for r in range(self.repetitions):
+            for r in range(repetitions):
                 # A walk moves every other step on average; sampling within 2n steps keeps to the window.
                 steps = np.unique((self.picks[r] * 2 * n).astype(np.int64))
                 key = np.full(count, np.uint64(r * 1_000_003 + n), np.uint64)
@@ -101,6 +102,26 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return min(row[-1], far)
 
 
+def held_edits(item: list[int], words: list[int]) -> int:
+    """Least word edit distance of the item and any stretch of ``words`` (Myers' bit vectors; both ends are free)."""
+    m = len(item)
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    places: dict[int, int] = {}
+    for i, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << i
+    up, down, score, best = full, 0, m, m
+    for w in words:
+        eq = places.get(w, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        plus, minus = (down | ~(xh | up)) & full, up & xh
+        score += 1 if plus & high else -1 if minus & high else 0
+        plus, minus = plus << 1 & full, minus << 1 & full
+        up, down = (minus | ~(xv | plus)) & full, plus & xv
+        best = min(best, score)
+    return best
+
+
 def _simulated_edits(h: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     """The window of the item's length over a copy with ``edits`` random edits."""
     out = h.tolist()
@@ -118,18 +139,14 @@ def _simulated_edits(h: np.ndarray, edits: int, rng: np.random.Generator) -> np.
     return np.array(out[: len(h)], np.uint64)
 
 
-def repetitions_for(items: list[np.ndarray], percent: int, bits: int, target_recall: float, most: int = 64, trials: int = 64) -> int:
-    """Repetitions that reach the target on edits at the full rate, from the measured chance of one repetition."""
-    rng, probe, hits, total = np.random.default_rng(11), CgkSampler(trials, bits, seed=13), 0, 0
-    for h in items[:most]:
-        edits = allowed_edits(len(h), percent)
-        pair = np.stack([h, _simulated_edits(h, edits, rng)])
-        if edit_distance(pair[0].tolist(), pair[1].tolist(), edits) > edits:
-            continue
-        keys = probe.keys(pair)
-        hits, total = hits + int((keys[0] == keys[1]).sum()), total + trials
-    chance = min(0.999, max(hits / total if total else 0.999, 1 / trials))
-    return max(1, min(256, math.ceil(math.log(1 - target_recall) / math.log(1 - chance))))
+def repetitions_for(items: list[np.ndarray], percent: int, bits: int, target_recall: float, pairs: int = 64, trials: int = 64, most: int = 1024) -> int:
+    """Repetitions by which edits at the full rate of items of one length reach the target on average; each pair counts with its own chance."""
+    rng, probe, edits = np.random.default_rng(11), CgkSampler(trials, bits, seed=13), allowed_edits(len(items[0]), percent)
+    plain = [items[i % len(items)] for i in range(pairs)]
+    keys = probe.keys(np.stack([*plain, *(_simulated_edits(h, edits, rng) for h in plain)]))
+    chance = ((keys[:pairs] == keys[pairs:]).sum(1) + 0.5) / (trials + 1)
+    recall = 1 - ((1 - chance)[:, None] ** np.arange(1, most + 1)).mean(0)
+    return int(min(most, 1 + (recall < target_recall).sum()))
 
 
 def without_runs(hit: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
@@ -146,35 +163,44 @@ def without_runs(hit: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
     return hit * ((index < most) | (np.repeat(length, length) - index <= most))
 
 
-def find_windows(h: np.ndarray, lengths: list[int], percent: int, bitmap: np.ndarray, pair_most: int, near: int = 2) -> list[tuple[int, np.ndarray]]:
-    """(item length, window) of a text that pass the count filter and have most hits among starts up to ``near`` away."""
+def find_windows(h: np.ndarray, lengths: list[int], percent: int, bitmap: np.ndarray, masks: np.ndarray, pair_most: int, block: int = 4096) -> list[tuple[int, int, np.ndarray]]:
+    """(item length, start in the window, window with its margins) of each place of a text that passes the count filters."""
     if len(h) < 2:
         return []
     pairs = word_pairs(h)
-    hit = (bitmap[pairs >> 3] >> (pairs & 7).astype(np.uint8)) & 1
-    sums = np.r_[0, np.cumsum(without_runs(hit, pairs, pair_most), dtype=np.int64)]
+    hit = without_runs((bitmap[pairs >> 3] >> (pairs & 7).astype(np.uint8)) & 1, pairs, pair_most)
+    sums = np.r_[0, np.cumsum(hit, dtype=np.int64)]
     least = min(n - 1 - 2 * allowed_edits(n, percent) for n in lengths)
     if sums[-1] < least:
         return []
+    reach = max(n + allowed_edits(n, percent) for n in lengths)
+    groups = np.arange(64, dtype=np.uint64)
     out, seen = [], set()
-    for n in lengths:
-        edits = allowed_edits(n, percent)
-        if len(h) < n - edits:
-            continue
-        width = min(n, len(h))
-        hits = sums[width - 1 :] - sums[: len(sums) - width + 1]
-        ok = hits >= max(1, n - 1 - 2 * edits)
-        if not ok.any():
-            continue
-        around = hits.copy()
-        for d in range(1, min(near, len(hits) - 1) + 1):
-            around[d:] = np.maximum(around[d:], hits[:-d])
-            around[:-d] = np.maximum(around[:-d], hits[d:])
-        for p in np.flatnonzero(ok & (hits == around)).tolist():
-            window = h[p : p + width]
-            if (n, key := window.tobytes()) not in seen:
-                seen.add((n, key))
-                out.append((n, window))
+    for first in range(0, len(h), block):
+        by_group = None
+        for n in lengths:
+            edits = allowed_edits(n, percent)
+            starts = np.arange(first, min(first + block, len(h) - (n - edits) + 1))
+            if not len(starts):
+                continue
+            need = max(1, n - 1 - 2 * edits)
+            ends = np.minimum(starts + n + edits, len(h)) - 1
+            ok = sums[ends] - sums[starts] >= need
+            if not ok.any():
+                continue
+            if by_group is None:
+                part = slice(first, first + block + reach)
+                bits = (masks[pairs[part] >> MASK_SHIFT][:, None] >> groups) & np.uint64(1)
+                by_group = np.zeros((len(bits) + 1, 64), np.int32)
+                np.cumsum(bits.astype(np.int32) * hit[part].astype(np.int32)[:, None], axis=0, out=by_group[1:])
+            starts, ends = starts[ok], ends[ok]
+            ok = (by_group[ends - first] - by_group[starts - first] >= need).any(1)
+            for p in starts[ok].tolist():
+                low = max(0, p - edits)
+                window = h[low : p + n + edits]
+                if (n, p - low, window.tobytes()) not in seen:
+                    seen.add((n, p - low, window.tobytes()))
+                    out.append((n, p - low, window))
     return out
 
 
@@ -205,41 +231,52 @@ def find_leaks(
     if not lengths:
         return spark.createDataFrame([], "doc_id long, item_id long, edits int, item_words int")
     pair_most = items.agg(F.max("pair_most")).first()[0]
-    sample = [np.frombuffer(r["item"], np.uint64) for r in items.orderBy(F.xxhash64("item_id"), "item").limit(64).collect()]
-    sampler = CgkSampler(repetitions_for(sample, edit_percent, bits, target_recall), bits)
+    drawn = items.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64("item_id"), "item"))).where("k <= 16")
+
+    def measure(g: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(x, np.uint64) for x in g.sort_values("k")["item"]]
+        return pd.DataFrame({"n": [len(held[0])], "r": [repetitions_for(held, edit_percent, bits, target_recall)]})
+
+    repetitions = {x["n"]: x["r"] for x in drawn.groupBy("n").applyInPandas(measure, "n int, r int").collect()}  # two numbers an item length
+    sampler = CgkSampler(max(repetitions.values()), bits)
 
     def pair_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"place": np.unique(np.concatenate([word_pairs(np.frombuffer(x, np.uint64)) for x in b["item"]]))})
+            held = [(np.unique(word_pairs(np.frombuffer(x, np.uint64))), np.uint64(1) << np.uint64(xxhash.xxh64_intdigest(x) & 63)) for x in b["item"]]
+            if held:
+                yield pd.DataFrame({"place": np.concatenate([x for x, _ in held]), "mask": np.concatenate([np.full(len(x), m, np.uint64) for x, m in held]).view("i8")})
 
-    places = items.mapInPandas(pair_places, "place long").distinct().toPandas()["place"].to_numpy("i8")  # at most BITMAP_BITS values
+    told_pairs = items.mapInPandas(pair_places, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most BITMAP_BITS rows
+    places = told_pairs["place"].to_numpy("i8")
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     np.bitwise_or.at(bitmap, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    told = spark.sparkContext.broadcast((bitmap, lengths))
+    masks = np.zeros(BITMAP_BITS >> MASK_SHIFT, np.uint64)
+    np.bitwise_or.at(masks, places >> MASK_SHIFT, told_pairs["mask"].to_numpy("i8").view(np.uint64))
+    told = spark.sparkContext.broadcast((bitmap, masks, lengths))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits_set, sizes = told.value
+        bits_set, groups, sizes = told.value
         for b in batches:
-            rows = [(doc_id, n, xxhash.xxh3_128_digest(w.tobytes()), w.tobytes()) for doc_id, text in zip(b["doc_id"], b["text"], strict=True) for n, w in find_windows(word_hashes(words_of_text(text)), sizes, edit_percent, bits_set, pair_most)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "content", "window"]).astype({"doc_id": "Int64", "n": "int32"})
+            rows = [(doc_id, n, at, xxhash.xxh3_128_digest(w.tobytes() + bytes(str(at), "ascii")), w.tobytes()) for doc_id, text in zip(b["doc_id"], b["text"], strict=True) for n, at, w in find_windows(word_hashes(words_of_text(text)), sizes, edit_percent, bits_set, groups, pair_most)]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "at", "content", "window"]).astype({"doc_id": "Int64", "n": "int32", "at": "int32"})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = write_and_reread(texts.mapInPandas(windows, "doc_id long, n int, content binary, window binary"), "leak-windows")
-    contents = found.groupBy("n", "content").agg(F.first("window").alias("window"))
+    found = write_and_reread(texts.mapInPandas(windows, "doc_id long, n int, at int, content binary, window binary"), "leak-windows")
+    contents = found.groupBy("n", "content").agg(F.first("window").alias("window"), F.first("at").alias("at"))
 
     def keyed(column: str, ident: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for n, part in b.groupby("n"):
-                    words = [np.frombuffer(x, np.uint64)[:n] for x in part[column]]
+                    words = [np.frombuffer(x, np.uint64)[at : at + n] for x, at in zip(part[column], part["at"], strict=True)]
                     w = np.stack([np.pad(x, (0, n - len(x))) for x in words])
-                    keys = sampler.keys(w).view("i8")
+                    keys = sampler.keys(w, repetitions[n]).view("i8")
                     yield pd.DataFrame({"n": np.int32(n), ident: np.repeat(part[ident].to_numpy(), keys.shape[1]), "key": keys.ravel()})
 
         return run
 
     window_keys = contents.mapInPandas(keyed("window", "content"), "n int, content binary, key long")
-    item_keys = items.dropDuplicates(["n", "item"]).withColumn("content", F.md5("item").cast("binary")).mapInPandas(keyed("item", "content"), "n int, content binary, key long").withColumnRenamed("content", "same")
+    item_keys = items.dropDuplicates(["n", "item"]).withColumn("content", F.md5("item").cast("binary")).withColumn("at", F.lit(0)).mapInPandas(keyed("item", "content"), "n int, content binary, key long").withColumnRenamed("content", "same")
     met = window_keys.join(item_keys, ["n", "key"]).select("n", "content", "same").distinct()
     unique_items = items.withColumn("same", F.md5("item").cast("binary"))
     asked = met.join(contents, ["n", "content"]).join(unique_items.select("n", "same", "item").distinct(), ["n", "same"])
@@ -247,7 +284,7 @@ def find_leaks(
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             most = [allowed_edits(n, edit_percent) for n in b["n"]]
-            d = [edit_distance(np.frombuffer(w, np.uint64).tolist(), np.frombuffer(i, np.uint64).tolist(), m) for w, i, m in zip(b["window"], b["item"], most, strict=True)]
+            d = [held_edits(np.frombuffer(i, np.uint64).tolist(), np.frombuffer(w, np.uint64).tolist()) for w, i in zip(b["window"], b["item"], strict=True)]
             out = b[["n", "content", "same"]].assign(edits=np.array(d, "i4"))
             yield out[out["edits"] <= most]
 

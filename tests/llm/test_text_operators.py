@@ -253,6 +253,41 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontamination.find_leaks(docs, none).count() == 0 and decontamination.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_held_edits_equal_the_full_table():
+    r = random.Random(16)
+    for _ in range(300):
+        a, b = [r.randrange(4) for _ in range(r.randrange(1, 12))], [r.randrange(4) for _ in range(r.randrange(16))]
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert decontamination.held_edits(a, b) == min(row)
+
+
+def full_rate_leaks(kind: str):
+    """Items edited at the full rate of 20 %; around them stand word pairs of other items."""
+    r = random.Random(15)
+    items = [[f"i{i}w{j}" for j in range(20 + i % 11)] for i in range(20)]
+    rows = []
+    for i in range(80):
+        own, leak = items[i % 20], list(items[i % 20])
+        for p in sorted(r.sample(range(1, len(own) - 1), len(own) // 5), reverse=True):
+            leak[p : p + 1] = {"delete": [], "insert": [leak[p], "new"], "change": ["new"]}[kind]
+        other = items[(i + 7) % 20]
+        rows.append((i, " ".join([f"a{i}x{j}" for j in range(40)] + other[-6:] + leak + other[:6] + [f"b{i}x{j}" for j in range(40)])))
+    return rows, [(i, " ".join(x)) for i, x in enumerate(items)]
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert", "change"])
+def test_leaks_at_the_full_rate_are_found(spark, kind):
+    rows, items = full_rate_leaks(kind)
+    got = {(x.doc_id, x.item_id): x.edits for x in decontamination.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) <= {(i, i % 20) for i, _ in rows} and len(got) >= 0.95 * len(rows)
+    assert all(n <= len(items[item][1].split()) // 5 for (_, item), n in got.items())
+
+
 def test_edit_distance_equals_the_full_table():
     r = random.Random(6)
     for _ in range(200):
