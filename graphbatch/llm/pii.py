@@ -6,7 +6,8 @@ network over exactly the values of its format, so the pseudonym is valid too, eq
 and different values different ones. A network over a x b values keeps x in [0, a) and y in [0, b) and adds a keyed SHA-256 of the
 one to the other, round by round, modulo a or b; a and b are chosen with a x b = the number of values.
 
-    card    13-19 digits, single spaces or dashes between them, Luhn valid: first digit stays, the middle is permuted, the last digit is the new Luhn digit
+    card    13-19 digits, single spaces or dashes between them, Luhn valid: first digit stays, the middle is permuted, the last digit is the new Luhn digit; of
+            digits that fail, the longest valid 13-18 before a separator, so that an expiry date or code behind a card doesn't hide it
     phone   North American numbers: separators and country code stay, as do the first digits of area code and exchange; 8 digits are permuted
     ssn     ddd-dd-dddd with area not 000, 666 or 9xx, group not 00, serial not 0000: permuted over the valid values of the last six digits; the area stays
     ip      four octets up to 255: permuted over all addresses
@@ -88,7 +89,7 @@ def _padded(number: Column, width: Column | int) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
-def _card(key: str, v: Column) -> Column:
+def _new_card(key: str, v: Column) -> Column:
     d = only_digits(v)
     out = F.lit(None).cast("string")
     for n in range(13, 20):
@@ -97,7 +98,13 @@ def _card(key: str, v: Column) -> Column:
         head = F.concat(d.substr(1, 1), _padded(feistel(key, f"card{n}", middle.cast("long"), 10 ** (n - 2 - half), 10**half), n - 2))
         check = F.pmod(10 - luhn_sum(F.concat(head, F.lit("0"))), F.lit(10))
         out = F.when(F.length(d) == n, F.concat(head, check.cast("string"))).otherwise(out)
-    return F.when(luhn_sum(d) % 10 == 0, put_digits(v, out))
+    return put_digits(v, out)
+
+
+def _card(key: str, v: Column) -> Column:
+    shorter = (F.regexp_extract(v, rf"^\d(?:[ -]?\d){{{n - 1}}}(?=[ -])", 0) for n in range(18, 12, -1))
+    valid = F.filter(F.array(v, *shorter), lambda c: (F.length(c) > 0) & (luhn_sum(only_digits(c)) % 10 == 0))
+    return F.get(F.transform(F.slice(valid, 1, 1), lambda c: F.concat(_new_card(key, c), v.substr(F.length(c) + 1, F.length(v)))), F.lit(0))
 
 
 def _phone(key: str, v: Column) -> Column:
@@ -155,10 +162,10 @@ def pseudonym(key: str, value: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "pseudonym-key", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The input with the texts' private values replaced; ``count_col`` names a column for the number of replaced values.
 
-    Only texts with a digit or an @ go through the pattern. Findings and the pieces between them are put together in order.
+    Only texts that can hold a finding go through the pattern: two digits with at most a separator between, an @ or 32 hexadecimal digits. Findings and the pieces between them are put together in order.
     """
     text = F.col(text_col)
-    touched = text.rlike(r"[0-9]{2}|@|[0-9]\.[0-9]")
+    touched = text.rlike(r"[0-9][ .-]?[0-9]|@|[0-9a-fA-F]{32}")
     names = docs.columns
     step = docs.withColumn("_found", F.when(touched, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     step = step.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))

@@ -214,6 +214,16 @@ def test_pseudonyms_are_valid_linked_and_told_apart(spark):
     assert other != out[2].text
 
 
+def test_cards_before_short_numbers_and_undivided_digits_are_found(spark):
+    card, secret = "4111 1111 1111 1111", "a1b2c3d4" * 4
+    rows = [(1, f"pay {card} 12/27 now"), (2, f"pay {card} 123"), (3, "pay " + "-".join("4111111111111111")), (4, f"token {secret}"), (5, f"pay {card}"), (6, "pay 4111 1111 1111 1112 123")]
+    out = {x.doc_id: (x.text, x.n) for x in pii.pseudonymise(frame(spark, rows), count_col="n").collect()}
+    new = out[5][0].removeprefix("pay ")
+    assert new != card and out[1] == (f"pay {new} 12/27 now", 1) and out[2] == (f"pay {new} 123", 1)
+    assert out[3] == ("pay " + "-".join(new.replace(" ", "")), 1)
+    assert secret not in out[4][0] and out[4][1] == 1 and out[6] == (rows[5][1], 0)
+
+
 @pytest.mark.parametrize(("a", "b"), [(10, 10), (17, 43), (1, 7), (99, 101)])
 def test_feistel_permutes_its_domain(spark, a, b):
     got = [x.v for x in spark.range(a * b).select(pii.feistel("k", "t", F.col("id"), a, b).alias("v")).collect()]
