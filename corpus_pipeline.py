@@ -28,8 +28,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace private values by pseudonyms of their format."""
-    return pseudonymise(docs)
+    """Replace private values by pseudonyms of their format, under the key that the session names."""
+    return pseudonymise(docs, key=spark.conf.get("spark.corpus.pseudonymKey", "a key for tests, not for publishing"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("BPE encoding", encode),
 ]
 
-#: Learned rules, components, edit distances and BPE are beyond SQL; tests compare each stage with a brute-force version.
+#: Learned rules, edit distances, keyed networks and BPE are beyond SQL; tests/llm compares each stage with a plain Python version.
 ORACLE_SQL = None
 
 
