@@ -32,7 +32,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphbatch.llm.pii import pseudonymise
 
-    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+    # A key for tests only; whoever publishes pseudonyms passes a secret one.
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key="key of the registered query", count_col="n_replaced")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
