@@ -6,7 +6,7 @@ words that many more toxic than clean texts hold, weighted by log odds. Exceptio
 mark clean texts; a match inside one does not count. A text's matched weight, in total and per word, goes through a logistic curve.
 
 Labels, language, source and id are no inputs of a score. Training reads at most ``sample_limit`` labelled texts of each class, chosen by hash of the id;
-scoring reads every whole text. The driver holds the lexicon (at most ``lexicon_limit`` entries) and the sample's two features a text.
+scoring reads every whole text. The driver holds the lexicon (what ``min_texts`` of the sample share) and the sample's two features a text.
 
 Defined results: a null text counts as empty; a text without matches, also an empty one, gets the curve's value at 0. Repeated
 rows score alike. With no labels of one class the lexicon is empty and every score is the share of toxic labels (0 without labels).
@@ -14,6 +14,8 @@ rows score alike. With no labels of one class the lexicon is empty and every sco
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import unicodedata
 from collections import Counter
@@ -97,8 +99,11 @@ def match_weight(folded: str, automaton: ahocorasick.Automaton, exceptions: froz
             spared.append((start, end))
         elif size > best.get(start, (0, 0.0))[0]:
             best[start] = (size, weight)
-    if spared:
-        return sum(w for at, (size, w) in best.items() if not any(a <= at and at + size - 1 <= b + 1 for a, b in spared))
+    if spared:  # of the phrases that begin up to a match the one that ends last tells whether the match is inside one
+        spared.sort()
+        starts, last = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+        before = lambda at: bisect.bisect_right(starts, at) - 1
+        return sum(w for at, (size, w) in best.items() if (k := before(at)) < 0 or at + size - 2 > last[k])
     return sum(w for _, w in best.values())
 
 
@@ -129,7 +134,7 @@ def _fit(features: np.ndarray, toxic: np.ndarray, l2: float = 1e-3) -> tuple[flo
     return float(w[0] / scale[0]), float(w[1] / scale[1]), float(w[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 10_000, min_texts: int = 5, min_log_odds: float = 2.5, lexicon_limit: int = 20_000, exception_texts: int = 5) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 10_000, min_texts: int = 5, min_log_odds: float = 2.5, exception_texts: int = 5) -> ToxicModel:
     """Learn from ``labels`` (doc_id, toxic); at most ``sample_limit`` texts of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -153,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 10_000, min_te
 
     odds = F.log(((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_clean + 1)))
     begins = counts(lambda folded: {p for w in set(folded.split()) for p in word_patterns(w)})
-    rows = begins.withColumn("w", odds).where((F.col("t") >= min_texts) & (F.col("w") >= min_log_odds)).orderBy(F.desc("w"), "pattern").limit(lexicon_limit).toPandas()
+    rows = begins.withColumn("w", odds).where((F.col("t") >= min_texts) & (F.col("w") >= min_log_odds)).orderBy(F.desc("w"), "pattern").toPandas()  # patterns of the sample
     lexicon = {r.pattern: (r.w, r.t) for r in rows.itertuples()}
     # Of nested patterns found in nearly the same texts the longest says most about what it matches.
     for p in sorted(lexicon, key=len):
@@ -167,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 10_000, min_te
         hits = [k for k, w in enumerate(words) if any(p in weights for p in word_patterns(w))]
         return {f" {words[a]} {words[a + 1]} " for k in hits for a in (k - 1, k) if 0 <= a < len(words) - 1}
 
-    spared = counts(phrases).where((F.col("c") >= exception_texts) & (F.col("t") * 20 <= F.col("c"))).orderBy(F.desc("c"), "pattern").limit(lexicon_limit).toPandas()
+    spared = counts(phrases).where((F.col("c") >= exception_texts) & (F.col("t") * 20 <= F.col("c"))).orderBy(F.desc("c"), "pattern").toPandas()  # phrases of the sample
     exceptions = tuple(spared["pattern"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

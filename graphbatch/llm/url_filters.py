@@ -1,7 +1,7 @@
 """URL filters: allow and block rules for a host, its subdomains and a path prefix, in a sorted digest array.
 
-Each rule is stored under the key ``host`` + NUL + ``path``. A url asks for every suffix of its host at a label
-border, with every path prefix of a length that some rule has; all keys of a batch are probed by vectorised
+Each rule is stored under the key ``host`` + NUL + ``path``. A url asks for the suffixes of its host
+with as many labels as some rule's host, with every path prefix of a length that some rule has; all keys of a batch are probed by vectorised
 binary search. The longest stored rule (host and path together, then host) gives the verdict.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Equal rules
@@ -40,14 +40,19 @@ def rule_entries(rules: DataFrame) -> DataFrame:
 
 
 def build_rule_index(rules: DataFrame, uri: str) -> dict:
-    """Index the rules and return what a probe must know: where it is, its shards and the rules' path lengths."""
-    lengths = [r[0] for r in rules.where(F.col("path").isNotNull()).select(F.length("path")).distinct().collect()]  # at most one number per path length
-    return {"uri": uri, "shards": build_index(rule_entries(rules), uri), "lengths": sorted(lengths)}
-
-
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
-    labels = host.split(".")
-    hosts = [".".join(labels[k:]) for k in range(len(labels))] if host else []
+    """Index the rules and return what a probe must know: where it is, its shards, and the lengths of the rules' paths and hosts (in labels)."""
+    known = rules.where(F.col("path").isNotNull() & F.col("host").isNotNull())
+    lengths = [r[0] for r in known.select(F.length("path")).distinct().collect()]  # at most one number per path length
+    labels = [r[0] for r in known.select(F.size(F.split("host", r"\."))).distinct().collect()]  # at most one per number of labels
+    return {"uri": uri, "shards": build_index(rule_entries(rules), uri), "lengths": sorted(lengths), "labels": sorted(labels)}
+
+
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[tuple[str, str]]:
+    """Suffixes of the host with as many labels as some rule has, with prefixes of the path; the time is linear in the url."""
+    parts = host.rsplit(".", max(labels, default=0)) if host else []
+    if len(parts) > max(labels, default=0):
+        parts = parts[1:]  # what is left of the longest suffix
+    hosts = [".".join(parts[-n:]) for n in labels if n <= len(parts)]
     paths = [path[:n] for n in lengths if n <= len(path)]
     return [(h, p) for h in hosts for p in paths]
 
@@ -61,7 +66,7 @@ def judge_urls(pages: DataFrame, index: dict, id_col: str = "page_id", url_col:
         for b in batches:
             found: list[tuple[str | None, str]] = [(None, DEFAULT_VERDICT)] * len(b)
             best = [(-1, -1)] * len(b)
-            asked = [(k, h, p) for k, (host, path) in enumerate(zip(b["host"], b["path"], strict=True)) for h, p in candidates(host, path, index["lengths"])]
+            asked = [(k, h, p) for k, (host, path) in enumerate(zip(b["host"], b["path"], strict=True)) for h, p in candidates(host, path, index["lengths"], index["labels"])]
             for (k, h, p), value in zip(asked, table.lookup([f"{h}\0{p}".encode() for _, h, p in asked]), strict=True):
                 if value is not None and (size := (len(h) + len(p), len(h))) > best[k]:
                     best[k], found[k] = size, (h + p, "block" if value == b"0" else "allow")
