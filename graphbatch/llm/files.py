@@ -33,14 +33,13 @@ def write_atomic(uri: str, fill: Callable) -> int:
 
 
 def memory_map(uri: str, dtype: str) -> np.ndarray:
-    """A read-only array over a file. A file that is not on a mounted disk is fetched once into this process's temporary folder."""
+    """A read-only array over a file. A file that is not on a mounted disk is fetched once into an unnamed temporary file of this process."""
     fs, path = open_fs(uri)
-    if not isinstance(fs, pafs.LocalFileSystem):
-        handle, local = tempfile.mkstemp()
-        with os.fdopen(handle, "wb") as out, fs.open_input_stream(path, compression=None) as source:
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    with tempfile.TemporaryFile() as local:  # has no name, so the system frees it with the last map
+        with fs.open_input_stream(path, compression=None) as source:
             while block := source.read(1 << 20):
-                out.write(block)
-        path = local
-    if os.path.getsize(path) == 0:
-        return np.zeros(0, dtype)
-    return np.memmap(path, dtype, "r")
+                local.write(block)
+        local.flush()
+        return np.memmap(local, dtype, "r") if local.tell() else np.zeros(0, dtype)
