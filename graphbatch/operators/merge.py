@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphbatch.functions.lineage import cut
 from graphbatch.operators.influence import DIGITS
+from graphbatch.operators.prep import sorted_rank
 
 
 def even_batch_size(n: int, per_batch: int) -> int:
@@ -56,11 +59,11 @@ def _moved(groups: DataFrame, moves: DataFrame) -> DataFrame:
     return groups.join(moves.select(F.col("old").alias("group_id"), "new"), "group_id", "left").select("node_id", F.coalesce("new", "group_id").alias("group_id"))
 
 
-def merge_by_outputs(pairs: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 50_000, max_rounds: int = 200) -> DataFrame:
+def merge_by_outputs(pairs: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 50_000) -> DataFrame:
     """(node_id, group_id): groups of at most ``cap`` output nodes; a group's id is its smallest node."""
     groups = outputs.select("node_id", F.col("node_id").alias("group_id")).distinct()
     live = cut(_rank(pairs))
-    for _ in range(max_rounds):
+    while True:
         sizes = groups.groupBy("group_id").agg(F.count("*").alias("size"))
         s = lambda g: sizes.select(F.col("group_id").alias(g), F.col("size").alias(f"s_{g}"))  # noqa: E731,B023
         live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= cap))
@@ -72,7 +75,6 @@ def merge_by_outputs(pairs: DataFrame, outputs: DataFrame, cap: int, finish_rows
         moves = cut(_dominant(live).select(F.greatest("gi", "gj").alias("old"), F.least("gi", "gj").alias("new")))
         groups = cut(_moved(groups, moves))
         live = _renamed(live.drop("s_gi", "s_gj"), moves)
-    raise RuntimeError(f"merging has not settled in {max_rounds} rounds")
 
 
 def _finish(live: DataFrame, cap: int) -> DataFrame:
@@ -101,29 +103,94 @@ def _finish(live: DataFrame, cap: int) -> DataFrame:
     return live.coalesce(1).mapInPandas(decide, "old long, new long")
 
 
-def pack_small_groups(groups: DataFrame, cap: int) -> DataFrame:
-    """(node_id, group_id): the two smallest groups are joined again and again while their sizes add up to ``cap`` at most.
+@dataclass(frozen=True)
+class Step:
+    """Places [first, last) of one size go to ``to_size`` from ``to_first`` on, ``together`` neighbours to one place."""
 
-    Only (group, size) goes to one task; groups of equal size are taken by id. The joined group keeps its smallest id.
-    """
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("size"))
+    size: int
+    first: int
+    last: int
+    to_size: int
+    to_first: int
+    together: int
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        heap = [(int(s), int(g), [int(g)]) for g, s in zip(rows["group_id"], rows["size"], strict=True)]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            one, two = heapq.heappop(heap), heapq.heappop(heap)
-            if one[0] + two[0] > cap:
-                heap += [one, two]
+
+def packing_steps(counts: dict[int, int], cap: int) -> list[Step]:
+    """How groups of the counted sizes are packed when the two smallest are joined again and again while they fit.
+
+    Only counts matter: of the smallest size all pairs are joined at once, and one that is left joins the next size. Groups of one size
+    queue up, those given first, then the joined ones in order of their joining. At most a few steps a size.
+    """
+    queued, taken, sizes, steps = dict(counts), dict.fromkeys(counts, 0), sorted(counts), []
+    heapq.heapify(sizes)
+
+    def push(size: int, n: int) -> int:
+        if size not in queued:
+            queued[size] = taken[size] = 0
+            heapq.heappush(sizes, size)
+        queued[size] += n
+        return queued[size] - n
+
+    while sizes:
+        x = sizes[0]
+        left, at = queued[x] - taken[x], taken[x]
+        if left >= 2:
+            if 2 * x > cap:
+                break
+            taken[x] += left // 2 * 2
+            steps.append(Step(x, at, taken[x], 2 * x, push(2 * x, left // 2), 2))
+        elif left == 1:
+            heapq.heappop(sizes)
+            while sizes and queued[sizes[0]] == taken[sizes[0]]:
+                heapq.heappop(sizes)
+            if not sizes or x + sizes[0] > cap:
                 break
-            heapq.heappush(heap, (one[0] + two[0], min(one[1], two[1]), one[2] + two[2]))
-        yield pd.DataFrame([(g, new) for _, new, members in heap for g in members], columns=["old", "new"]).astype("i8")
+            y = sizes[0]
+            to = push(x + y, 1)
+            steps += [Step(x, at, at + 1, x + y, to, 1), Step(y, taken[y], taken[y] + 1, x + y, to, 1)]
+            taken[x], taken[y] = taken[x] + 1, taken[y] + 1
+        else:
+            heapq.heappop(sizes)
+    return steps
 
-    return _moved(groups, sizes.coalesce(1).mapInPandas(pack, "old long, new long"))
 
+def pack_small_groups(groups: DataFrame, cap: int, buckets: int = 256) -> DataFrame:
+    """(node_id, group_id): the two smallest groups are joined again and again while their sizes add up to ``cap`` at most.
 
-def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 200_000, max_rounds: int = 400) -> DataFrame:
+    The steps follow from the number of groups of each size alone (at most cap rows); a group finds its place by size and rank, in
+    tasks. Ranks within a size are by hash bucket and id, so that a size of very many groups is no single window. The joined group
+    keeps its smallest id.
+    """
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("size")).where(F.col("size") < cap)
+    sizes = cut(sizes.withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets))))
+    counts = sizes.groupBy("size", "bucket").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("group_id")) - 1
+    ranked = sizes.withColumn("place", place).join(before.drop("n"), ["size", "bucket"]).select("group_id", "size", (F.col("place") + F.col("before")).alias("place"))
+    steps = packing_steps({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, cap)
+    if not steps:
+        return groups.select("node_id", "group_id")
+    table = np.array([(x.size, x.first, x.last, x.to_size, x.to_first, x.together) for x in sorted(steps, key=lambda x: (x.size, x.first))], np.int64)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wide = 1 << 40  # more places than a size can have
+        keys = table[:, 0] * wide + table[:, 1]
+        for b in batches:
+            size, at = b["size"].to_numpy().copy(), b["place"].to_numpy().copy()
+            moving = np.arange(len(size))
+            while len(moving):
+                k = np.maximum(0, np.searchsorted(keys, size[moving] * wide + at[moving], side="right") - 1)
+                ok = (table[k, 0] == size[moving]) & (table[k, 1] <= at[moving]) & (at[moving] < table[k, 2])
+                moving, k = moving[ok], k[ok]
+                size[moving], at[moving] = table[k, 3], table[k, 4] + (at[moving] - table[k, 1]) // table[k, 5]
+            yield pd.DataFrame({"old": b["group_id"], "size": size, "place": at})
+
+    ends = cut(ranked.mapInPandas(follow, "old long, size long, place long"))
+    names = ends.groupBy("size", "place").agg(F.min("old").alias("new"))
+    return _moved(groups, ends.join(names, ["size", "place"]).select("old", "new"))
+
+
+def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 200_000) -> DataFrame:
     """(node_id, group_id): as ``merge_by_outputs``, the bound being on the union of the groups' neighbour sets.
 
     A pair whose set sizes add up to more than int(cap 1.0005) is turned down at once. The size of a union is counted only for the
@@ -132,7 +199,7 @@ def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap
     groups = outputs.select("node_id", F.col("node_id").alias("group_id")).distinct()
     sets = cut(neighbors.select(F.col("source").alias("g"), "node").join(outputs.select(F.col("node_id").alias("g")).distinct(), "g", "left_semi").distinct())
     quick, live = int(cap * 1.0005), cut(_rank(pairs))
-    for _ in range(max_rounds):
+    while True:
         sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
         s = lambda g: sizes.select(F.col("g").alias(g), F.col("size").alias(f"s_{g}"))  # noqa: E731,B023
         live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= quick).drop("s_gi", "s_gj"))
@@ -154,7 +221,6 @@ def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap
         # A pair that was turned down stays so; parallel pairs of the same two groups go with it.
         live = live.join(judged.where("NOT fits").select("gi", "gj"), ["gi", "gj"], "left_anti")
         live = cut(_renamed(live, moves))
-    raise RuntimeError(f"merging has not settled in {max_rounds} rounds")
 
 
 def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataFrame:
@@ -186,25 +252,50 @@ def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataF
     return rows.coalesce(1).mapInPandas(decide, "old long, new long")
 
 
-def pack_small_aux(groups: DataFrame, neighbors: DataFrame, cap: int) -> DataFrame:
+def pack_small_aux(groups: DataFrame, neighbors: DataFrame, cap: int, finish_rows: int = 50_000) -> DataFrame:
     """(node_id, group_id): the two groups with the smallest neighbour sets are joined while the union stays within ``cap``; the first failure ends it.
 
-    Groups already at ``cap`` can't change and stay out. The others' sets go to one task: at most cap ids for each of them.
+    Groups already at ``cap`` can't change and stay out. In rounds: open groups are paired in order of (set size, id). All pairs in front of
+    the smallest of the unions are what joining one by one would take next, for no union comes before them; they are joined at once. Each
+    round joins one pair at least. Once the open sets have at most ``finish_rows`` rows, one task joins the rest one by one.
     """
     sets = groups.join(neighbors.select(F.col("source").alias("node_id"), "node"), "node_id").select("group_id", "node").distinct()
-    open_sets = sets.join(sets.groupBy("group_id").agg(F.count("*").alias("size")).where(F.col("size") < cap), "group_id").groupBy("group_id").agg(F.array_sort(F.collect_list("node")).alias("aux"))
+    small = sets.groupBy("group_id").agg(F.count("*").alias("size")).where(F.col("size") < cap).select("group_id")
+    sets = cut(sets.join(small, "group_id").select(F.col("group_id").alias("g"), "node"))
+    while sets.count() > finish_rows:
+        ranked = cut(sorted_rank(sets.groupBy("g").agg(F.count("*").alias("size")), "size", "g").withColumn("k", F.floor(F.col("rank") / 2)))
+        pairs = ranked.groupBy("k").agg(F.min("g").alias("new"), F.max(F.struct("size", "g")).alias("last"), F.count("*").alias("n")).where("n = 2")
+        unions = sets.join(ranked.select("g", "k"), "g").groupBy("k").agg(F.count_distinct("node").alias("u"))
+        pairs = cut(pairs.join(unions, "k"))
+        least = pairs.agg(F.min(F.struct(F.col("u").alias("size"), F.col("new").alias("g"))).alias("m")).first()["m"]
+        if least is None:
+            return groups.select("node_id", "group_id")
+        next_ones = (F.col("k") == 0) | (F.col("last.size") < least["size"]) | ((F.col("last.size") == least["size"]) & (F.col("last.g") < least["g"]))
+        failed = pairs.where(next_ones & (F.col("u") > cap)).agg(F.min("k")).first()[0]
+        done = pairs.where(next_ones if failed is None else next_ones & (F.col("k") < failed)).select("k", "new")
+        moves = cut(ranked.join(done, "k").select(F.col("g").alias("old"), "new"))
+        groups = cut(_moved(groups, moves))
+        if failed is not None:
+            return groups
+        sets = cut(sets.join(moves.withColumnRenamed("old", "g"), "g", "left").select(F.coalesce("new", "g").alias("g"), "node").distinct())
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        heap = [(len(a), int(g), [int(g)], set(map(int, a))) for g, a in zip(rows["group_id"], rows["aux"], strict=True)]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            one, two = heapq.heappop(heap), heapq.heappop(heap)
-            union = one[3] | two[3]
-            if len(union) > cap:
-                heap += [one, two]
+        open_sets: dict[int, set[int]] = {}
+        for b in batches:
+            for g, nodes in b.groupby("g")["node"]:
+                open_sets.setdefault(int(g), set()).update(nodes.tolist())
+        order = [(len(nodes), g) for g, nodes in open_sets.items()]
+        heapq.heapify(order)
+        parent: dict[int, int] = {}
+        while len(order) > 1:
+            (_, a), (_, b) = heapq.heappop(order), heapq.heappop(order)
+            new, old = min(a, b), max(a, b)
+            if len(union := open_sets[a] | open_sets[b]) > cap:
                 break
-            heapq.heappush(heap, (len(union), min(one[1], two[1]), one[2] + two[2], union))
-        yield pd.DataFrame([(g, new) for _, new, members, _ in heap for g in members], columns=["old", "new"]).astype("i8")
+            open_sets[new], parent[old] = union, new
+            heapq.heappush(order, (len(union), new))
+        for g in sorted(parent):  # a parent is the smaller id, so its own end is known
+            parent[g] = parent.get(parent[g], parent[g])
+        yield pd.DataFrame({"old": list(parent), "new": list(parent.values())}).astype("i8")
 
-    return _moved(groups, open_sets.coalesce(1).mapInPandas(pack, "old long, new long"))
+    return _moved(groups, sets.coalesce(1).mapInPandas(pack, "old long, new long"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphbatch.functions.lineage import cut
+
 from graphbatch.functions.hashing import hash_uniform
 
 
@@ -43,6 +45,16 @@ def ranked(df: DataFrame, order: str = "u", tie: str = "node_id", buckets: int =
     return rows.withColumn("_p", place).join(F.broadcast(before), "_b").withColumn("rn", F.col("_before") + F.col("_p")).drop("_b", "_p", "_before")
 
 
+def sorted_rank(df: DataFrame, *order: str) -> DataFrame:
+    """``rank``: the global row number from 0 in the order of the columns. Rows are sorted by ranges; only a count a partition comes back."""
+    rows = cut(df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33)  # the id's upper bits are the partition, the lower ones the place in it
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = rows.withColumn("part", part).join(F.broadcast(before), "part")  # a row a partition
+    return out.withColumn("rank", F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "n", "before", "_at")
+
+
 def subsample_train(splits: DataFrame, frac: float, seed: int = 2021) -> DataFrame:
     """Exactly int(n frac) of the n train nodes, drawn without replacement; other splits as they are. From frac 1 on nothing changes."""
     if frac >= 1:

@@ -107,6 +107,53 @@ def test_packing_joins_the_two_smallest(spark):
     assert sorted(x.c for x in got.groupBy("group_id").agg(F.count("*").alias("c")).collect()) == sorted(sizes)
 
 
+def heap_of_sets(sets: dict[int, set[int]], cap: int) -> dict[int, int]:
+    """Textbook version: the two smallest sets by (size, id) are joined until one union doesn't fit."""
+    order = [(len(v), g, [g], v) for g, v in sets.items() if len(v) < cap]
+    heapq.heapify(order)
+    while len(order) > 1:
+        one, two = heapq.heappop(order), heapq.heappop(order)
+        if len(one[3] | two[3]) > cap:
+            order += [one, two]
+            break
+        heapq.heappush(order, (len(one[3] | two[3]), min(one[1], two[1]), one[2] + two[2], one[3] | two[3]))
+    return {g: g for g in sets} | {m: g for _, g, members, _ in order for m in members}
+
+
+@pytest.mark.parametrize(("seed", "finish_rows"), [(4, 50_000), (4, 0), (5, 0), (6, 15), (7, 0)])
+def test_packing_by_aux_equals_the_heap(spark, seed, finish_rows):
+    r = random.Random(seed)
+    sets = {g: set(r.sample(range(30), r.randrange(1, 9))) for g in r.sample(range(100), 24)}
+    groups = spark.createDataFrame([(g, g) for g in sets], "node_id long, group_id long")
+    near = spark.createDataFrame([(g, v) for g, vs in sets.items() for v in vs], "source long, node long")
+    got = {x.node_id: x.group_id for x in M.pack_small_aux(groups, near, 14, finish_rows).collect()}
+    assert got == heap_of_sets(sets, 14)
+
+
+def test_packing_steps_give_the_sizes_of_the_heap():
+    r = random.Random(8)
+    for _ in range(500):
+        cap = r.randrange(2, 40)
+        counts = {s: r.randrange(1, 12) for s in r.sample(range(1, cap), r.randrange(1, min(cap, 8)))}
+        sizes = [s for s, n in counts.items() for _ in range(n)]
+        heapq.heapify(sizes)
+        while len(sizes) > 1:
+            a, b = heapq.heappop(sizes), heapq.heappop(sizes)
+            if a + b > cap:
+                sizes += [a, b]
+                break
+            heapq.heappush(sizes, a + b)
+        steps = M.packing_steps(counts, cap)
+        ends: dict[tuple[int, int], int] = {}
+        for s, n in counts.items():
+            for k in range(n):
+                at = (s, k)
+                while (x := next((x for x in steps if x.size == at[0] and x.first <= at[1] < x.last), None)) is not None:
+                    at = (x.to_size, x.to_first + (at[1] - x.first) // x.together)
+                ends[at] = ends.get(at, 0) + s
+        assert sorted(ends.values()) == sorted(sizes) and all(at[0] == total for at, total in ends.items())
+
+
 def test_packing_by_aux_keeps_the_cap(spark):
     r = random.Random(4)
     near = [(v, r.randrange(30)) for v in range(12) for _ in range(4)]
