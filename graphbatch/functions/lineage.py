@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (local runs, tests)."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-ckpt-')}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-ckpt-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -25,3 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, and the plan starts anew."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def cut_and_observe(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """A written table of the rows, and aggregates over them that the writing itself yields: one job for both."""
+    told, path = Observation(), scratch_path(df.sparkSession, label)
+    df.observe(told, *(c.alias(name) for name, c in metrics.items())).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), told.get
+
+
+def write_bucketed(df: DataFrame, label: str, column: str, shuffle: bool = True) -> DataFrame:
+    """A written table bucketed by ``column``: joins and groupings by it don't shuffle its rows again. The catalog keeps no entry.
+
+    Without ``shuffle`` each task writes its rows into files of its own, for few and large rows.
+    """
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, column) if shuffle else df).write.bucketBy(n, column).option("path", scratch_path(spark, label)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: the files stay, and the frame knows them
+    return out

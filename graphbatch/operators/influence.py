@@ -5,10 +5,12 @@ Scores are compared at ``DIGITS`` decimals wherever order matters, so that ties
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphbatch.functions.lineage import cut
+from graphbatch.functions.lineage import cut, cut_and_observe, write_bucketed
 from graphbatch.operators.prep import degrees
 
 DIGITS = 12
@@ -18,28 +20,30 @@ def falling(score: str = "score") -> Column:
     return F.round(F.col(score), DIGITS).desc()
 
 
-def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: float = 2e-4, max_rounds: int = 200) -> DataFrame:
+def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: float = 2e-4) -> DataFrame:
     """(source, node, score) of the nodes that were pushed.
 
     Rounds in step: every (source, node) with residual of at least alpha eps deg(node) moves it to its score and sends
     (1 - alpha) residual / deg to each neighbour; a source is always pushed once. At the end 0 <= exact - score <= eps deg(node).
-    Residuals meet per (source, node) by partial sums before the shuffle. A round shuffles the frontier by node, never the graph:
-    edges are laid out by source once. Lineage is cut each round.
+    A round moves open residuals only: what was pushed is set aside and summed once at the end, edges lie bucketed by source and carry the
+    degree and the bound of their end. Residuals meet per (source, node) by partial sums before the shuffle. Each round is one written table.
     """
-    deg = degrees(edges, "src")
-    out_edges = cut(edges.select("src", "dst").join(deg.withColumnRenamed("node_id", "src"), "src").select(F.col("src").alias("node"), "dst", "deg").repartition("node"))
-    limits = cut(deg.select(F.col("node_id").alias("node"), (F.lit(alpha * eps) * F.col("deg")).alias("limit")))
-    first = sources.select(F.col("node_id").alias("source")).distinct()
-    state = first.select("source", F.col("source").alias("node"), F.lit(0.0).alias("p"), F.lit(float(alpha)).alias("r"), F.lit(True).alias("active"))
-    for _ in range(max_rounds):
-        moved = state.where("active").select("source", "node", "r")
-        sent = moved.join(out_edges, "node").select("source", F.col("dst").alias("node"), F.lit(0.0).alias("p"), (F.lit(1 - alpha) * F.col("r") / F.col("deg")).alias("r"))
-        kept = state.select("source", "node", F.when(F.col("active"), F.col("p") + F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("active"), F.lit(0.0)).otherwise(F.col("r")).alias("r"))
-        merged = kept.unionByName(sent).groupBy("source", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-        state = cut(merged.join(limits, "node").select("source", "node", "p", "r", (F.col("r") >= F.col("limit")).alias("active")))
-        if state.where("active").isEmpty():
-            return state.where("p > 0").select("source", "node", F.col("p").alias("score"))
-    raise RuntimeError(f"residuals have not settled in {max_rounds} rounds")
+    deg = cut(degrees(edges, "src"))
+    of = lambda name, count: deg.select(F.col("node_id").alias(name), F.col("deg").alias(count))
+    limit = (F.lit(alpha * eps) * F.col("far")).alias("limit")
+    out_edges = write_bucketed(edges.select("src", "dst").join(of("src", "deg"), "src").join(of("dst", "far"), "dst").select(F.col("src").alias("node"), "dst", "deg", limit), "push_edges", "node")
+    first = sources.select(F.col("node_id").alias("source")).distinct().join(of("source", "deg"), "source", "left_semi")
+    state = cut(first.select("source", F.col("source").alias("node"), F.lit(float(alpha)).alias("r"), F.lit(0.0).alias("limit")))
+    pushed, n_active = [], 1
+    while n_active:
+        active = F.col("r") >= F.col("limit")
+        moved = state.where(active).select("source", "node", "r")
+        pushed.append(moved)
+        sent = moved.join(out_edges, "node").select("source", F.col("dst").alias("node"), (F.lit(1 - alpha) * F.col("r") / F.col("deg")).alias("r"), "limit")
+        merged = state.where(~active).unionByName(sent).groupBy("source", "node").agg(F.sum("r").alias("r"), F.max("limit").alias("limit"))
+        state, seen = cut_and_observe(merged, "push", n_active=F.count(F.when(active, 1)))
+        n_active = seen["n_active"]
+    return functools.reduce(DataFrame.unionByName, pushed).groupBy("source", "node").agg(F.sum("r").alias("score"))
 
 
 def topk_neighbors(ppr: DataFrame, k: int) -> DataFrame:
@@ -72,14 +76,14 @@ def influence_pairs(ppr: DataFrame) -> DataFrame:
     return ppr.where("source <> node").groupBy(a.alias("i"), b.alias("j")).agg(F.sum("score").alias("weight"))
 
 
-def batch_ppr(adj_rw: DataFrame, outsets: DataFrame, alpha: float = 0.25, num_iter: int = 50, cut_every: int = 1) -> DataFrame:
+def batch_ppr(adj_rw: DataFrame, outsets: DataFrame, alpha: float = 0.25, num_iter: int = 50, cut_every: int = 5) -> DataFrame:
     """(batch_id, node, score): x = (1 - alpha) A x + alpha t for each set of output nodes, t being 1/size on the set.
 
     ``outsets`` is (batch_id, node_id). All sets advance together, keyed by (batch, node); only reached nodes have rows.
     """
     sizes = outsets.groupBy("batch_id").agg(F.count("*").alias("size"))
     t = cut(outsets.join(sizes, "batch_id").select("batch_id", F.col("node_id").alias("node"), (1.0 / F.col("size")).alias("t")))
-    adj = cut(adj_rw.select("src", F.col("dst").alias("node"), "weight").repartition("node"))
+    adj = write_bucketed(adj_rw.select("src", F.col("dst").alias("node"), "weight"), "power_edges", "node")
     x = t.select("batch_id", "node", F.col("t").alias("score"))
     for k in range(num_iter):
         walked = x.join(adj, "node").select("batch_id", F.col("src").alias("node"), (F.lit(1 - alpha) * F.col("score") * F.col("weight")).alias("score"))
