@@ -2,25 +2,31 @@
 
 Texts and items are words (A-Z lower-cased). For each item length a window of as many words starts at every word of a text.
 
-1. Count filter. An item of ``n`` words held within ``k`` word edits lies in at most n + k words and shares at least n - 1 - 2k of its word
-   pairs with them (each edit breaks two). Hashed pairs of all items form a bitmap of fixed size; prefix sums of its hits over a text give
-   the count of the n + k words from every start, the inside of a run of one pair left out. Of the starts that pass, those stay whose words share as many pairs with the items of one of
-   64 groups (a mask a pair, also of fixed size). Neither loses an item.
+1. Filters that lose no item. An item of ``n`` words held within ``k`` word edits lies in at most n + k words and shares at least n - 1 - 2k
+   of its word pairs with them (each edit breaks two); the stretch can be taken to begin with one of the item's first k + 1 words,
+   unchanged, since a first word that differs counts no more when it is left out. Hashed pairs of all items form a bitmap of fixed size;
+   prefix sums of its hits over a text give the count of the n + k words from every start, the inside of a run of one pair left out.
+   Of the starts that pass, those stay whose words share as many pairs with the items of one of 64 groups (a mask a pair, also of fixed size)
+   that has items of this length, and that begin with such a first word (a bitmap of words and lengths).
 2. CGK embedding. A random walk reads the window's words, writes one word a step and moves on by a hashed random bit, so windows within a
    few edits fall into step again and write mostly equal words: edit distance becomes Hamming distance.
 3. Bit-sampling LSH. Each repetition has a walk of its own and samples ``bits`` of its steps as the key. The number of repetitions is set for
-   each item length so that items edited at the full allowed rate still meet themselves with ``target_recall``, measured on simulated edits of at most 16 items a length.
+   each item length so that items edited at the full allowed rate still meet themselves with ``target_recall``, measured on simulated edits
+   of at most 16 items a length.
    Equal windows are embedded once, however many texts hold them.
 4. Least word edit distance of the item and any stretch of the window widened by ``k`` words on either side, exactly.
 
-Defined results: null and empty texts or items match nothing; items of fewer than ``min_words`` words are too short to tell a leak and
-are left out; repeated rows and items are matched once each by id. A text shorter than an item by at most the allowed edits is one window. Empty tables give no
-rows. Extra columns are ignored.
+Defined results: null and empty texts or items match nothing; ``min_words`` leaves shorter items out (none by default; items of up to four
+words allow no edit and are met by equal words). Repeated rows and items are matched once each by id. A text shorter than an item by at most
+the allowed edits is one window. A row without an id is found with a null doc_id, but can't be named and stays in ``drop_leaks``. Empty tables
+give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphbatch.llm.common import write_and_reread
+from graphbatch.llm.common import slices, write_and_reread
 from graphbatch.llm.shingles import word_hashes, words_of_text
 
-BITMAP_BITS = 1 << 24
+BITMAP_BITS, PART_BITS = 1 << 24, 1 << 16
 MASK_SHIFT = 4  # masks of item groups are kept for every 16 bits of the bitmap
 PAD = np.uint64(0)
 
@@ -123,7 +129,7 @@ def held_edits(item: list[int], words: list[int]) -> int:
 
 
 def _simulated_edits(h: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    """The window of the item's length over a copy with ``edits`` random edits."""
+    """The window of the item's length over a copy with ``edits`` random edits, from the first of the item's first words on."""
     out = h.tolist()
     for _ in range(edits):
         k = int(rng.integers(len(out)))
@@ -135,12 +141,18 @@ def _simulated_edits(h: np.ndarray, edits: int, rng: np.random.Generator) -> np.
             out.insert(k, new)
         else:
             del out[k]
+    firsts = set(h[: edits + 1].tolist())
+    while out and out[0] not in firsts:
+        del out[0]
     out += rng.integers(1, 1 << 62, max(0, len(h) - len(out))).tolist()
     return np.array(out[: len(h)], np.uint64)
 
 
 def repetitions_for(items: list[np.ndarray], percent: int, bits: int, target_recall: float, pairs: int = 64, trials: int = 64, most: int = 1024) -> int:
-    """Repetitions by which edits at the full rate of items of one length reach the target on average; each pair counts with its own chance."""
+    """Repetitions by which edits at the full rate of items of one length reach the target on average; each pair counts with its own chance.
+
+    A chance counts as 1 / (2 trials + 2) at least, so ``most`` is beyond what any target up to 0.999 needs.
+    """
     rng, probe, edits = np.random.default_rng(11), CgkSampler(trials, bits, seed=13), allowed_edits(len(items[0]), percent)
     plain = [items[i % len(items)] for i in range(pairs)]
     keys = probe.keys(np.stack([*plain, *(_simulated_edits(h, edits, rng) for h in plain)]))
@@ -163,39 +175,79 @@ def without_runs(hit: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
     return hit * ((index < most) | (np.repeat(length, length) - index <= most))
 
 
-def find_windows(h: np.ndarray, lengths: list[int], percent: int, bitmap: np.ndarray, masks: np.ndarray, pair_most: int, block: int = 4096) -> list[tuple[int, int, np.ndarray]]:
-    """(item length, start in the window, window with its margins) of each place of a text that passes the count filters."""
-    if len(h) < 2:
+def first_places(words: np.ndarray, n: int) -> np.ndarray:
+    """Place in the bitmap of a word among the first of an item of ``n`` words."""
+    with np.errstate(over="ignore"):
+        x = (words ^ np.uint64(n)) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(40)).astype(np.int64)
+
+
+def bits_at(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1
+
+
+@dataclass(frozen=True)
+class Filters:
+    """What a task must know of the items: tables of fixed size, and for each length the groups that have items of it."""
+
+    lengths: tuple[tuple[int, int], ...]  # (n, bit mask of groups), rising
+    percent: int
+    pairs: np.ndarray
+    masks: np.ndarray
+    firsts: np.ndarray
+    pair_most: int
+
+    def need(self, n: int) -> int:
+        return max(0, n - 1 - 2 * allowed_edits(n, self.percent))
+
+    @cached_property
+    def density(self) -> tuple[int, int]:
+        """(w, t): any stretch that passes for some length has ``t`` hits among some ``w`` pairs in a row, or in a text of fewer."""
+        w = max(1, min(n + allowed_edits(n, self.percent) for n, _ in self.lengths) - 1)
+        return w, min(-(-self.need(n) // -(-max(1, n + allowed_edits(n, self.percent) - 1) // w)) for n, _ in self.lengths)
+
+
+def find_windows(h: np.ndarray, f: Filters, block: int = 4096) -> list[tuple[int, int, np.ndarray]]:
+    """(item length, start in the window, window with its margins) of each place of a text that passes the filters."""
+    if not len(h):
         return []
     pairs = word_pairs(h)
-    hit = without_runs((bitmap[pairs >> 3] >> (pairs & 7).astype(np.uint8)) & 1, pairs, pair_most)
+    hit = without_runs(bits_at(f.pairs, pairs), pairs, f.pair_most)
     sums = np.r_[0, np.cumsum(hit, dtype=np.int64)]
-    least = min(n - 1 - 2 * allowed_edits(n, percent) for n in lengths)
-    if sums[-1] < least:
+    w, t = f.density
+    w = min(w, len(pairs))
+    dense = np.flatnonzero(sums[w:] - sums[: len(sums) - w] >= t)
+    if not len(dense):
         return []
-    reach = max(n + allowed_edits(n, percent) for n in lengths)
-    groups = np.arange(64, dtype=np.uint64)
+    reach = max(n + allowed_edits(n, f.percent) for n, _ in f.lengths)
+    begin, end = max(0, int(dense[0]) - reach), min(len(h), int(dense[-1]) + w + 1)
     out, seen = [], set()
-    for first in range(0, len(h), block):
+    for first in range(begin, end, block):
         by_group = None
-        for n in lengths:
-            edits = allowed_edits(n, percent)
-            starts = np.arange(first, min(first + block, len(h) - (n - edits) + 1))
+        for n, groups in f.lengths:
+            edits = allowed_edits(n, f.percent)
+            starts = np.arange(first, min(first + block, end, len(h) - (n - edits) + 1))
             if not len(starts):
                 continue
-            need = max(1, n - 1 - 2 * edits)
+            need = f.need(n)
             ends = np.minimum(starts + n + edits, len(h)) - 1
             ok = sums[ends] - sums[starts] >= need
-            if not ok.any():
-                continue
-            if by_group is None:
-                part = slice(first, first + block + reach)
-                bits = (masks[pairs[part] >> MASK_SHIFT][:, None] >> groups) & np.uint64(1)
-                by_group = np.zeros((len(bits) + 1, 64), np.int32)
-                np.cumsum(bits.astype(np.int32) * hit[part].astype(np.int32)[:, None], axis=0, out=by_group[1:])
             starts, ends = starts[ok], ends[ok]
-            ok = (by_group[ends - first] - by_group[starts - first] >= need).any(1)
-            for p in starts[ok].tolist():
+            ok = bits_at(f.firsts, first_places(h[starts], n)) == 1
+            starts, ends = starts[ok], ends[ok]
+            if not len(starts):
+                continue
+            if need:
+                if by_group is None:
+                    part = slice(first, first + block + reach)
+                    bits = (f.masks[pairs[part] >> MASK_SHIFT][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+                    by_group = np.zeros((len(bits) + 1, 64), np.int32)
+                    np.cumsum(bits.astype(np.int32) * hit[part].astype(np.int32)[:, None], axis=0, out=by_group[1:])
+                own = [g for g in range(64) if groups >> g & 1]
+                ok = (by_group[np.ix_(ends - first, own)] - by_group[np.ix_(starts - first, own)] >= need).any(1)
+                starts = starts[ok]
+            for p in starts.tolist():
                 low = max(0, p - edits)
                 window = h[low : p + n + edits]
                 if (n, p - low, window.tobytes()) not in seen:
@@ -204,11 +256,51 @@ def find_windows(h: np.ndarray, lengths: list[int], percent: int, bitmap: np.nda
     return out
 
 
+def item_filters(items: DataFrame, percent: int) -> Filters:
+    """Built in tasks; what comes back is at most 256 parts of the tables and a row for each item length."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, item in zip(b["n"], b["item"], strict=True):
+                h, group = np.frombuffer(item, np.uint64), np.uint64(1) << np.uint64(group_of(item))
+                met, first = np.unique(word_pairs(h)), np.unique(first_places(h[: allowed_edits(n, percent) + 1], n))
+                yield pd.DataFrame({"kind": np.repeat([0, 1], [len(met), len(first)]).astype("i4"), "place": np.r_[met, first], "mask": np.full(len(met) + len(first), group).view("i8")})
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        at, size = g["place"].to_numpy("i8") & (PART_BITS - 1), PART_BITS
+        bits, masks = np.zeros(size // 8, np.uint8), np.zeros(size >> MASK_SHIFT, np.uint64)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        np.bitwise_or.at(masks, at >> MASK_SHIFT, g["mask"].to_numpy("i8").view(np.uint64))
+        return pd.DataFrame({"kind": g["kind"].iloc[:1].to_numpy(), "part": g["place"].iloc[:1].to_numpy() // PART_BITS, "bits": [bits.tobytes()], "masks": [masks.tobytes()]})
+
+    told = items.mapInPandas(places, "kind int, place long, mask long").groupBy("kind", "place").agg(F.bit_or("mask").alias("mask"))
+    parts = told.groupBy("kind", F.floor(F.col("place") / PART_BITS)).applyInPandas(pack, "kind int, part long, bits binary, masks binary").collect()
+    tables = [np.zeros(BITMAP_BITS // 8, np.uint8), np.zeros(BITMAP_BITS // 8, np.uint8)]
+    masks = np.zeros(BITMAP_BITS >> MASK_SHIFT, np.uint64)
+    for r in parts:
+        at = r["part"] * PART_BITS
+        tables[r["kind"]][at // 8 : (at + PART_BITS) // 8] = np.frombuffer(r["bits"], np.uint8)
+        if r["kind"] == 0:
+            masks[at >> MASK_SHIFT : (at + PART_BITS) >> MASK_SHIFT] = np.frombuffer(r["masks"], np.uint64)
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": b["n"], "mask": np.array([1 << group_of(x) for x in b["item"]], np.uint64).view("i8")})
+
+    of_length = items.mapInPandas(groups, "n int, mask long").groupBy("n").agg(F.bit_or("mask").alias("mask")).orderBy("n").collect()  # a row for each item length
+    most = items.agg(F.max("pair_most")).first()[0]
+    return Filters(tuple((r["n"], r["mask"] & (1 << 64) - 1) for r in of_length), percent, tables[0], masks, tables[1], most)
+
+
+def group_of(item: bytes) -> int:
+    return xxhash.xxh64_intdigest(item) & 63
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     edit_percent: int = 20,
-    min_words: int = 5,
+    min_words: int = 1,
     bits: int = 2,
     target_recall: float = 0.98,
     id_col: str = "doc_id",
@@ -223,14 +315,13 @@ def find_leaks(
             h = [word_hashes(words_of_text(t)) for t in b["text"]]
             keep = [len(x) >= min_words for x in h]
             kept = [x for x in h if len(x) >= min_words]
-            yield pd.DataFrame({"item_id": b["item_id"][keep], "n": [len(x) for x in kept], "item": [x.tobytes() for x in kept], "pair_most": [int(np.unique(word_pairs(x), return_counts=True)[1].max()) for x in kept]})
+            yield pd.DataFrame({"item_id": b["item_id"][keep], "n": [len(x) for x in kept], "item": [x.tobytes() for x in kept], "pair_most": [int(np.unique(word_pairs(x), return_counts=True)[1].max(initial=0)) for x in kept]})
 
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").alias("text"))
     items = write_and_reread(items.mapInPandas(hash_items, "item_id long, n int, item binary, pair_most int"), "leak-items")
-    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # one number per item length
-    if not lengths:
+    if items.isEmpty():
         return spark.createDataFrame([], "doc_id long, item_id long, edits int, item_words int")
-    pair_most = items.agg(F.max("pair_most")).first()[0]
+    told = spark.sparkContext.broadcast(item_filters(items, edit_percent))
     drawn = items.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64("item_id"), "item"))).where("k <= 16")
 
     def measure(g: pd.DataFrame) -> pd.DataFrame:
@@ -240,24 +331,10 @@ def find_leaks(
     repetitions = {x["n"]: x["r"] for x in drawn.groupBy("n").applyInPandas(measure, "n int, r int").collect()}  # two numbers an item length
     sampler = CgkSampler(max(repetitions.values()), bits)
 
-    def pair_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            held = [(np.unique(word_pairs(np.frombuffer(x, np.uint64))), np.uint64(1) << np.uint64(xxhash.xxh64_intdigest(x) & 63)) for x in b["item"]]
-            if held:
-                yield pd.DataFrame({"place": np.concatenate([x for x, _ in held]), "mask": np.concatenate([np.full(len(x), m, np.uint64) for x, m in held]).view("i8")})
-
-    told_pairs = items.mapInPandas(pair_places, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most BITMAP_BITS rows
-    places = told_pairs["place"].to_numpy("i8")
-    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
-    np.bitwise_or.at(bitmap, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    masks = np.zeros(BITMAP_BITS >> MASK_SHIFT, np.uint64)
-    np.bitwise_or.at(masks, places >> MASK_SHIFT, told_pairs["mask"].to_numpy("i8").view(np.uint64))
-    told = spark.sparkContext.broadcast((bitmap, masks, lengths))
-
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits_set, groups, sizes = told.value
-        for b in batches:
-            rows = [(doc_id, n, at, xxhash.xxh3_128_digest(w.tobytes() + bytes(str(at), "ascii")), w.tobytes()) for doc_id, text in zip(b["doc_id"], b["text"], strict=True) for n, at, w in find_windows(word_hashes(words_of_text(text)), sizes, edit_percent, bits_set, groups, pair_most)]
+        filters = told.value
+        for b in slices(batches):
+            rows = [(doc_id, n, at, xxhash.xxh3_128_digest(w.tobytes() + bytes(str(at), "ascii")), w.tobytes()) for doc_id, text in zip(b["doc_id"], b["text"], strict=True) for n, at, w in find_windows(word_hashes(words_of_text(text)), filters)]
             yield pd.DataFrame(rows, columns=["doc_id", "n", "at", "content", "window"]).astype({"doc_id": "Int64", "n": "int32", "at": "int32"})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
