@@ -31,10 +31,10 @@ def random_walks(edges: DataFrame, roots: DataFrame, length: int, seed: int = 20
 
 
 def uniform_roots(nodes: DataFrame, samples: int, per_sample: int, seed: int = 2021) -> DataFrame:
-    """(sample_id, walk_id, node_id): roots drawn uniformly with replacement from all nodes."""
+    """(sample_id, walk_id, node_id): roots drawn uniformly with replacement from all nodes, which are numbered by hash bucket and id."""
     spark = nodes.sparkSession
     order = Window.partitionBy("b").orderBy("node_id")
-    ids = nodes.select("node_id", F.pmod(F.xxhash64("node_id"), F.lit(64)).alias("b")).distinct()
+    ids = nodes.select("node_id", F.floor(hash_uniform("root-order", "node_id") * 64).alias("b")).distinct()
     counts = ids.groupBy("b").agg(F.count("*").alias("c"))
     total = nodes.select("node_id").distinct().count()
     before = counts.alias("x").join(counts.alias("y"), F.col("y.b") < F.col("x.b"), "left").groupBy("x.b").agg(F.coalesce(F.sum("y.c"), F.lit(0)).alias("before"))

@@ -44,9 +44,9 @@ def raw_edges(spark: SparkSession, sf_dir: str, q: float = QUANTITY) -> DataFram
     return items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_partkey") + SHIFT).cast("long").alias("dst"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, q: float = QUANTITY) -> DataFrame:
     """The standard graph: both directions, a loop at every node, no duplicates."""
-    return prep.add_self_loops(prep.to_undirected(raw_edges(spark, sf_dir)), nodes(spark, sf_dir))
+    return prep.add_self_loops(prep.to_undirected(raw_edges(spark, sf_dir, q)), nodes(spark, sf_dir))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +133,10 @@ CTES: dict[str, str] = {
 }
 
 
+#: The graph of all line items.
+WHOLE = {"raw": CTES["raw"].partition(" WHERE")[0]}
+
+
 def with_ctes(select: str, **more: str) -> str:
     """A statement over the fixture tables it needs; ``more`` adds tables of its own, in order."""
     known, needed, texts = CTES | more, [], [select]

@@ -87,16 +87,19 @@ def s5_batch_files(spark, d):
     return S.read_batches(spark, at, "fixed", "val")
 
 
-@query("SELECT node_id, round((SELECT count(DISTINCT batch_id) FROM batch_nodes) / coalesce(c, 0.1)::DOUBLE / (SELECT count(*) FROM nodes), 6) AS norm FROM nodes LEFT JOIN (SELECT node_id, count(*) AS c FROM batch_nodes GROUP BY 1) USING (node_id)")
+@query("""SELECT node_id AS src, node_id AS dst, round((SELECT count(DISTINCT batch_id) FROM batch_nodes) / coalesce(c, 0.1)::DOUBLE / (SELECT count(*) FROM nodes), 6) AS norm FROM nodes LEFT JOIN (SELECT node_id, count(*) AS c FROM batch_nodes GROUP BY 1) USING (node_id)
+    UNION ALL SELECT e.src, e.dst, round(CASE WHEN m.e IS NULL THEN 0.1 ELSE coalesce(c, 0) / m.e END::DOUBLE, 6) FROM edges e LEFT JOIN (SELECT src, dst, count(*) AS e FROM batch_edges GROUP BY 1, 2) m ON m.src = e.src AND m.dst = e.dst
+    LEFT JOIN (SELECT node_id, count(*) AS c FROM batch_nodes GROUP BY 1) k ON k.node_id = e.src""")
 def s6_cached_norms(spark, d):
     at, key = scratch_path(spark, "norms"), {"graph": d, "roots": 100, "walk_length": 2, "coverage": 1}
 
     def make():
-        n = X.nodes(spark, d)
-        return R.walk_norms(X.batch_nodes(spark, d), X.edges(spark, d).limit(0).withColumn("batch_id", F.lit(0)), n, X.edges(spark, d), n.count())[0]
+        n, rows = X.nodes(spark, d), X.batch_nodes(spark, d)
+        of_node, of_edge = R.walk_norms(rows, B.induced_subgraphs(rows, G.normalize_adj(X.edges(spark, d))), n, X.edges(spark, d), n.count())
+        return of_node.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), "norm").union(of_edge.select("src", "dst", "norm"))
 
     S.cached_norms(spark, at, key, make)
-    return S.cached_norms(spark, at, key, make).select("node_id", six("norm").alias("norm"))
+    return S.cached_norms(spark, at, key, make).select("src", "dst", six("norm").alias("norm"))
 
 
 METRIC_ROWS = "SELECT (node_id % 3)::VARCHAR AS run_id, split, 'full' AS loader, 'share' AS metric, avg(label)::DOUBLE AS value FROM labels JOIN splits USING (node_id) GROUP BY 1, 2"
@@ -295,7 +298,7 @@ def m6_node_wise_batches(spark, d):
 
 @query()
 def m7_partition_graph(spark, d):
-    return D.partition_graph(X.edges(spark, d), X.nodes(spark, d), X.PARTS, rounds=5)
+    return D.partition_graph(X.edges(spark, d), X.nodes(spark, d), X.PARTS)
 
 
 @query("""SELECT part_id, size, coalesce(inn, 0)::BIGINT AS "inner", coalesce(c, 0)::BIGINT AS cut FROM (SELECT part_id, count(*) AS size FROM parts GROUP BY 1) LEFT JOIN (
@@ -304,10 +307,10 @@ def m8_partition_quality(spark, d):
     return D.partition_quality(X.edges(spark, d), X.hash_parts(spark, d))
 
 
-@query("""SELECT batch_id, node_id, max(o) = 1 AS is_output FROM (SELECT batch_id, node AS node_id, 0 AS o FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY round(score, 12) DESC, node) AS rn FROM x3) WHERE rn <= 50
-    UNION ALL SELECT part_id, node_id, 1 FROM parts JOIN outputs USING (node_id)) GROUP BY 1, 2""", **_power_ctes(3))
+@query("""SELECT batch_id, node_id, max(o) = 1 AS is_output FROM (SELECT batch_id, node AS node_id, 0 AS o FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY round(score, 12) DESC, node) AS rn FROM x50) WHERE rn <= 50
+    UNION ALL SELECT part_id, node_id, 1 FROM parts JOIN outputs USING (node_id)) GROUP BY 1, 2""", **_power_ctes(50))
 def m9_batch_wise_batches(spark, d):
-    return B.batch_wise_batches(X.hash_parts(spark, d), X.outputs(spark, d), G.normalize_adj(X.edges(spark, d)), 50, ALPHA, 3)
+    return B.batch_wise_batches(X.hash_parts(spark, d), X.outputs(spark, d), G.normalize_adj(X.edges(spark, d)), 50, ALPHA)
 
 
 @query("SELECT part_id AS batch_id, p.node_id, o.node_id IS NOT NULL AS is_output FROM parts p LEFT JOIN outputs o ON o.node_id = p.node_id WHERE part_id IN (SELECT part_id FROM parts JOIN outputs USING (node_id))")
@@ -410,7 +413,12 @@ def r1_random_walks(spark, d):
     return _walks(spark, d)
 
 
-@query()
+@query("SELECT batch_id, node_id, is_output FROM wn", **{
+    "numbered": f"SELECT node_id, row_number() OVER (ORDER BY floor({sql_uniform('root-order', 'node_id')} * 64), node_id) - 1 AS k FROM nodes",
+    "roots": f"SELECT sample_id, walk_id, node_id FROM (SELECT a AS sample_id, b AS walk_id, floor({sql_uniform('2021-root', 'a', 'b')} * (SELECT count(*) FROM nodes))::BIGINT AS k FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(50)) AS b)) JOIN numbered USING (k)",
+    **WALK_CTES,
+    "w0": "SELECT sample_id, walk_id, 0 AS step, node_id FROM roots",
+})
 def r2_walk_subgraphs(spark, d):
     """Training samples: roots drawn with replacement over all nodes."""
     roots = R.uniform_roots(X.nodes(spark, d), 4, 50)
@@ -566,6 +574,18 @@ def n2_aggregate_mean(spark, d):
     return long_form(mean.withColumn("x", F.transform("x", lambda v: v + 1e-9)), "node_id")
 
 
+@query(UNNEST.format(keys="node_id", n=4, table=f"SELECT src AS node_id, [{_dims('sum(weight * features[#])')}] AS v FROM sym JOIN nodes ON node_id = dst GROUP BY 1"), **X.WHOLE)
+def n1_aggregate_sum_all(spark, d):
+    """Over the graph of all line items."""
+    return long_form(N.aggregate_sum(G.normalize_adj(X.edges(spark, d, 0), "sym"), _x(spark, d)), "node_id")
+
+
+@query("SELECT src, dst, round(weight, 6) AS weight FROM sym", **X.WHOLE)
+def g9_normalize_sym_all(spark, d):
+    """Over the graph of all line items."""
+    return G.normalize_adj(X.edges(spark, d, 0), "sym").withColumn("weight", six("weight"))
+
+
 ATT_CTES = {
     "dots": "SELECT node_id, h, " + ", ".join(f"list_sum(list_transform(range({WIDTH}), lambda i: features[h * {WIDTH} + i + 1] * ({_sql_array(a)})[h + 1][i + 1])) AS {n}" for n, a in (("l", ATT_L), ("r", ATT_R))) + f" FROM nodes, (SELECT unnest(range({HEADS})) AS h)",
     "att": "SELECT src, dst, h, exp(e - max(e) OVER w) / sum(exp(e - m)) OVER w AS a FROM (SELECT *, max(e) OVER (PARTITION BY src, h) AS m FROM (SELECT src, dst, a.h, CASE WHEN a.r + b.l >= 0 THEN a.r + b.l ELSE 0.2 * (a.r + b.l) END AS e FROM edges JOIN dots a ON a.node_id = src JOIN dots b ON b.node_id = dst AND a.h = b.h)) WINDOW w AS (PARTITION BY src, h)",
@@ -615,22 +635,86 @@ def _scored(spark, d):
     return X.splits(spark, d).where("split <> 'train'").select("node_id")
 
 
-@query()
+def _sql_linear(x: str, w: np.ndarray) -> str:
+    return "[" + ", ".join(" + ".join(f"{x}[{i + 1}] * {float(w[i, c])!r}::DOUBLE" for i in range(len(w))) for c in range(w.shape[1])) + "]"
+
+
+def _sql_normed(x: str, act: str = "greatest(#, 0)") -> str:
+    """Layer norm of a list, then ``act`` of each value ``#``."""
+    normed = f"list_transform({x}, lambda v: (v - list_avg({x})) / sqrt(list_aggregate({x}, 'var_pop') + {N.NORM_EPS}))"
+    return f"list_transform({normed}, lambda z: {act.replace('#', 'z')})"
+
+
+def _sql_sums(form: str, n: int) -> str:
+    return "[" + ", ".join(form.replace("#", str(k + 1)) for k in range(n)) + "]"
+
+
+SCORED = {"scored": "SELECT node_id FROM splits WHERE split <> 'train'"}
+
+
+def _gcn_ctes(keys: str, start: str, links: str, kept: str) -> dict[str, str]:
+    """``start`` gives (keys, x), ``links`` (keys but node_id, src, dst, weight); only nodes of ``kept`` come out of the last layer."""
+    (layers, (last, _)), batch = _gcn_weights(), "a.batch_id, " if "batch_id" in keys else ""
+    out, x = {"g0": start}, "x"
+    for k, w in enumerate(layers):
+        out[f"h{k}"] = f"SELECT {keys}, {_sql_linear('x', w)} AS x FROM (SELECT {keys}, {x} AS x FROM g{k})"
+        same = " AND a.batch_id = h.batch_id" if batch else ""
+        only = f" WHERE ({batch}a.src) IN (SELECT {'batch_id, ' if batch else ''}node_id FROM {kept})" if k == len(layers) - 1 else ""
+        out[f"g{k + 1}"] = f"SELECT {batch}a.src AS node_id, {_sql_sums('sum(a.weight * h.x[#])', w.shape[1])} AS x FROM {links} a JOIN h{k} h ON h.node_id = a.dst{same}{only} GROUP BY ALL"
+        x = _sql_normed("x")
+    return out | {"gout": f"SELECT {keys}, {_sql_linear('x', last)} AS v FROM (SELECT {keys}, {x} AS x FROM g{len(layers)})"}
+
+
+GCN = SCORED | _gcn_ctes("node_id", "SELECT node_id, features AS x FROM nodes", "sym", "scored")
+
+
+def _sage_ctes() -> dict[str, str]:
+    layers, (last, _) = _sage_weights()
+    out = {"s0": "SELECT node_id, features AS x FROM nodes"}
+    for k, (w_l, _, w_r) in enumerate(layers):
+        only = " WHERE src IN (SELECT node_id FROM scored)" if k == len(layers) - 1 else ""
+        out[f"near{k}"] = f"SELECT src AS node_id, {_sql_sums('avg(x[#])', len(w_l))} AS near FROM edges JOIN s{k} ON node_id = dst{only} GROUP BY 1"
+        both = f"SELECT node_id, {_sql_linear('c', np.vstack([w_l, w_r]))} AS y FROM (SELECT node_id, list_concat(near, x) AS c FROM near{k} JOIN s{k} USING (node_id))"
+        out[f"s{k + 1}"] = f"SELECT node_id, {_sql_normed('y')} AS x FROM ({both})"
+    return SCORED | out | {"sout": f"SELECT node_id, {_sql_linear('x', last)} AS v FROM s{len(layers)}"}
+
+
+def _gat_ctes() -> dict[str, str]:
+    out, layers = {"t0": "SELECT node_id, features AS x FROM nodes"}, _gat_weights()
+    for k, p in enumerate(layers):
+        final, (heads, width) = k == len(layers) - 1, p["att_l"].shape
+        dot = lambda a, h: " + ".join(f"x[{h * width + i + 1}] * {float(a[h, i])!r}::DOUBLE" for i in range(width))  # noqa: E731,B023
+        each = lambda form: ", ".join(form.replace("#", str(h)) for h in range(heads))  # noqa: E731,B023
+        out[f"th{k}"] = f"SELECT node_id, {_sql_linear('x', p['w'])} AS x FROM t{k}"
+        out[f"td{k}"] = f"SELECT node_id, {', '.join(f'{dot(p[n], h)} AS {n[-1]}{h}' for h in range(heads) for n in ('att_l', 'att_r'))} FROM th{k}"
+        only = " WHERE src IN (SELECT node_id FROM scored)" if final else ""
+        raw = f"SELECT src, dst, {each('a.r# + b.l# AS e#')} FROM edges JOIN td{k} a ON a.node_id = src JOIN td{k} b ON b.node_id = dst{only}"
+        leaky = f"SELECT src, dst, {each('CASE WHEN e# >= 0 THEN e# ELSE 0.2 * e# END AS e#')} FROM ({raw})"
+        exps = f"SELECT src, dst, {each('exp(e# - max(e#) OVER (PARTITION BY src)) AS z#')} FROM ({leaky})"
+        out[f"tp{k}"] = f"SELECT src, dst, {each('z# / sum(z#) OVER (PARTITION BY src) AS p#')} FROM ({exps})"
+        sums = "[" + ", ".join(f"sum(p{c // width} * x[{c + 1}])" for c in range(heads * width)) + "]"
+        out[f"ts{k}"] = f"SELECT src AS node_id, {sums} AS y FROM tp{k} JOIN th{k} ON node_id = dst GROUP BY 1"
+        mean = "[" + ", ".join("(" + " + ".join(f"y[{h * width + c + 1}]" for h in range(heads)) + f") / {heads}" for c in range(width)) + "]"
+        out[f"t{k + 1}"] = f"SELECT node_id, {mean if final else _sql_normed('y', 'CASE WHEN # > 0 THEN # ELSE exp(#) - 1 END')} AS x FROM ts{k}"
+    return SCORED | out
+
+
+@query(UNNEST.format(keys="node_id", n=X.CLASSES, table="SELECT * FROM gout"), **GCN)
 def n7_gcn_forward(spark, d):
     return long_form(N.gcn_forward(_x(spark, d), G.normalize_adj(X.edges(spark, d), "sym"), *_gcn_weights(), outputs=_scored(spark, d)), "node_id")
 
 
-@query()
+@query(UNNEST.format(keys="node_id", n=X.CLASSES, table="SELECT * FROM sout"), **_sage_ctes())
 def n8_sage_forward(spark, d):
     return long_form(N.sage_forward(_x(spark, d), X.edges(spark, d), *_sage_weights(), outputs=_scored(spark, d)), "node_id")
 
 
-@query()
+@query(UNNEST.format(keys="node_id", n=X.CLASSES, table=f"SELECT node_id, x AS v FROM t{len(_gat_weights())}"), **_gat_ctes())
 def n9_gat_forward(spark, d):
     return long_form(N.gat_forward(_x(spark, d), X.edges(spark, d), _gat_weights(), outputs=_scored(spark, d)), "node_id")
 
 
-@query()
+@query(UNNEST.format(keys="batch_id, node_id", n=X.CLASSES, table="SELECT * FROM gout"), **{"own": "SELECT batch_id, node_id FROM batch_nodes WHERE is_output"}, **_gcn_ctes("batch_id, node_id", "SELECT batch_id, node_id, features AS x FROM batch_nodes JOIN nodes USING (node_id)", "batch_edges", "own"))
 def n10_batch_forward(spark, d):
     rows = X.batch_nodes(spark, d)
     return long_form(N.batch_forward(rows, B.induced_subgraphs(rows, G.normalize_adj(X.edges(spark, d))), X.nodes(spark, d), N.gcn_forward, *_gcn_weights()), "batch_id", "node_id")
@@ -654,13 +738,18 @@ def _pred(spark, d):
     return N.predict(_logits(spark, d)).select(F.lit("full").alias("loader"), "node_id", "pred")
 
 
-@query("SELECT split, 'full' AS loader, round(avg((pred = label)::INT), 6) AS accuracy, count(*) AS n FROM pred JOIN labels USING (node_id) JOIN splits USING (node_id) GROUP BY 1", **MODEL)
+ACCURACY = "SELECT split, 'full' AS loader, round(avg((pred = label)::INT), 6) AS accuracy, count(*) AS n FROM j GROUP BY 1"
+MACRO_F1 = """SELECT split, 'full' AS loader, round(avg(2.0 * h / (p + t)), 6) AS f1 FROM (SELECT split, class, sum(p) AS p, sum(t) AS t, sum(h) AS h FROM (
+    SELECT split, pred AS class, 1 AS p, 0 AS t, (pred = label)::INT AS h FROM j UNION ALL SELECT split, label, 0, 1, 0 FROM j) GROUP BY 1, 2) GROUP BY 1"""
+JUDGED = {"j": "SELECT split, pred, label FROM pred JOIN labels USING (node_id) JOIN splits USING (node_id)"}
+
+
+@query(ACCURACY, **MODEL, **JUDGED)
 def e1_accuracy(spark, d):
     return E.accuracy(_pred(spark, d), X.labels(spark, d), X.splits(spark, d)).withColumn("accuracy", six("accuracy"))
 
 
-@query("""SELECT split, 'full' AS loader, round(avg(2.0 * h / (p + t)), 6) AS f1 FROM (SELECT split, class, sum(p) AS p, sum(t) AS t, sum(h) AS h FROM (
-    SELECT split, pred AS class, 1 AS p, 0 AS t, (pred = label)::INT AS h FROM j UNION ALL SELECT split, label, 0, 1, 0 FROM j) GROUP BY 1, 2) GROUP BY 1""", **MODEL, j="SELECT split, pred, label FROM pred JOIN labels USING (node_id) JOIN splits USING (node_id)")
+@query(MACRO_F1, **MODEL, **JUDGED)
 def e2_macro_f1(spark, d):
     return E.macro_f1(_pred(spark, d), X.labels(spark, d), X.splits(spark, d)).withColumn("f1", six("f1"))
 
@@ -695,10 +784,10 @@ def w2_batch_wise(spark, d):
     """Partition, power iteration and the best nodes of each part."""
     from graphbatch.plans.workloads import batch_wise_workload
 
-    return batch_wise_workload(X.edges(spark, d), X.nodes(spark, d), X.outputs(spark, d), parts=X.PARTS, ratio=0.2, alpha=ALPHA, num_iter=5)
+    return batch_wise_workload(X.edges(spark, d), X.nodes(spark, d), X.outputs(spark, d), parts=X.PARTS, ratio=0.2, alpha=ALPHA)
 
 
-@query()
+@query("SELECT split, accuracy, n, f1 FROM acc JOIN mf USING (split)", **GCN, pred="SELECT node_id, list_position(v, list_max(v)) - 1 AS pred FROM gout", **JUDGED, acc=ACCURACY, mf=MACRO_F1)
 def w3_full_scoring(spark, d):
     """Logits of the whole graph layer by layer, and accuracy and F1 of each split."""
     from graphbatch.plans.workloads import full_scoring_workload
