@@ -2,7 +2,7 @@
 
 Payload digests are computed in Spark. Of rows with equal payloads the one with the smallest page_id is written as a response, the
 others as revisits that refer to it. Each task writes archives of about ``archive_bytes`` of records; an archive's dictionary is
-trained on records of that archive, evenly spaced and at most ``sample_bytes`` of them, and stands in its leading skippable frame
+trained on records of that archive, evenly spaced and at most ``sample_bytes`` of them (of a longer record the first 128 KB), and stands in its leading skippable frame
 (magic 0x184D2A5D), so a reader needs the file only. An archive with too few records to train on has no dictionary frame.
 
 Defined results: a null html is an empty payload; a null url leaves the target header out; rows with a null page_id are written
@@ -33,30 +33,40 @@ READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest stri
 
 
 def record_roles(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int = 200_000) -> DataFrame:
-    """(page_id, url, html, sha1, refers_to): the smallest page_id with an equal payload, null for responses.
+    """(page_id, url, html, sha1, refers_to, named, refers_named): the smallest page_id with an equal payload, null for responses.
 
-    Only (digest, page_id) is shuffled for the grouping. The table of repeated payloads is then counted: up to
-    ``broadcast_rows`` rows of 48 bytes go out by broadcast, a larger one joins by shuffle.
+    ``named`` tells whether the page_id alone names the record, ``refers_named`` the same of refers_to. Only (digest, page_id) is shuffled for
+    the grouping. The tables of repeated payloads and of repeated ids are then counted: up to ``broadcast_rows`` rows of at most 48 bytes go out by
+    broadcast, a larger one joins by shuffle.
     """
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
     firsts = known.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
     firsts = write_and_reread(firsts, "warc-repeats")
-    small = firsts.count() <= broadcast_rows
-    out = known.join(F.broadcast(firsts) if small else firsts, "sha1", "left")
-    return out.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    twice = write_and_reread(known.where("page_id IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("id")), "warc-twice")
+    met = lambda table: F.broadcast(table) if table.count() <= broadcast_rows else table
+    out = known.join(met(firsts), "sha1", "left")
+    out = out.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    for column, flag in (("page_id", "named"), ("refers_to", "refers_named")):
+        out = out.join(met(twice), F.col(column) == F.col("id"), "left").withColumn(flag, F.col(column).isNotNull() & F.col("id").isNull()).drop("id")
+    return out
 
 
-def _record(page_id: int | None, url: str | None, html: str, sha1: str, refers_to: int | None) -> bytes:
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _record(name: str, page_id: int | None, url: str | None, html: str, sha1: str, refers_to: int | None, refers_named: bool) -> bytes:
     payload = html.encode("utf-8")
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-    name = lambda k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{k}')}>"
     revisit = refers_to is not None
     block = HTTP_HEAD.format(len(payload)).encode() + (b"" if revisit else payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(name)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c >= " " and c != "%" else f"%{ord(c):02X}" for c in url))
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        if refers_named:
+            lines.append(f"WARC-Refers-To: {_urn(f'page:{refers_to}')}")
     if page_id is not None:
         lines.append(f"X-Page: {page_id}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -73,7 +83,7 @@ def _train(records: list[bytes], sample_bytes: int, dictionary_bytes: int) -> zs
 
 
 def write_archives(roles: DataFrame, uri: str, archive_bytes: int = 24 << 20, dictionary_bytes: int = 65_536, sample_bytes: int = 4 << 20, level: int = 6) -> DataFrame:
-    """Write the rows of ``record_roles``; returns the manifest (file, n_records, bytes)."""
+    """Write the rows of ``record_roles``; returns the manifest (file, n_records, bytes). Record ids are unique: by page_id, or by place where that is null or repeated."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held, size, k = TaskContext.get().partitionId(), [], 0, 0
@@ -93,9 +103,10 @@ def write_archives(roles: DataFrame, uri: str, archive_bytes: int = 24 << 20, di
             return pd.DataFrame({"file": [file], "n_records": [len(held)], "bytes": [write_atomic(file, fill)]})
 
         for b in batches:
-            for row in b[["page_id", "url", "html", "sha1", "refers_to"]].itertuples(index=False):
+            for row in b.itertuples(index=False):
                 whole = lambda x: None if pd.isna(x) else int(x)
-                held.append(_record(whole(row.page_id), row.url, row.html, row.sha1, whole(row.refers_to)))
+                name = f"page:{whole(row.page_id)}" if row.named else f"place:{uri}/{part}/{k}/{len(held)}"
+                held.append(_record(name, whole(row.page_id), row.url, row.html, row.sha1, whole(row.refers_to), row.refers_named))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield flush()
@@ -103,7 +114,7 @@ def write_archives(roles: DataFrame, uri: str, archive_bytes: int = 24 << 20, di
         if held:
             yield flush()
 
-    return write_and_reread(roles.mapInPandas(write, "file string, n_records long, bytes long"), "warc-manifest")
+    return write_and_reread(roles.select("page_id", "url", "html", "sha1", "refers_to", "named", "refers_named").mapInPandas(write, "file string, n_records long, bytes long"), "warc-manifest")
 
 
 def iterate_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
