@@ -58,12 +58,19 @@ def random_epoch_batches(outputs: DataFrame, neighbors: DataFrame, per_batch: in
     return node_wise_batches(cut_outputs(outputs, per_batch, f"{seed}-{epoch}"), neighbors)
 
 
-def disjoint_copy_batches(outputs: DataFrame, neighbors: DataFrame, per_batch: int, epoch: int, seed: int = 2021) -> DataFrame:
-    """(batch_id, output_id, node_id, is_output): every output keeps a copy of its neighbours of its own; only its own copy is an output."""
+def disjoint_copy_batches(outputs: DataFrame, neighbors: DataFrame, per_batch: int, epoch: int, seed: int = 2021, flag_all_copies: bool = False) -> DataFrame:
+    """(batch_id, output_id, node_id, is_output): every output keeps a copy of its neighbours of its own; only its own copy is an output.
+
+    With ``flag_all_copies`` every copy of one of the batch's outputs is flagged, also those among the neighbours of another output.
+    """
     groups = cut_outputs(outputs, per_batch, f"{seed}-{epoch}")
     rows = groups.withColumnRenamed("node_id", "source").join(neighbors.select("source", "node").distinct(), "source")
     rows = rows.select("group_id", "source", "node").union(groups.select("group_id", "node_id", "node_id")).distinct()
-    return rows.select(F.col("group_id").alias("batch_id"), F.col("source").alias("output_id"), F.col("node").alias("node_id"), (F.col("source") == F.col("node")).alias("is_output"))
+    flag = F.col("source") == F.col("node")
+    if flag_all_copies:
+        rows = rows.join(groups.select("group_id", F.col("node_id").alias("node"), F.lit(True).alias("own")), ["group_id", "node"], "left")
+        flag = F.coalesce("own", F.lit(False))
+    return rows.select(F.col("group_id").alias("batch_id"), F.col("source").alias("output_id"), F.col("node").alias("node_id"), flag.alias("is_output"))
 
 
 def disjoint_copy_edges(copies: DataFrame, adj: DataFrame) -> DataFrame:

@@ -343,6 +343,12 @@ def m14_disjoint_copy_batches(spark, d):
     return B.disjoint_copy_batches(X.outputs(spark, d), X.neighbors(spark, d), 100, 3)
 
 
+@query("SELECT g.group_id AS batch_id, g.node_id AS output_id, node AS node_id, o.node_id IS NOT NULL AS is_output FROM g JOIN neighbors ON source = g.node_id LEFT JOIN g o ON o.group_id = g.group_id AND o.node_id = node", g=_epoch_groups("2021-3", "100"))
+def m14_disjoint_copies_all_flags(spark, d):
+    """Every copy of an output is flagged."""
+    return B.disjoint_copy_batches(X.outputs(spark, d), X.neighbors(spark, d), 100, 3, flag_all_copies=True)
+
+
 @query("SELECT batch_id // 2 AS batch_id, node_id, max(is_output::INT) = 1 AS is_output FROM batch_nodes GROUP BY 1, 2")
 def m15_combine_batches(spark, d):
     return B.combine_batches(X.batch_nodes(spark, d), 2)
