@@ -55,7 +55,7 @@ def samples_for_coverage(batch_nodes: DataFrame, n_nodes: int, coverage: float)
     """Rows of the samples, in order of their id, up to and with the one that brings the sampled nodes to ``n_nodes coverage``."""
     sizes = batch_nodes.groupBy("batch_id").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a sample
-    return batch_nodes.join(F.broadcast(sizes.withColumn("b", before).where(F.col("b") < n_nodes * coverage).select("batch_id")), "batch_id", "left_semi")
+    return batch_nodes.join(sizes.withColumn("b", before).where(F.col("b") < n_nodes * coverage).select("batch_id"), "batch_id", "left_semi")
 
 
 def walk_norms(batch_nodes: DataFrame, batch_edges: DataFrame, nodes: DataFrame, edges: DataFrame, n_nodes: int) -> tuple[DataFrame, DataFrame]:
