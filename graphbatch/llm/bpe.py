@@ -1,15 +1,18 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Spark splits every text into the tokenizer's words and counts them (partial counts per task, one shuffle of words).
-2. Each distinct word is encoded once with the tokenizers library; the table is written to the shared folder.
-3. The most frequent words, up to a fixed number of words and bytes, become a memory-mapped sorted digest array: a join
-   of bounded size on the map side. Any further word joins by (row, position) in a shuffle and is put back in place.
-4. Decoding joins ids to pieces through the tokenizer's own id-to-piece table (50,257 rows for the default).
+1. Spark splits every text into the tokenizer's words, once. Each task numbers the distinct words of a slice of about ``slice_words`` words of
+   whole texts, in order of a hash bucket of the word. A slice is one row of such numbers; its distinct words go out in one row a bucket.
+2. The words of a bucket meet in one group, each distinct one is encoded once with the tokenizers library, and the ids go back to the slices.
+   The number of buckets grows with the texts, so that a group holds about ``bucket_chars`` characters' share of words; a word that all texts hold is
+   one word a slice, so no bucket is hot.
+3. Slices and ids are joined by slice; within it a word's number is its position among the ids. Slices are written bucketed, so only ids move.
+4. Decoding joins the distinct ids of each slice of texts to their pieces in the tokenizer's id-to-piece table (50,257 rows for the default,
+   by broadcast, so nothing is shuffled) and puts each text together from the pieces of its slice.
 
 Tokenizers with byte-level BPE, no normalizer and no added prefix space are supported; others are refused. Added tokens in
 a text (``<|endoftext|>``) are words of their own, as in the library.
 
-Defined results: a null text counts as empty; an empty text has no ids. Rows are told apart by a key of their own, so repeated
+Defined results: a null text counts as empty; an empty text has no ids. Rows are told apart by their place in a slice, so repeated
 or null ids are no matter. A decoded text equals the original. An empty table gives an empty table.
 """
 
@@ -19,16 +22,19 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphbatch.llm.common import scratch_path, slices, write_and_reread
-from graphbatch.llm.digest_index import DigestIndex, build_index
+from graphbatch.functions.lineage import write_bucketed
+from graphbatch.llm.common import slices
 
 #: Below this code point the letter and number classes are the same in all Unicode versions in use.
 SAFE_END = 0x530
@@ -125,44 +131,82 @@ class WordCoder:
         return out
 
 
-def distinct_words(docs: DataFrame, text_col: str, path: str, held: int = 200_000) -> DataFrame:
-    """(word, n) over all texts; a task sends on what it has counted whenever it holds ``held`` words."""
+class Numbers(dict):
+    """Numbers for keys in the order of their first use."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, seen = WordCoder.cached(path), Counter()
-        for b in batches:
-            for text in b["text"]:
-                seen.update(coder.split(text))
-                if len(seen) >= held:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen = Counter()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), "<u4", len(keys))
 
 
-def encode_distinct(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids binary): each row encoded once."""
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Compressed by planes of equal bytes, since most numbers are small."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), 3)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordCoder.cached(path)
-        for b in batches:
-            yield b.assign(ids=coder.encode_words(b["word"].tolist()))
 
-    return words.mapInPandas(encode, "word string, n long, ids binary")
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack_strings(items: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, items), "<u4", len(items))
+    return zstandard.compress(np.array([len(items)], "<u4").tobytes() + sizes.tobytes() + b"".join(items), 3)
+
+
+def unpack_strings(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
+def sliced(rows: DataFrame, path: str, slice_words: int, buckets: int) -> DataFrame:
+    """Slices of whole rows (id string, text): one row (slice, ids, counts, blob of numbers) each, and one (slice, bucket, blob of words) for each bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder, number = WordCoder.cached(path), TaskContext.get().partitionId() << 32
+        known, ids, codes, size = Numbers(), [], [], 0
+
+        def close() -> Iterator[pd.DataFrame]:
+            words = [w.encode() for w in known]
+            # Sorted words, and the ids of sorted words, compress much better.
+            placed = sorted((xxhash.xxh64_intdigest(w) % buckets, w, k) for k, w in enumerate(words))
+            bucket, order = np.array([b for b, _, _ in placed], "i8"), np.array([k for _, _, k in placed], "i8")
+            rank = np.empty(len(words), "<u4")
+            rank[order] = np.arange(len(words))
+            counts = pack_numbers(np.fromiter(map(len, codes), "<u4", len(codes)))
+            yield pd.DataFrame({"slice": number, "bucket": pd.array([None], "Int32"), "ids": [ids], "counts": [counts], "blob": [pack_numbers(rank[np.concatenate(codes)])]})
+            present, starts = np.unique(bucket, return_index=True)
+            blobs = [pack_strings([words[k] for k in part.tolist()]) for part in np.split(order, starts[1:])] if len(present) else []
+            yield pd.DataFrame({"slice": number, "bucket": present.astype("i4"), "ids": None, "counts": None, "blob": blobs})
+
+        for b in slices(batches):
+            for key, text in zip(b["id"], b["text"], strict=True):
+                words = coder.split(text)
+                ids.append(key), codes.append(known.of(words))
+                size += len(words)
+                if size >= slice_words or len(ids) >= slice_words:
+                    yield from close()
+                    number, known, ids, codes, size = number + 1, Numbers(), [], [], 0
+        if ids:
+            yield from close()
+
+    return rows.mapInPandas(run, "slice long, bucket int, ids array<string>, counts binary, blob binary")
+
 
+def encode_buckets(words: DataFrame, path: str) -> DataFrame:
+    """(slice, bucket, blob of ids in the order of the words) from (slice, bucket, blob of words): each distinct word of a bucket is encoded once."""
 
-def head_words(table: DataFrame, max_words: int, max_word_bytes: int) -> DataFrame:
-    """The most frequent words: every word of at least some power of two occurrences, as low as ``max_words`` allows."""
-    short = table.where(F.octet_length("word") <= max_word_bytes)
-    sizes = {r["b"]: r["k"] for r in short.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("k")).collect()}  # at most 63 rows
-    total, least = 0, 64
-    for b in sorted(sizes, reverse=True):
-        if total + sizes[b] > max_words:
-            break
-        total, least = total + sizes[b], b
-    return short.where(F.floor(F.log2("n")) >= least)
+    def encode(g: pd.DataFrame) -> pd.DataFrame:
+        table = Numbers()
+        asked = [table.of(unpack_strings(x)) for x in g["blob"]]
+        raw = WordCoder.cached(path).encode_words([w.decode() for w in table])
+        return g[["slice", "bucket"]].assign(blob=[pack_strings([raw[k] for k in x.tolist()]) for x in asked])
+
+    return words.groupBy("bucket").applyInPandas(encode, "slice long, bucket int, blob binary")
 
 
 def encode_texts(
@@ -170,117 +214,114 @@ def encode_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer_path: str | None = None,
-    max_head_words: int = 6_000_000,
-    max_head_word_bytes: int = 64,
+    slice_words: int = 1_000_000,
+    bucket_chars: int = 4_000_000,
     digests_only: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids binary) per row; with ``digests_only`` (doc_id, n_tokens, ids_sha256, decoded_sha256) instead.
+    """(doc_id, n_tokens, ids binary) per row; with ``digests_only`` (doc_id, n_tokens, ids_sha256, decoded_sha256) instead."""
+    path, id_type = tokenizer_path or default_tokenizer(), dict(docs.dtypes)[id_col]
+    WordCoder.cached(path)  # refuses other tokenizers at once
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    cut = write_bucketed(sliced(rows, path, slice_words, max(1, -(-chars // bucket_chars))), "bpe_slices", "slice", shuffle=False)
+    own = cut.where(F.col("bucket").isNull()).select("slice", "ids", "counts", "blob")
+    found = encode_buckets(cut.where(F.col("bucket").isNotNull()).select("slice", "bucket", "blob"), path)
+    found = found.select(F.col("slice").alias("of"), "bucket", "blob")
 
-    The head holds at most ``max_head_words`` words of ``max_head_word_bytes`` bytes, whatever the corpus. A row whose words
-    are all in it is finished where it was read. Other rows carry their known ids and gaps on and are filled after the join.
-    """
-    spark, path = docs.sparkSession, tokenizer_path or default_tokenizer()
-    table = write_and_reread(encode_distinct(distinct_words(docs, text_col, path), path), "bpe-words")
-    uri = scratch_path(spark, "bpe-head")
-    head = head_words(table, max_head_words, max_head_word_bytes)
-    shards = build_index(head.select(F.col("word").cast("binary").alias("key"), F.col("ids").alias("value")), uri)
-
-    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, index = WordCoder.cached(path), DigestIndex.cached(uri, shards)
-        kept: dict[str, bytes] = {}
-        for b in slices(batches):
-            out = {"ids": [], "gaps": [], "missing": []}
-            split = [coder.split(t) for t in b["text"]]
-            found = [list(map(kept.get, words)) for words in split]
-            new = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None})
-            fresh = {w: v for w, v in zip(new, index.lookup([w.encode() for w in new]), strict=True) if v is not None}
-            kept.update(fresh)
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids = [fresh.get(w) if x is None else x for w, x in zip(words, ids, strict=True)]
-                if None not in ids:
-                    out["ids"].append(b"".join(ids)), out["gaps"].append(None), out["missing"].append(None)
-                    continue
-                runs, gaps, missing, at = [], [], [], 0
-                for word, value in zip(words, ids, strict=True):
-                    if value is None:
-                        gaps.append(at), missing.append(word)
-                    else:
-                        runs.append(value)
-                        at += len(value)
-                out["ids"].append(b"".join(runs)), out["gaps"].append(gaps), out["missing"].append(missing)
-            if len(kept) > 300_000:
-                kept.clear()
-            yield b[["row", "doc_id"]].assign(**out)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = dict(docs.dtypes)[id_col]
-    if head.count() == table.count():  # no word is outside the head: nothing to join in a shuffle
-        if digests_only:
-            return _digests(rows, known, path, id_type)
-        return _with_length(rows.mapInPandas(lambda batches: (b[["doc_id", "ids"]] for b in known(batches)), f"doc_id {id_type}, ids binary"))
-    parts = write_and_reread(rows.mapInPandas(known, f"row long, doc_id {id_type}, ids binary, gaps array<long>, missing array<string>"), "bpe-parts")
-    whole = parts.where(F.col("gaps").isNull()).select("doc_id", "ids")
-    open_rows = parts.where(F.col("gaps").isNotNull())
-    asked = open_rows.select("row", F.posexplode("missing").alias("k", "word"))
-    found = asked.join(table.select("word", F.col("ids").alias("word_ids")), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "word_ids"))).alias("fill"))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for ids, gaps, words in zip(b["ids"], b["gaps"], b["fill"], strict=True):
-                done, last = [], 0
-                for at, word in zip(gaps, words, strict=True):
-                    done += [ids[last:at], word["word_ids"]]
-                    last = at
-                out.append(b"".join([*done, ids[last:]]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
+    def whole(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[str | None, bytes]]:
+        table = [x for blob in right.sort_values("bucket")["blob"] for x in unpack_strings(blob)]
+        row = left.iloc[0]
+        ends, codes = np.cumsum(unpack_numbers(row["counts"]), dtype=np.int64).tolist(), unpack_numbers(row["blob"])
+        for key, a, b in zip(row["ids"], [0, *ends], ends, strict=False):
+            yield key, b"".join(map(table.__getitem__, codes[a:b].tolist()))
 
-    filled = open_rows.select("row", "doc_id", "ids", "gaps").join(found, "row").mapInPandas(fill, f"doc_id {id_type}, ids binary")
-    encoded = whole.unionByName(filled)
-    if digests_only:
-        return digest_rows(encoded, path)
-    return _with_length(encoded)
+    def with_ids(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(list(whole(left, right)), columns=["doc_id", "ids"])
+        return out.assign(n_tokens=out["ids"].map(len) // 4)[["doc_id", "n_tokens", "ids"]]
 
+    joined = own.groupBy("slice").cogroup(found.groupBy("of"))
+    if not digests_only:
+        return joined.applyInPandas(with_ids, "doc_id string, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast(id_type))
 
-def _with_length(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    def with_units(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return slice_of_ids(*zip(*whole(left, right), strict=True))
 
+    def digests(keys: list, raw: list[bytes], texts: list[bytes]) -> pd.DataFrame:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        back = (x.decode("utf-8", "replace").encode() for x in texts)
+        return pd.DataFrame({"doc_id": keys, "n_tokens": [len(x) // 4 for x in raw], "ids_sha256": list(map(sha, raw)), "decoded_sha256": list(map(sha, back))})
 
-def _digest_frame(doc_ids, ids: list[bytes], pieces: list[bytes]) -> pd.DataFrame:
-    decoded = [b"".join([pieces[k] for k in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace").encode() for x in ids]
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    return pd.DataFrame({"doc_id": doc_ids, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": list(map(sha, ids)), "decoded_sha256": list(map(sha, decoded))})
+    out = with_pieces(joined.applyInPandas(with_units, SLICE_OF_IDS), path, digests, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def _digests(rows: DataFrame, known, path: str, id_type: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = WordCoder.cached(path).pieces()
-        for b in known(batches):
-            yield _digest_frame(b["doc_id"], b["ids"].tolist(), pieces)
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the tokenizer's vocabulary, a table of fixed size."""
+    return spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(WordCoder.cached(path).pieces())], "id int, piece binary")
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+SLICE_OF_IDS = "keys array<string>, raw binary, id int"
 
-def digest_rows(encoded: DataFrame, path: str) -> DataFrame:
-    """n_tokens, SHA-256 of the ids and of the text decoded from them."""
-    id_type = dict(encoded.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = WordCoder.cached(path).pieces()
-        for b in batches:
-            yield _digest_frame(b["doc_id"], b["ids"].tolist(), pieces)
+def slice_of_ids(keys, raw) -> pd.DataFrame:
+    """One row with the texts' ids, then one for each distinct id of them in rising order."""
+    units = np.unique(np.frombuffer(b"".join(raw), "<i4"))
+    head = {"keys": list(keys), "raw": pack_strings(list(raw)), "id": None}
+    return pd.DataFrame([head, *({"keys": None, "raw": None, "id": k} for k in units.tolist())]).astype({"id": "Int32"})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+def with_pieces(rows: DataFrame, path: str, finish, schema: str) -> DataFrame:
+    """Each id of the slices joined to its piece; ``finish(keys, ids of each text, bytes of each text)`` makes a slice's rows.
 
-def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids binary): pieces looked up by id, joined, read as UTF-8 with the library's replacement marks."""
-    path, id_type = tokenizer_path or default_tokenizer(), dict(encoded.dtypes)["doc_id"]
+    The join is by broadcast, so the rows of a slice stay together behind their head; a missing or displaced one is an error.
+    """
+    each = rows.join(F.broadcast(piece_table(rows.sparkSession, path)), "id", "left").select("keys", "raw", "id", "piece")  # as many rows as the vocabulary has
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, units, pieces = None, [], []
+
+        def close() -> pd.DataFrame:
+            keys, blob = head
+            raw, known = unpack_strings(blob), np.concatenate([*units, np.zeros(0, "i4")]).astype("i4")
+            places = [np.searchsorted(known, np.frombuffer(x, "<i4")) for x in raw]
+            if (np.diff(known) <= 0).any() or any((p >= len(known)).any() or (known[p] != np.frombuffer(x, "<i4")).any() for p, x in zip(places, raw, strict=True)):
+                raise RuntimeError("the pieces of a slice are not all behind its head")
+            return finish(list(keys), raw, [b"".join(map(pieces.__getitem__, p.tolist())) for p in places])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = WordCoder.cached(path).pieces()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [b"".join([pieces[k] for k in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in b["ids"]]})
+            starts = np.flatnonzero(b["id"].isna().to_numpy()).tolist()
+            for s, e in zip([0, *starts], [*starts, len(b)], strict=True):
+                if s in starts and (e > s):
+                    if head is not None:
+                        yield close()
+                    head, units, pieces = (b["keys"].iloc[s], b["raw"].iloc[s]), [], []
+                    s += 1
+                units.append(b["id"].iloc[s:e].to_numpy("i4"))
+                pieces += b["piece"].iloc[s:e].tolist()
+        if head is not None:
+            yield close()
+
+    return each.mapInPandas(run, schema)
+
+
+def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None, slice_ids: int = 2_000_000) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids binary): ids joined to pieces, read as UTF-8 with the library's replacement marks."""
+    path, id_type = tokenizer_path or default_tokenizer(), dict(encoded.dtypes)["doc_id"]
 
-    return encoded.select("doc_id", "ids").mapInPandas(decode, f"doc_id {id_type}, text string")
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, raw, size = [], [], 0
+        for b in slices(batches):
+            for key, ids in zip(b["doc_id"], b["ids"], strict=True):
+                keys.append(key), raw.append(ids or b"")
+                size += len(raw[-1]) // 4
+                if size >= slice_ids or len(keys) >= slice_ids:
+                    yield slice_of_ids(keys, raw)
+                    keys, raw, size = [], [], 0
+        if keys:
+            yield slice_of_ids(keys, raw)
+
+    def texts(keys: list, raw: list[bytes], found: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": keys, "text": [x.decode("utf-8", "replace") for x in found]})
+
+    rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(units, SLICE_OF_IDS)
+    return with_pieces(rows, path, texts, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(id_type))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import collections
+import datetime
 import hashlib
 import itertools
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from graphbatch.llm import bpe, decontamination, ngram_join, pii, quality_rules, substring_dedup, token_output, toxicity, url_filters, warc
 from graphbatch.llm.common import scratch_path
+from graphbatch.llm.files import open_fs
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "si", "tu", "ve", "zo") for b in ("ban", "cor", "dil", "fes", "gam", "hut", "jol", "kim", "lap", "mer")]
 SHAPE = "doc_id long, text string, n_words int, kept string, seed int, extra string"
@@ -131,6 +135,25 @@ def test_toxicity_folding_and_odd_rows(spark):
     assert toxicity.toxicity_scores(frame(spark, []), none).count() == 0
 
 
+def test_match_weight_equals_a_naive_scan():
+    r = random.Random(33)
+    lexicon = {" bad": 1.0, " badly ": 2.5, " ba": 0.5, " ugl": 3.0, " ugly ": 4.0, " worse ": 1.5}
+    exceptions = frozenset([" not bad ", " bad luck ", " old ugly "])
+    automaton = toxicity.ToxicModel(lexicon, tuple(exceptions)).automaton()
+    for _ in range(500):
+        folded = toxicity.fold(" ".join(r.choice(["bad", "badly", "bade", "not", "old", "ugly", "ugliest", "worse", "luck", "x"]) for _ in range(r.randrange(14))))
+        spared = [(a, a + len(e)) for e in exceptions for a in range(len(folded)) if folded.startswith(e, a)]
+        want = 0.0
+        for at in range(len(folded)):
+            fit = max((p for p in lexicon if folded.startswith(p, at)), key=len, default=None)
+            if fit and not any(a <= at and at + len(fit) <= b + 1 for a, b in spared):
+                want += lexicon[fit]
+        assert abs(toxicity.match_weight(folded, automaton, exceptions) - want) < 1e-9
+    began = time.perf_counter()
+    assert toxicity.match_weight(toxicity.fold("old ugly " * 100_000), automaton, exceptions) == 0
+    assert time.perf_counter() - began < 10
+
+
 # ---- n-gram join
 
 
@@ -168,15 +191,53 @@ def test_links_are_the_same_by_broadcast_and_by_shuffle(spark):
     assert few == many and few
 
 
-def test_tree_loses_no_pair():
+def test_trees_lose_no_pair():
     r = np.random.default_rng(1)
-    base = r.poisson(2, (40, 64))
-    v = np.concatenate([base, np.maximum(0, base + r.integers(-1, 2, base.shape) * (r.random(base.shape) < 0.1)), r.poisson(2, (200, 64))]).astype(np.int64)
-    n = v.sum(1)
-    i, j, bound = ngram_join.CountVectorTree(v, n).close_pairs(85)
-    want = {(a, b) for a, b in itertools.combinations(range(len(v)), 2) if np.minimum(v[a], v[b]).sum() >= ngram_join.needed_overlap(n[a] + n[b], 85)}
-    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)} == want and len(want) >= 40
-    assert (bound == np.minimum(v[i], v[j]).sum(1)).all()
+    base = r.poisson(2, (60, 128))
+    v = np.concatenate([base, np.maximum(0, base + r.integers(-1, 2, base.shape) * (r.random(base.shape) < 0.1)), r.poisson(2, (400, 128))]).astype(np.uint8)
+    n, parts = v.sum(1, dtype=np.int64), np.r_[np.arange(60), np.arange(60) + 30, np.full(400, 7)]
+    tree = np.sort(r.integers(0, 3, len(v)))
+    forest = ngram_join.CountVectorForest(tree, v, n, parts)
+    assert len(forest.levels) >= 3
+    roots = np.arange(len(forest.levels[-1].tree))
+    found = [np.concatenate(x) for x in zip(*forest.descend(len(forest.levels) - 1, roots, roots, 80, chunk=500), strict=True)]
+    want = {(a, b) for a, b in itertools.combinations(range(len(v)), 2) if tree[a] == tree[b] and parts[a] != parts[b] and np.minimum(v[a], v[b]).sum(dtype=int) >= ngram_join.needed_overlap(n[a] + n[b], 80)}
+    assert set(zip(found[0].tolist(), found[1].tolist(), strict=True)) == want and len(want) >= 20
+    assert all(np.minimum(v[a], v[b]).sum(dtype=int) == c for a, b, c in zip(*found, strict=True))
+
+
+def test_bounds_of_all_levels_hold():
+    """Folded counts bound the overlap from above, also where a count takes two bytes."""
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 4000, n).astype(np.uint64)) for n in (1, 20, 70, 150, 400, 900, 2000, 5000)] + [np.arange(0, 300 * 2048, 2048, dtype=np.uint64)]
+    levels = ngram_join.level_of(np.array([len(s) for s in sets]))
+    packed = np.array([ngram_join.count_vector(s) for s in sets], object)
+    assert len(set(levels)) > 3 and levels.max() <= ngram_join.TOP_LEVEL
+    for level in sorted(set(levels)):
+        at = np.flatnonzero(levels >= level)
+        v = ngram_join.unpacked(packed[at], levels[at], int(level))
+        assert (v.sum(1, dtype=int) == [len(sets[k]) for k in at]).all()
+        for i, j in itertools.combinations(range(len(at)), 2):
+            assert np.minimum(v[i], v[j]).sum(dtype=int) >= len(np.intersect1d(sets[at[i]], sets[at[j]]))
+
+
+@pytest.mark.parametrize(("words", "percent", "block", "seed", "told"), [(3, 70, 6, 5, 1_000_000), (4, 85, 4, 6, 0)])
+def test_groups_of_copies_equal_brute_force(spark, words, percent, block, seed, told):
+    """Groups around a few texts, some just under the threshold, in lists of many blocks."""
+    r = random.Random(seed)
+    first = [prose(r, 60).split(" ") for _ in range(3)]
+    rows = []
+    for i in range(150):
+        base = list(r.choice(first))
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            base[r.randrange(60)] = r.choice(WORDS)
+        rows.append((i, " ".join(base)))
+    rows += [(0, rows[0][1]), (3, rows[90][1])]
+    sets = brute_components([*rows[:150]], words, percent)
+    got = ngram_join.similar_components(frame(spark, rows[:150]), words, percent, block=block, broadcast_rows=told).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == sets and len({c for _, c in sets.values()}) > 1
+    again = ngram_join.similar_components(frame(spark, rows), words, percent, block=block).collect()
+    assert len(again) == 152 and {x.component_id for x in again} <= set(range(150))
 
 
 def test_near_duplicates_keep_one_of_each_group(spark):
@@ -197,9 +258,9 @@ def test_pseudonyms_are_valid_linked_and_told_apart(spark):
     text = "card 4111 1111 1111 1111 and 4111111111111111, not 4111111111111112; call +1 (743) 555-3824; at 12.34.56.78 not 300.1.1.1; on 2020-02-29 not 2021-02-29; x@y.org 123-45-6789"
     rows = [(1, text), (2, "again 4111-1111-1111-1111 12.34.56.78 X@Y.org"), (3, None), (4, ""), (5, "no digits"), (6, "9" * 5000), (1, text)]
     docs = frame(spark, rows)
-    got = pii.pseudonymise(docs, count_col="n").collect()
+    got = pii.pseudonymise(docs, "k", count_col="n").collect()
     out = {x.doc_id: x for x in got}
-    assert pii.pseudonymise(docs).columns == docs.columns and len(got) == len(rows)
+    assert pii.pseudonymise(docs, "k").columns == docs.columns and len(got) == len(rows)
     assert out[3].text is None and out[4].text == "" and out[5].text == "no digits" and out[6].text == "9" * 5000
     for gone in ("4111 1111 1111 1111", "4111111111111111", "743) 555", "12.34.56.78", "2020-02-29", "x@y.org", "123-45-6789"):
         assert gone not in out[1].text
@@ -210,20 +271,117 @@ def test_pseudonyms_are_valid_linked_and_told_apart(spark):
     assert sum(digits[::2]) % 10 == -sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) % 10
     assert card in out[1].text.replace(" ", "") and card in out[2].text.replace("-", "")
     assert re.search(r"\d+\.\d+\.\d+\.\d+", out[2].text)[0] in out[1].text and re.search(r"\S+@\S+", out[2].text)[0] in out[1].text
-    other = pii.pseudonymise(docs, key="another").where("doc_id = 2").first().text
+    other = pii.pseudonymise(docs, "another").where("doc_id = 2").first().text
     assert other != out[2].text
 
 
 def test_cards_before_short_numbers_and_undivided_digits_are_found(spark):
     card, secret = "4111 1111 1111 1111", "a1b2c3d4" * 4
     rows = [(1, f"pay {card} 12/27 now"), (2, f"pay {card} 123"), (3, "pay " + "-".join("4111111111111111")), (4, f"token {secret}"), (5, f"pay {card}"), (6, "pay 4111 1111 1111 1112 123")]
-    out = {x.doc_id: (x.text, x.n) for x in pii.pseudonymise(frame(spark, rows), count_col="n").collect()}
+    out = {x.doc_id: (x.text, x.n) for x in pii.pseudonymise(frame(spark, rows), "k", count_col="n").collect()}
     new = out[5][0].removeprefix("pay ")
     assert new != card and out[1] == (f"pay {new} 12/27 now", 1) and out[2] == (f"pay {new} 123", 1)
     assert out[3] == ("pay " + "-".join(new.replace(" ", "")), 1)
     assert secret not in out[4][0] and out[4][1] == 1 and out[6] == (rows[5][1], 0)
 
 
+def brute_pseudonym(key: str, v: str) -> str | None:
+    """One finding's pseudonym in plain Python."""
+
+    def network(kind: str, value: int, a: int, b: int) -> int:
+        x, y = divmod(value, b)
+        for r in range(1, 9):
+            other = y if r % 2 else x
+            add = int(hashlib.sha256(f"{key}|{kind}|{r}|{other}|{key}".encode()).hexdigest()[:15], 16)
+            x, y = ((x + add) % a, y) if r % 2 else (x, (y + add) % b)
+        return x * b + y
+
+    def luhn(d: str) -> int:
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d)))
+
+    def put(value: str, digits: str) -> str:
+        left = iter(digits)
+        return re.sub("[0-9]", lambda _: next(left), value)
+
+    digits = re.sub("[^0-9]", "", v)
+    for kind, pattern in pii.KINDS:
+        if not re.fullmatch(pattern, v, re.A):
+            continue
+        if kind == "email":
+            return "u" + hashlib.sha256(f"{key}|email|{v.lower()}".encode()).hexdigest()[:16] + "@example.invalid"
+        if kind == "secret" and re.search("[0-9]", v) and re.search("[a-fA-F]", v):
+            h = hashlib.sha512(f"{key}|secret|{v.lower()}".encode()).hexdigest()
+            return "".join([h, *(hashlib.sha512(f"{key}|{h}|{k}".encode()).hexdigest() for k in range(1, -(-len(v) // 128)))])[: len(v)]
+        if kind == "ip" and max(octets := list(map(int, v.split(".")))) <= 255:
+            n = network("ip", int.from_bytes(bytes(octets)), 65_536, 65_536)
+            return ".".join(map(str, n.to_bytes(4)))
+        if kind == "date":
+            iso = v[4] == "-"
+            y, m, d = map(int, v.split("-") if iso else reversed(re.split("[./]", v)))
+            try:
+                day = (datetime.date(y, m, d) - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if 1900 <= y <= 2099:
+                new = datetime.date(1900, 1, 1) + datetime.timedelta(network("date", day, 17, 4297))
+                sep = re.search("[./]", v)
+                return new.isoformat() if iso else new.strftime(f"%d{sep[0]}%m{sep[0]}%Y")
+        if kind == "ssn" and digits[:3] not in ("000", "666") and v[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000":
+            group, serial = divmod(network("ssn", (int(digits[3:5]) - 1) * 9999 + int(digits[5:]) - 1, 99, 9999), 9999)
+            return f"{digits[:3]}-{group + 1:02d}-{serial + 1:04d}"
+        if kind == "phone":
+            ten = digits[-10:]
+            new = f"{network('phone', int(ten[1:3] + ten[4:]), 10_000, 10_000):08d}"
+            return put(v, digits[:-10] + ten[0] + new[:2] + ten[3] + new[2:])
+        if kind == "card":
+            shorter = (re.match(rf"\d(?:[ -]?\d){{{n - 1}}}(?=[ -])", v) for n in range(18, 12, -1))
+            for c in [v, *(m[0] for m in shorter if m)]:
+                d = re.sub("[^0-9]", "", c)
+                if luhn(d) % 10 == 0:
+                    n, half = len(d), (len(d) - 2) // 2
+                    head = d[0] + f"{network(f'card{n}', int(d[1:-1]), 10 ** (n - 2 - half), 10**half):0{n - 2}d}"
+                    return put(c, head + str(-luhn(head + "0") % 10)) + v[len(c) :]
+    return None
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    r = random.Random(31)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card(n: int) -> str:
+        d = digits(n - 1)
+        check = -sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10
+        sep = r.choice(["", " ", "-"])
+        return sep.join(f"{d}{check}"[k : k + 4] for k in range(0, n, 4))
+
+    makers = [
+        lambda: card(r.randrange(13, 20)), lambda: card(16) + " 12/27", lambda: digits(r.randrange(1, 25)),
+        lambda: r.choice(["", "+1 ", "1-"]) + f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}.{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: f"{r.randrange(1890, 2110)}-{r.randrange(14):02d}-{r.randrange(33):02d}",
+        lambda: f"{r.randrange(1, 33)}{r.choice('./')}{r.randrange(1, 14)}.{r.randrange(1890, 2110)}", lambda: f"A.b+{digits(2)}@Mail-{digits(1)}.org", lambda: "a@b", lambda: "x@y..z",
+        lambda: "".join(r.choice("0123456789abcdefABCDEF") for _ in range(r.choice([31, 32, 64, 128, 129, 300]))), lambda: r.choice(WORDS), lambda: r.choice(["é", "\n", "--", ".", "_"]),
+    ]
+    rows = [(i, r.choice(["", " ", " ", "."]).join(r.choice(makers)() + r.choice(["", " ", " ", ", ", "."]) for _ in range(r.randrange(12)))) for i in range(600)]
+    out = {x.doc_id: (x.text, x.n) for x in pii.pseudonymise(frame(spark, rows), "k", count_col="n").collect()}
+    total = 0
+    for i, text in rows:
+        done = []
+        want = re.sub(pii.ANY, lambda m: done.append(x) or x if (x := brute_pseudonym("k", m[0])) is not None else m[0], text, flags=re.A)  # noqa: B023
+        assert out[i] == (want, len(done))
+        total += len(done)
+    assert total > 500
+
+
+def test_very_long_runs_of_each_kind(spark):
+    r = random.Random(32)
+    n = 100_000
+    hexadecimal = "".join(r.choice("0123456789abcdef") for _ in range(n))
+    runs = ["9" * n, "1 " * n, "1-" * n, "a@b" + ".c" * n, "a" * n, "a@" * n, "1." * n, hexadecimal, "a-" * n + "@b.c", "(1" * n, "4111 1111 1111 1111 " * 2000, "1/1/2000 " * 2000]
+    out = {x.doc_id: (x.text, x.n) for x in pii.pseudonymise(frame(spark, list(enumerate(runs))), "k", count_col="n").collect()}
+    assert [out[k][1] for k in (3, 7, 8, 10, 11)] == [1, 1, 1, 2000, 2000]
+    assert len(out[7][0]) == n and out[7][0][:500] != hexadecimal[:500] and out[4] == (runs[4], 0)
+
+
 @pytest.mark.parametrize(("a", "b"), [(10, 10), (17, 43), (1, 7), (99, 101)])
 def test_feistel_permutes_its_domain(spark, a, b):
     got = [x.v for x in spark.range(a * b).select(pii.feistel("k", "t", F.col("id"), a, b).alias("v")).collect()]
@@ -231,9 +389,9 @@ def test_feistel_permutes_its_domain(spark, a, b):
 
 
 def test_pii_plan_is_native(spark):
-    plan = pii.pseudonymise(frame(spark, []), count_col="n")._jdf.queryExecution().toString()
+    plan = pii.pseudonymise(frame(spark, []), "k", count_col="n")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), "k").count() == 0
 
 
 # ---- decontamination
@@ -298,6 +456,39 @@ def test_leaks_at_the_full_rate_are_found(spark, kind):
     assert all(n <= len(items[item][1].split()) // 5 for (_, item), n in got.items())
 
 
+def test_recall_against_brute_force(spark):
+    """Every text against every item by the full table: items of 1 to 60 words, mixed edits up to beyond the full rate, items in a row."""
+    r = random.Random(21)
+    items = [prose(r, n).split(" ") for n in [1, 2, 3, 4, *(r.randrange(5, 60) for _ in range(40))]]
+    items[0], items[2] = ["unheard"], ["never", "said", "before"]
+    rows = []
+    for i in range(300):
+        words = prose(r, r.choice([0, 20, 120])).split()
+        for _ in range(r.choice([1, 1, 2])):
+            leak = list(r.choice(items))
+            for _ in range(r.randrange(len(leak) * 22 // 100 + 1)):
+                at = r.randrange(len(leak)) if leak else 0
+                leak[at : at + 1] = r.choice([[], [r.choice(WORDS)], [*leak[at : at + 1], r.choice(WORDS)]])
+            at = r.randrange(len(words) + 1)
+            words[at:at] = leak
+        rows.append((i, " ".join(words)))
+    number: dict[bytes, int] = {}
+    coded = lambda text: [number.setdefault(w, len(number)) for w in text.encode().lower().split()]
+    of_item = {k: coded(" ".join(x)) for k, x in enumerate(items)}
+    want = {(i, k): d for i, t in rows for k, x in of_item.items() if (d := decontamination.held_edits(x, coded(t))) <= len(x) // 5}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.edits for x in decontamination.find_leaks(frame(spark, rows), bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 250
+    assert all(got[x] >= want[x] for x in got) and sum(got[x] == want[x] for x in got) >= 0.97 * len(got)
+
+
+def test_a_leak_without_an_id_stays(spark):
+    item = prose(random.Random(3), 30)
+    docs = frame(spark, [(None, item), (1, item), (2, "clean"), (None, "clean")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(repr(x.doc_id) for x in decontamination.drop_leaks(docs, bench).collect()) == ["2", "None", "None"]
+
+
 def test_edit_distance_equals_the_full_table():
     r = random.Random(6)
     for _ in range(200):
@@ -380,6 +571,41 @@ def test_every_copy_in_a_text_is_found(spark):
         assert covered(got, start, end, doc_id) == 0, (doc_id, start, end)
 
 
+def test_passages_against_brute_force(spark):
+    """Verbatim runs of 50 words by a scan of all windows, and stretches of 50 to 500 words moved with words replaced, inserted and left out."""
+    r = random.Random(51)
+    new = lambda n: [f"{r.choice(WORDS)}{r.choice(WORDS)}" for _ in range(n)]
+    texts: list[list[str]] = []
+    planted: dict[int, set[int]] = {}
+    for i in range(80):
+        words = new(r.randrange(60, 700))
+        planted[i] = set()
+        for _ in range(r.randrange(3) if i > 10 else 0):
+            source = texts[r.randrange(i)]
+            n = min(len(source), r.randrange(60, 500))
+            start = r.randrange(len(source) - n + 1)
+            piece = source[start : start + n]
+            for _ in range(r.choice([0, n // 40, n // 15])):
+                at = r.randrange(len(piece))
+                piece[at : at + 1] = r.choice([new(1), [], [piece[at], *new(1)]])
+            at = r.choice([0, len(words)])
+            words[at:at] = piece
+            planted[i] = {p + len(piece) if at == 0 else p for p in planted[i]} | set(range(at, at + len(piece)))
+        texts.append(words)
+    reported = {i: set() for i in range(80)}
+    for x in substring_dedup.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect():
+        reported[x.doc_id] |= set(range(x.start_word, x.end_word))
+    seen: set[tuple] = set()
+    verbatim: dict[int, set[int]] = {}
+    for i, t in enumerate(texts):
+        runs = [tuple(t[p : p + 50]) for p in range(len(t) - 49)]
+        verbatim[i] = {p + k for p, w in enumerate(runs) if w in seen for k in range(50)}
+        seen.update(runs)
+    share = lambda a, b: sum(len(a[i] & b[i]) for i in a) / sum(map(len, a.values()))
+    assert sum(map(len, verbatim.values())) > 2000 and share(verbatim, reported) > 0.99
+    assert share(planted, reported) > 0.95 and share(reported, planted) > 0.97
+
+
 def test_chains_equal_the_quadratic_version():
     r = random.Random(10)
     for _ in range(50):
@@ -409,20 +635,26 @@ def library():
     return Tokenizer.from_file(bpe.default_tokenizer())
 
 
-@pytest.mark.parametrize("head", [6_000_000, 20, 0])
-def test_ids_equal_the_library(spark, head):
+@pytest.mark.parametrize("size", [1_000_000, 100])
+def test_ids_equal_the_library(spark, size):
     rows = odd_rows() + [(100 + i, t) for i, t in some_docs(4, 20)] + [(200, "It's we'll  I'D\n\n x 12ab "), (201, "<|endoftext|><|endoftext|> a")]
     t = library()
     want = sorted((repr(i), t.encode(x or "", add_special_tokens=False).ids, x or "") for i, x in rows)
-    encoded = bpe.encode_texts(frame(spark, rows), max_head_words=head)
+    encoded = bpe.encode_texts(frame(spark, rows), slice_words=size, bucket_chars=size)
     got = sorted((repr(x.doc_id), np.frombuffer(x.ids, "<u4").tolist(), x.n_tokens) for x in encoded.collect())
     assert [(i, ids) for i, ids, _ in got] == [(i, ids) for i, ids, _ in want] and all(len(ids) == n for _, ids, n in got)
-    back = sorted((repr(x.doc_id), x.text) for x in bpe.decode_ids(encoded).collect())
+    back = sorted((repr(x.doc_id), x.text) for x in bpe.decode_ids(encoded, slice_ids=size).collect())
     assert back == sorted((i, x) for i, _, x in want)
-    digests = sorted((repr(x.doc_id), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in bpe.encode_texts(frame(spark, rows), max_head_words=head, digests_only=True).collect())
+    digests = sorted((repr(x.doc_id), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in bpe.encode_texts(frame(spark, rows), slice_words=size, bucket_chars=size, digests_only=True).collect())
     assert digests == sorted((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()) for i, ids, x in want)
 
 
+def test_bpe_plan_joins_by_slice_and_by_piece(spark):
+    plan = bpe.encode_texts(frame(spark, odd_rows()), digests_only=True)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "BroadcastHashJoin" in plan
+    assert not re.search(r"Exchange hashpartitioning\(slice", plan)  # the slices are bucketed
+
+
 def test_bpe_of_no_rows_and_other_tokenizers(spark):
     assert bpe.encode_texts(frame(spark, [])).count() == 0
     import public_tokenizers
@@ -485,6 +717,20 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(empty).count() == 0
 
 
+def test_record_ids_are_unique(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "c"), (2, "a"), (3, "c"), (4, "c")]
+    df = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.record_roles(df), scratch_path(spark, "test-warc"))
+    heads = [h for x in manifest.collect() for h, _ in warc.iterate_records(open_fs(x.file)[0].open_input_stream(open_fs(x.file)[1], compression=None))]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(heads) == len(rows) and len(set(ids)) == len(ids)
+    told = {h["X-Page"]: h["WARC-Record-ID"] for h in heads if h.get("X-Page") in ("2", "3", "4")}
+    four = next(h for h in heads if h.get("X-Page") == "4")
+    assert four["WARC-Refers-To"] == told["3"]
+    two = next(h for h in heads if h.get("X-Page") == "2")
+    assert two["X-Refers-To-Page"] == "1" and "WARC-Refers-To" not in two  # page 1 is two responses
+
+
 def test_small_payloads_may_stay_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     roles = {x.page_id: x.refers_to for x in warc.record_roles(df, min_bytes=3).collect()}
@@ -496,7 +742,7 @@ def test_small_payloads_may_stay_responses(spark):
 
 def test_rules_judge_like_a_scan(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("a.com", "/de/", "allow"), ("a.com", "/de/", "block"), (None, "/", "block")]
-    urls = [None, "", "no scheme", "http://", "HTTP://Example.ORG/en/12?q#f", "http://notexample.org/es/", "https://x.example.org/es/1", "http://com/de/", "http://www.com/de", "http://a.com/de/x", "http://b.a.com/fr/#", "http://ÀB.com/fr/", "x://a//b", "http://h/" + "p" * 50_000]
+    urls = [None, "", "no scheme", "http://", "HTTP://Example.ORG/en/12?q#f", "http://notexample.org/es/", "https://x.example.org/es/1", "http://com/de/", "http://www.com/de", "http://a.com/de/x", "http://b.a.com/fr/#", "http://ÀB.com/fr/", "x://a//b", "http://h/" + "p" * 50_000, "http://" + "a." * 100_000 + "com/de/"]
     df = spark.createDataFrame([(i, u, "clash", "z") for i, u in enumerate(urls + urls)], "page_id long, url string, host string, rule string")
     out = url_filters.filter_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert len(out) == 2 * len(urls)
@@ -511,3 +757,77 @@ def test_rules_judge_like_a_scan(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {x.verdict for x in url_filters.filter_urls(df, none).collect()} == {"allow"}
     assert url_filters.filter_urls(df.limit(0), none).count() == 0
+
+
+# ---- pipeline
+
+
+def test_each_pipeline_stage_equals_plain_python(spark, tmp_path):
+    """Every stage on what its predecessor kept, against the plain versions above."""
+    import corpus_pipeline
+
+    r = random.Random(41)
+    items = [prose(r, r.randrange(20, 40)) for _ in range(8)]
+    low = {i for i in range(160) if i % 3 == 1}
+    rows: list[tuple[int | None, str | None]] = []
+    for i in range(160):
+        if i % 5 == 4:
+            words = rows[r.randrange(i)][1].split(" ")
+            words[r.randrange(len(words))] = r.choice(WORDS)
+        else:
+            words = prose(r, r.choice([20, 70, 90])).split(" ")
+        if i in low:
+            words = [w + "#|" for w in words]
+        if i % 7 == 2:
+            words[5:5] = r.choice(items).split(" ")
+        if i % 6 == 2:
+            words[3:3] = ["mail", "ann@corp.example", "or", "4111 1111 1111 1111", "on", "2021-03-04"]
+        rows.append((i, " ".join(words)))
+    rows += [(160, None), (161, ""), (162, rows[0][1]), (0, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i not in low), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+    def quality(kept):
+        rules = quality_rules._learn(docs, labels).rules
+        assert rules
+
+        def good(text):
+            n, chars, symbols, lines, repeats = brute_statistics(text)
+            words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+            of = {"n_words": n, "mean_word_chars": chars / max(1, n), "symbols_per_word": symbols / max(1, n), "dup_lines_per_100_words": 100 * lines / max(1, n), "repeat_share": repeats / max(1, n)}
+            of |= {"distinct_share": len(set(words)) / max(1, n), "upper_share": sum(c in string.ascii_uppercase for c in text or "") / max(1, chars)}
+            low = any(all(of[c.feature] > c.threshold if c.above else of[c.feature] <= c.threshold for c in rule.conditions) for rule in rules)
+            return not (n < 50 or 100 * repeats > 50 * n) and not low
+
+        return [x for x in kept if good(x[1])]
+
+    def near_duplicates(kept):
+        first = brute_components(kept, 5, 80)
+        return [x for x in kept if first[x[0]][1] == x[0]]
+
+    def decontaminate(kept):
+        number: dict[bytes, int] = {}
+        coded = lambda text: [number.setdefault(w, len(number)) for w in text.encode().lower().split()]
+        of_item = [coded(x) for x in items]
+        return [x for x in kept if not any(decontamination.held_edits(i, coded(x[1])) <= len(i) // 5 for i in of_item)]
+
+    def pseudonyms(kept):
+        key = "a key for tests, not for publishing"
+        return [(i, re.sub(pii.ANY, lambda m: brute_pseudonym(key, m[0]) or m[0], t, flags=re.A)) for i, t in kept]
+
+    def encode(kept):
+        t = library()
+        return [(i, t.encode(x, add_special_tokens=False).ids) for i, x in kept]
+
+    kept, plain = docs, list(rows)
+    for (name, stage), version in zip(corpus_pipeline.STAGES, (quality, near_duplicates, decontaminate, pseudonyms, encode), strict=True):
+        kept, before = stage(spark, kept, sf), len(plain)
+        plain = version(plain)
+        got = [(x.doc_id, np.frombuffer(x.ids, "<u4").tolist()) for x in kept.collect()] if name == "BPE encoding" else [(x.doc_id, x.text) for x in kept.collect()]
+        assert sorted(got) == sorted(plain), name
+        assert len(plain) < before or version in (pseudonyms, encode)
+    assert plain and sorted((x.doc_id, np.frombuffer(x.ids, "<u4").tolist()) for x in corpus_pipeline.run(spark, sf).collect()) == sorted(plain)
