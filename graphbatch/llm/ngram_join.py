@@ -1,21 +1,28 @@
 """N-gram Jaccard join: exact components of texts whose shingle sets are similar, through count-vector R-trees.
 
 1. One pass gives each text's set size and set digest; texts with equal sets form a class, and the smallest id stands for it.
-2. Each representative's shingles are hashed into a fixed number of groups; its group counts are a point. It is listed under its
-   prefix: the shingles it would have to lose before falling below the threshold, rarest first. Linked texts share at least one.
-3. Lists with the same members count once. Points listed under one shingle are packed into R-trees (leaves of points sorted by set
-   size, boxes of coordinate maxima). The summed coordinate minima of two boxes, or two points, bound their overlap from above; only
-   pairs whose bound reaches the needed overlap survive. Lists longer than a block are cut into blocks, joined block by block. A pair
-   that shares several lists is taken from the first of them only.
-4. Surviving pairs are verified on whole texts. In each of the first rounds every point follows its best partner in another component
-   only; this ties large groups of copies together. The last round takes every surviving pair whose ends are still in different components,
-   so no link between different components is missed, and pairs inside a component, which change nothing, are never listed.
-
+2. Each representative's shingles are hashed into groups, as many as fit its size (a power of two, up to 256), and its group counts, a byte
+   each, are a point. Points with different numbers of groups are compared by the smaller, since counts of half the groups are sums. It is listed
+   under its prefix: the shingles it would have to lose before falling below the threshold, rarest first. Linked texts share at least one.
+   Only shingles that two prefixes share make a list, and lists with the same members count once. Lists are pairs of numbers; points
+   join them where they are searched.
+3. The points of each list are packed into an R-tree of ``FANOUT`` entries a node: boxes of coordinate maxima, the range of set sizes, and
+   whether all points of a node are of one component. Pairs of nodes are descended from the root; the summed coordinate minima of two
+   boxes, at last of two points, bound the overlap from above, and pairs whose bound misses the needed overlap are left with all below them.
+4. Surviving pairs are verified on whole texts, in three rounds.
+   a. Each point with its best partner among the neighbours of its leaf. This ties groups of copies together; lists with
+      points of one component only are settled.
+   b. The other lists are descended in full. Of each two components that meet in a list the best pair is verified.
+   c. Where such a pair fails, the list is descended once more and every surviving pair between different components is verified.
+   So no link between different components is missed, and pairs inside a component, which change nothing, are never listed.
+
+Long lists are cut into blocks by hash: in round a each point is in two blocks of independent hashes, later each two blocks meet.
 The order of shingles in a prefix affects speed only: shingles that are frequent in some task of the first pass go last. That list is
 bounded (``common_limit``); any order gives the same result as long as all texts use the same one.
 
-Defined results: texts without words (null, empty, blank) have 0 shingles and stand alone. Repeated rows share a class. A null doc_id
-can't be named as a component, so such rows come back with a null component_id. Empty tables give empty tables; extra columns are ignored.
+Defined results: texts without words (null, empty, blank) have 0 shingles and stand alone. Repeated rows share a class; different texts of
+one id are one node, linked by any of them. A null doc_id can't be named as a component, so such rows come back with a null
+component_id. Empty tables give empty tables; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphbatch.llm.common import write_and_reread
+from graphbatch.llm.common import slices, write_and_reread
 from graphbatch.llm.components import connected_components
 from graphbatch.llm.shingles import shingle_set
 
-LEAF = 32
-GROUPS = 256
+FANOUT = 16
+LEAST_LEVEL, TOP_LEVEL = 5, 8
 
 
 def needed_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -41,111 +48,171 @@ def needed_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // (100 + percent))
 
 
-def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
-
-
-def min_sum(a: np.ndarray, b: np.ndarray, chunk: int = 65_536) -> np.ndarray:
-    """Row by row, the summed coordinate minima."""
-    out = np.empty(len(a), np.int64)
-    for k in range(0, len(a), chunk):
-        out[k : k + chunk] = np.minimum(a[k : k + chunk], b[k : k + chunk]).sum(1, dtype=np.int64)
-    return out
-
-
-class CountVectorTree:
-    """Packed R-tree of points: leaves of ``LEAF`` points in order of set size and first coordinates, and their boxes of maxima."""
-
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes))
-        self.vectors, self.sizes = vectors[self.order], sizes[self.order]
-        self.starts = np.arange(0, len(sizes), LEAF)
-        self.boxes = np.maximum.reduceat(self.vectors, self.starts, axis=0)
-        self.least, self.most = self.sizes[self.starts], np.maximum.reduceat(self.sizes, self.starts)
-
-    def close_pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions (i, j) of all pairs that may reach the threshold, with their bounds."""
-        found = []
-        for k, start in enumerate(self.starts):
-            near = np.arange(k, len(self.starts))
-            near = near[self.least[near] * percent <= 100 * self.most[k]]
-            bound = np.minimum(self.boxes[near], self.boxes[k]).sum(1)
-            near = near[bound >= needed_overlap(self.least[near] + self.least[k], percent)]
-            mine = np.arange(start, min(start + LEAF, len(self.sizes)))
-            theirs = np.concatenate([np.arange(self.starts[x], min(self.starts[x] + LEAF, len(self.sizes))) for x in near])
-            i, j = np.repeat(mine, len(theirs)), np.tile(theirs, len(mine))
-            i, j = i[i < j], j[i < j]
-            bound = min_sum(self.vectors[i], self.vectors[j])
-            ok = bound >= needed_overlap(self.sizes[i] + self.sizes[j], percent)
-            found.append((i[ok], j[ok], bound[ok]))
-        i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-        return self.order[i], self.order[j], bound
-
-
-def shared_earlier(keys: np.ndarray, key: int) -> np.ndarray:
-    """Whether rows a and b of a list also share a list with a smaller key, as a square matrix."""
-    earlier = [k[k < key] for k in keys]
-    flat = np.concatenate(earlier)
-    if not len(flat):
-        return np.zeros((len(keys), len(keys)), bool)
-    known, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(keys)), [len(k) for k in earlier])
-    out = np.zeros((len(keys), len(keys)), bool)
-    for start in range(0, len(known), 512):  # a stripe of columns at a time
-        mine = (column >= start) & (column < start + 512)
-        m = np.zeros((len(keys), 512), np.float32)
-        m[row[mine], column[mine] - start] = 1
-        out |= m @ m.T > 0
+def level_of(sizes: np.ndarray) -> np.ndarray:
+    """A set of n shingles is hashed into 2 ** level groups, n / 2 to n where the limits allow it."""
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 1, LEAST_LEVEL, TOP_LEVEL)
+
+
+def count_vector(shingles: np.ndarray) -> bytes:
+    """Counts of the groups, a byte each, or two or four where the largest needs it."""
+    groups = 1 << int(level_of(np.array(len(shingles))))
+    counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2" if counts.max() < 65_536 else "<u4").tobytes()
+
+
+def unpacked(vectors: np.ndarray, levels: np.ndarray, level: int) -> np.ndarray:
+    """The vectors at one level; those of higher levels are folded in halves."""
+    groups, out = 1 << level, None
+    for high in np.unique(levels).tolist():
+        at = np.flatnonzero(levels == high)
+        widths = np.fromiter((len(vectors[k]) >> high for k in at), np.int64, len(at))
+        for width in np.unique(widths).tolist():
+            mine = at[widths == width]
+            x = np.frombuffer(b"".join(vectors[mine]), f"<u{width}").reshape(len(mine), 1 << (high - level), groups)
+            x = x[:, 0] if high == level else x.sum(1, dtype=np.uint32)
+            if len(mine) == len(vectors):
+                out = x
+            else:
+                out = np.zeros((len(vectors), groups), x.dtype) if out is None else out
+                out = out if out.itemsize >= x.itemsize else out.astype(x.dtype)
+                out[mine] = x
+    return out.astype("u1") if out.itemsize > 1 and out.max() < 256 else out
+
+
+def min_sum(vectors: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """The summed coordinate minima of the rows i and j, pair by pair."""
+    out = np.empty(len(i), np.int64)
+    for k in range(0, len(i), chunk):
+        out[k : k + chunk] = np.minimum(vectors[i[k : k + chunk]], vectors[j[k : k + chunk]]).sum(1, dtype=np.uint32)
     return out
 
 
-def surviving_pairs(points: pd.DataFrame, percent: int, all_pairs: bool) -> pd.DataFrame:
-    """Pairs (a < b) of points listed under one shingle whose bound reaches the threshold; ``points`` is sorted by list.
-
-    With ``all_pairs`` false each point keeps its best partner within each list, otherwise every pair between
-    different components.
+class Level:
+    """Entries of one height of all trees: points, or nodes over the entries below."""
+
+    def __init__(self, tree: np.ndarray, boxes: np.ndarray, least: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
+        self.tree, self.boxes, self.least, self.most, self.low, self.high, self.starts, self.ends = tree, boxes, least, most, low, high, starts, ends
+
+    def parents(self) -> Level:
+        first = np.flatnonzero(np.r_[True, self.tree[1:] != self.tree[:-1]])
+        place = np.arange(len(self.tree)) - np.repeat(first, np.diff(np.r_[first, len(self.tree)]))
+        at = np.flatnonzero(place % FANOUT == 0)
+        lowest, highest = (lambda x: np.minimum.reduceat(x, at)), (lambda x: np.maximum.reduceat(x, at))
+        return Level(self.tree[at], np.maximum.reduceat(self.boxes, at, axis=0), lowest(self.least), highest(self.most), lowest(self.low), highest(self.high), at, np.r_[at[1:], len(self.tree)])
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs of entries those that may hold a link between different components, with their bounds."""
+        ok = (self.least[i] * percent <= 100 * self.most[j]) & (self.least[j] * percent <= 100 * self.most[i])
+        ok &= ~((self.low[i] == self.high[i]) & (self.low[j] == self.high[j]) & (self.low[i] == self.low[j]))
+        i, j = i[ok], j[ok]
+        bound = min_sum(self.boxes, i, j)
+        ok = bound >= needed_overlap(self.least[i] + self.least[j], percent)
+        return i[ok], j[ok], bound[ok]
+
+
+class CountVectorForest:
+    """One packed R-tree for each ``tree`` number; the points come sorted by it. All trees are of the height of the largest."""
+
+    def __init__(self, tree: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
+        self.levels = [Level(tree, vectors, sizes, sizes, parts, parts)]
+        while len(self.levels) == 1 or (self.levels[-1].tree[1:] == self.levels[-1].tree[:-1]).any():
+            self.levels.append(self.levels[-1].parents())
+
+    def descend(self, height: int, i: np.ndarray, j: np.ndarray, percent: int, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points (i, j), with bounds, below the pairs of nodes of one height (i <= j); not more than about ``chunk`` are held at a time."""
+        todo = [(height, *self.levels[height].may_link(i, j, percent)[:2])]
+        while todo:
+            height, i, j = todo.pop()
+            level = self.levels[height]
+            wide, high = level.ends[i] - level.starts[i], level.ends[j] - level.starts[j]
+            n = wide * high
+            if n.sum() > chunk and len(i) > 1:
+                half = len(i) // 2
+                todo += [(height, i[half:], j[half:]), (height, i[:half], j[:half])]
+                continue
+            which = np.repeat(np.arange(len(i)), n)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            a, b = level.starts[i][which] + k // high[which], level.starts[j][which] + k % high[which]
+            ok = (i != j)[which] | (a < b if height == 1 else a <= b)
+            a, b, bound = self.levels[height - 1].may_link(a[ok], b[ok], percent)
+            if not len(a):
+                continue
+            if height == 1:
+                yield a, b, bound
+            else:
+                todo.append((height - 1, a, b))
+
+
+def _first_of(keys: tuple[np.ndarray, ...], likeness: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Positions of the most alike row of each key, ties to the smaller ``tie``."""
+    order = np.lexsort((tie, -likeness, *keys[::-1]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order[new]
+
+
+def surviving_pairs(points: pd.DataFrame, percent: int, what: str) -> Iterator[pd.DataFrame]:
+    """(list, a < b, their components, likeness) of the pairs that survive, of whole lists.
+
+    ``what``: "near" looks at neighbouring leaves only and gives each point's best partner in each list; "best" descends in full and
+    gives the best pair of each two components in each list; "all" gives every surviving pair.
     """
-    ids, sizes, parts = points["rid"].to_numpy(), points["n"].to_numpy(), points["component"].to_numpy()
-    vectors = np.frombuffer(b"".join(points["vec"]), "<u4").reshape(len(points), -1).astype(np.int32)
-    list_id, key, keys = points["list"].to_numpy(), points["key"].to_numpy(), points["keys"].to_numpy()
-    own, crossing = points["own"].to_numpy(), points["crossing"].to_numpy()
-    borders = np.flatnonzero(np.r_[True, list_id[1:] != list_id[:-1]])
-    lengths = np.diff(np.r_[borders, len(points)])
-    left, right = [], []
-    for m in range(2, LEAF + 1):  # short lists: all pairs of all lists of one length at once
-        at = borders[lengths == m]
-        if len(at):
-            i, j = np.triu_indices(m, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    bound = min_sum(vectors[i], vectors[j]) if len(i) else np.zeros(0, np.int64)
-    ok = (bound >= needed_overlap(sizes[i] + sizes[j], percent)) & (parts[i] != parts[j])
-    i, j, bound = i[ok], j[ok], bound[ok]
-    earlier: dict[int, set[int]] = {}
-    fresh = np.ones(len(i), bool)
-    for q, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        for x in (a, b):
-            if x not in earlier:
-                earlier[x] = set(keys[x][keys[x] < key[x]].tolist())
-        fresh[q] = earlier[a].isdisjoint(earlier[b])
-    found = [(i[fresh], j[fresh], bound[fresh])]
-    for at, m in zip(borders[lengths > LEAF], lengths[lengths > LEAF], strict=True):
-        a, b, bound = CountVectorTree(vectors[at : at + m], sizes[at : at + m]).close_pairs(percent)
-        ok = (parts[at + a] != parts[at + b]) & ~shared_earlier(keys[at : at + m], key[at])[a, b]
-        found.append((a[ok] + at, b[ok] + at, bound[ok]))
-    i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-    met_here = ~crossing[i] | (own[i] != own[j])  # pairs of one block have a list of their own
-    i, j, bound = i[met_here], j[met_here], bound[met_here]
-    likeness = bound / np.maximum(1, sizes[i] + sizes[j] - bound)
-    if not all_pairs and len(i):
-        # The best partner of each point within each list; ties go to the smaller id, so copies meet at one point.
-        ends, other, sim = np.r_[i, j], np.r_[j, i], np.r_[likeness, likeness]
-        best = np.lexsort((ids[other], -sim, ends))
-        keep = best[np.r_[True, ends[best][1:] != ends[best][:-1]]]
-        i, j, likeness = ends[keep], other[keep], sim[keep]
-    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    return pd.DataFrame({"a": a, "b": b, "likeness": likeness}).drop_duplicates(["a", "b"])
+    sizes = points["n"].to_numpy()
+    levels = level_of(sizes)
+    for level in np.unique(levels).tolist():
+        # Besides the level's own points those of higher ones that may link to them.
+        most = sizes[levels == level].max()
+        mine = (levels == level) | ((levels > level) & (sizes * percent <= 100 * most))
+        yield from _pairs_of_level(points[mine], levels[mine], level, percent, what)
+
+
+def _pairs_of_level(points: pd.DataFrame, levels: np.ndarray, lowest: int, percent: int, what: str) -> Iterator[pd.DataFrame]:
+    order = np.lexsort((points["rid"], points["n"], points["component"], points["own"], points["list"]))
+    lists, own, ids, sizes, parts, packed = (points[c].to_numpy()[order] for c in ("list", "own", "rid", "n", "component", "vec"))
+    levels = levels[order]
+    vectors = unpacked(packed, levels, lowest)
+    new_list = np.r_[True, lists[1:] != lists[:-1]]
+    tree = np.cumsum(new_list | np.r_[True, own[1:] != own[:-1]])
+    forest = CountVectorForest(tree, vectors, sizes, parts)
+    if what == "near":
+        height, level = 1, forest.levels[1]
+        here, beside = np.arange(len(level.tree)), np.flatnonzero(level.tree[1:] == level.tree[:-1])
+        i, j = np.r_[here, beside], np.r_[here, beside + 1]
+    else:
+        height, level = len(forest.levels) - 1, forest.levels[-1]
+        of_list = lists[np.searchsorted(tree, level.tree)]
+        crossing = np.r_[of_list[1:] == of_list[:-1], False]  # two trees are the two blocks of a crossing list
+        alone = ~crossing & ~np.r_[False, crossing[:-1]]
+        i, j = np.r_[np.flatnonzero(alone), np.flatnonzero(crossing)], np.r_[np.flatnonzero(alone), np.flatnonzero(crossing) + 1]
+    found = []
+    for i, j, bound in forest.descend(height, i, j, percent):
+        ok = (levels[i] == lowest) | (levels[j] == lowest)
+        i, j, bound = i[ok], j[ok], bound[ok]
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        ca, cb = (np.where(ids[i] == a, parts[x], parts[y]) for x, y in ((i, j), (j, i)))
+        likeness = bound / np.maximum(1, sizes[i] + sizes[j] - bound)
+        rows = pd.DataFrame({"list": lists[i], "a": a, "b": b, "ca": ca, "cb": cb, "likeness": likeness})[a != b]
+        if what == "best":
+            low, high = np.minimum(rows["ca"], rows["cb"]), np.maximum(rows["ca"], rows["cb"])
+            rows = rows.iloc[_first_of((rows["list"].to_numpy(), low.to_numpy(), high.to_numpy()), rows["likeness"].to_numpy(), rows["a"].to_numpy())]
+        if what == "all":
+            yield rows
+        else:
+            found.append(rows)
+    if not found:
+        return
+    rows = pd.concat(found, ignore_index=True)
+    if what == "near":
+        # A copy as good as another is met at the smaller id, so that copies meet at one point.
+        x, y = np.r_[rows["a"], rows["b"]], np.r_[rows["b"], rows["a"]]
+        best = _first_of((np.r_[rows["list"], rows["list"]], x), np.r_[rows["likeness"], rows["likeness"]], y)
+        rows = rows.iloc[np.unique(best % len(rows))]
+    else:
+        low, high = np.minimum(rows["ca"], rows["cb"]), np.maximum(rows["ca"], rows["cb"])
+        rows = rows.iloc[_first_of((rows["list"].to_numpy(), low.to_numpy(), high.to_numpy()), rows["likeness"].to_numpy(), rows["a"].to_numpy())]
+    yield rows
 
 
 def _scan(docs: DataFrame, k: int, local_count: int) -> DataFrame:
@@ -173,7 +240,7 @@ def _points(docs: DataFrame, k: int, percent: int, common: dict) -> DataFrame:
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys_often, ranks = told.value["keys"], told.value["ranks"]
-        for b in batches:
+        for b in slices(batches, 1024):
             out = {"rid": [], "n": [], "vec": [], "keys": []}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 s = shingle_set(text, k)
@@ -187,16 +254,16 @@ def _points(docs: DataFrame, k: int, percent: int, common: dict) -> DataFrame:
                 prefix = s[np.lexsort((s, rank))[:length]]
                 out["rid"].append(doc_id)
                 out["n"].append(len(s))
-                out["vec"].append(count_vector(s).astype("<u4").tobytes())
+                out["vec"].append(count_vector(s))
                 out["keys"].append(prefix.view("i8"))
             yield pd.DataFrame(out)
 
     return docs.mapInPandas(points, "rid long, n long, vec binary, keys array<long>")
 
 
-def _known_ids(docs: DataFrame, ids: DataFrame, how: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Semi or anti join of texts on a table of ids: by broadcast up to ``broadcast_rows`` ids of 8 bytes, else by shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", how)
+def _known_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Join with a written table of ids: by broadcast up to ``broadcast_rows`` rows of at most 16 bytes, else by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, on, how)
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, broadcast_rows: int = 500_000, share: int = 1000) -> DataFrame:
@@ -214,21 +281,76 @@ def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, broa
     dealt = dealt.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", "own", "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, held = np.zeros(0, np.uint64), None
-        for b in batches:
+        mine, held = [], None
+        for b in slices(batches, 1024):
             out = []
-            for g, doc_id, text in zip(b["g"], b["doc_id"], b["text"], strict=True):
+            for g, salt, doc_id, text in zip(b["g"], b["salt"], b["doc_id"], b["text"], strict=True):
                 s = shingle_set(text, k)
-                if g == doc_id:
-                    mine, held = s, g
+                if g == doc_id:  # different texts of one id stand for it together
+                    mine, held = [*mine, s] if held == (g, salt) else [s], (g, salt)
                     continue
-                assert held == g
-                common = len(np.intersect1d(mine, s, assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(s) - common):
-                    out.append((g, doc_id))
+                assert held == (g, salt)
+                for m in mine:
+                    common = len(np.intersect1d(m, s, assume_unique=True))
+                    if 100 * common >= percent * (len(m) + len(s) - common):
+                        out.append((g, doc_id))
+                        break
             yield pd.DataFrame(out, columns=["a", "b"]).astype("i8")
 
-    return dealt.select("g", "doc_id", "text").mapInPandas(verify, "a long, b long")
+    return dealt.select("g", "salt", "doc_id", "text").mapInPandas(verify, "a long, b long")
+
+
+def _shared_lists(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, key) of the shingles that two prefixes share, and (key, c), the lists: of those with the same members one, of its smallest shingle."""
+    listed = points.select("rid", F.explode("keys").alias("key"))
+    twice = write_and_reread(listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "ngram-twice")
+    met = write_and_reread(listed.join(twice.hint("merge"), "key", "left_semi"), "ngram-met")  # the keys grow with the texts, so they are never told to all
+    member = lambda k: F.bit_xor(F.xxhash64("rid", F.lit(k)))
+    same = met.groupBy("key").agg(F.count("*").alias("c"), member(1).alias("x"), member(2).alias("y"), F.sum(F.shiftrightunsigned(F.xxhash64("rid"), 33)).alias("z"))
+    return met, write_and_reread(same.groupBy("c", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "c"), "ngram-kept")
+
+
+def _listed_points(points: DataFrame, met: DataFrame, lists: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(rid, n, vec, key, c): the points under their lists. Few lists are told to where the points are read; many are met by shuffle, ids first."""
+    if lists.count() <= broadcast_rows:
+        return points.select("rid", "n", "vec", F.explode("keys").alias("key")).join(F.broadcast(lists), "key")
+    return met.join(lists, "key").join(points.select("rid", "n", "vec"), "rid")
+
+
+def _two_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """The rows with (list, own): a list that is longer than a block is dealt twice, by independent hashes."""
+    deals = F.when(F.col("c") > block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = rows.withColumn("deal", F.explode(deals))
+    return out.withColumn("list", F.xxhash64("key", "deal", F.pmod(F.xxhash64("rid", "deal"), F.ceil(F.col("c") / block)))).withColumn("own", F.lit(0))
+
+
+def _all_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """The rows with (list, own): each two blocks of a list that is longer than a block meet in a list of their own."""
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    out = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return out.withColumn("list", F.xxhash64("key", low, high)).withColumn("own", F.when(low == high, 0).otherwise(F.col("mine")).cast("int"))
+
+
+def _pairs(rows: DataFrame, percent: int, what: str) -> DataFrame:
+    """``surviving_pairs`` of the rows (list, own, rid, component, n, vec), list by list."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            last = b["list"].iloc[-1]
+            whole = b[b["list"] != last]
+            if held and held[0]["list"].iloc[0] != last:
+                whole, held = pd.concat([*held, whole], ignore_index=True), []
+            if len(whole):
+                yield from surviving_pairs(whole, percent, what)
+            held.append(b[b["list"] == last])
+        if held:
+            yield from surviving_pairs(pd.concat(held, ignore_index=True), percent, what)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("list", "own", "rid", "component", "n", "vec").repartition(n, "list").sortWithinPartitions("list")
+    return dealt.mapInPandas(find, "list long, a long, b long, ca long, cb long, likeness double")
 
 
 def similar_components(
@@ -240,11 +362,10 @@ def similar_components(
     block: int = 1024,
     local_count: int = 4,
     common_limit: int = 200_000,
-    rounds: int = 3,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: see the module's text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scanned = write_and_reread(_scan(docs, words, local_count), "ngram-scan")
     sets = scanned.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest")
     often = scanned.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(common_limit).toPandas()
@@ -258,56 +379,44 @@ def similar_components(
     later = sets.where("n > 0").join(classes.where("copies > 1"), ["n", "digest"]).where("doc_id <> rid").select("doc_id").distinct()
     firsts = _known_ids(docs.where("doc_id IS NOT NULL"), write_and_reread(later, "ngram-later"), "left_anti")
     points = write_and_reread(_points(firsts, words, percent, common), "ngram-points")
-
-    listed = points.select("rid", F.explode("keys").alias("key"))
-    member = lambda k: F.bit_xor(F.xxhash64("rid", F.lit(k)))
-    shared = listed.groupBy("key").agg(F.count("*").alias("c"), member(1).alias("x"), member(2).alias("y"), F.sum(F.shiftrightunsigned(F.xxhash64("rid"), 33)).alias("z")).where("c > 1")
-    shared = write_and_reread(shared.groupBy("c", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "c"), "ngram-shared")
-    of_text = listed.join(shared, "key").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("key", "c"))).alias("lists"))  # at most a text's prefix
-    rows = points.select("rid", "n", "vec").join(of_text, "rid").select("rid", "n", "vec", F.col("lists.key").alias("keys"), F.explode("lists").alias("at"))
-    blocks = F.ceil(F.col("at.c") / block).cast("int")
-    own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("at.c") > block, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.xxhash64("at.key", low, high).alias("list"), F.col("at.key").alias("key"), "own", (low != high).alias("crossing"), "rid", "n", "vec", "keys")
-    rows = write_and_reread(rows, "ngram-lists")
-
-    def pairs_of(rows: DataFrame, all_pairs: bool) -> DataFrame:
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: list[pd.DataFrame] = []
-            for b in batches:
-                last = b["list"].iloc[-1]
-                whole = b[b["list"] != last]
-                if held and held[0]["list"].iloc[0] != last:
-                    whole, held = pd.concat([*held, whole], ignore_index=True), []
-                if len(whole):
-                    yield surviving_pairs(whole.reset_index(drop=True), percent, all_pairs)
-                held.append(b[b["list"] == last])
-            if held:
-                yield surviving_pairs(pd.concat(held, ignore_index=True), percent, all_pairs)
-
-        dealt = rows.repartition(n_parts, "list").sortWithinPartitions("list", "rid")
-        return dealt.mapInPandas(find, "a long, b long, likeness double").where("a <> b")
-
-    spark = docs.sparkSession
-    links = tried = spark.createDataFrame([], "a long, b long")
-    parts = rows.withColumn("component", F.col("rid"))
-    for r in range(rounds):
-        near = pairs_of(parts, False).join(tried, ["a", "b"], "left_anti")
-        ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "likeness").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "likeness"))
-        best = ends.groupBy("x").agg(F.max(F.struct("likeness", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
-        best = write_and_reread(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"ngram-best{r}")
-        new = write_and_reread(verified_links(firsts, best, words, percent), f"ngram-links{r}")
-        if new.isEmpty():
-            tried = tried.union(best)
-            break
-        links, tried = links.union(new), tried.union(best)
-        linked = connected_components(links)
-        parts = rows.join(linked.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    rest = write_and_reread(pairs_of(parts, True).join(tried, ["a", "b"], "left_anti"), "ngram-rest")
-    final = connected_components(links.union(verified_links(firsts, rest, words, percent)))
-
-    named = classes.join(final.withColumnRenamed("id", "rid"), "rid", "left").select("n", "digest", F.coalesce("component", "rid").alias("component_id"))
+    met, lists = _shared_lists(points)
+
+    rows = _listed_points(points, met, lists, broadcast_rows)
+    near = _pairs(_two_blocks(rows, block).withColumn("component", F.col("rid")), percent, "near")
+    ends = near.select("likeness", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+    best = ends.groupBy("e.x").agg(F.max(F.struct("likeness", (-F.col("e.y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
+    best = write_and_reread(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-near")
+    linked = connected_components(verified_links(firsts, best, words, percent)).withColumnRenamed("id", "rid")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return _known_ids(rows, linked, "left", "rid", broadcast_rows).withColumn("component", F.coalesce("component", "rid"))
+
+    # Lists whose points are all of one component are settled.
+    ends = labelled(_known_ids(met, lists, "inner", "key", broadcast_rows)).groupBy("key").agg(F.first("c").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
+    lists = write_and_reread(ends.where("x <> y").select("key", "c"), "ngram-open")
+    rows = labelled(_listed_points(points, met, lists, broadcast_rows))
+    seen = write_and_reread(_pairs(_all_blocks(rows, block), percent, "best"), "ngram-seen")
+    best = seen.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("likeness", -F.col("a"), -F.col("b"))).alias("m"))
+    best = write_and_reread(best.select("x", "y", "m.a", "m.b"), "ngram-best")
+    links = verified_links(firsts, best.select("a", "b").distinct(), words, percent)
+    joined = write_and_reread(links.join(best, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")), "ngram-joined")
+    merged = connected_components(joined).select(F.col("id").alias("component"), F.col("component").alias("root"))
+
+    def after(rows: DataFrame, name: str) -> DataFrame:
+        """The rows with component ``name`` replaced by what it was merged into."""
+        out = _known_ids(rows, merged.withColumnRenamed("component", name), "left", name, broadcast_rows)
+        return out.withColumn(name, F.coalesce("root", F.col(name))).drop("root")
+
+    failed = write_and_reread(after(after(seen.select("list", "ca", "cb"), "ca"), "cb").where("ca <> cb").select("list").distinct(), "ngram-failed")
+    rest = _known_ids(_all_blocks(after(rows, "component"), block), failed, "left_semi", "list", broadcast_rows)
+    rest = _pairs(rest, percent, "all").select("a", "b", "ca", "cb").join(best.select("a", "b"), ["a", "b"], "left_anti").distinct()
+    rest = write_and_reread(rest, "ngram-rest")
+    last = verified_links(firsts, rest.select("a", "b"), words, percent).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    final = connected_components(joined.union(write_and_reread(last, "ngram-last")))
+    roots = final.select(F.col("id").alias("component"), F.col("component").alias("root"))
+
+    of_class = classes.join(linked, "rid", "left").withColumn("component", F.coalesce("component", "rid")).join(roots, "component", "left")
+    named = of_class.select("n", "digest", F.coalesce("root", "component").alias("component_id"))
     out = sets.join(named, ["n", "digest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
