@@ -121,6 +121,18 @@ class WordCoder:
             self.cache.update(fresh)
         return b"".join(known)
 
+    @property
+    def width(self) -> int:
+        """Bytes that hold any id."""
+        return 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+    def narrow(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of four bytes each as ids of ``width`` bytes."""
+        return _recoded(raw, 4, self.width)
+
+    def wide(self, raw: list[bytes]) -> list[bytes]:
+        return _recoded(raw, self.width, 4)
+
     def pieces(self) -> list[bytes]:
         """The bytes of each id: the id-to-piece table."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -131,6 +143,15 @@ class WordCoder:
         return out
 
 
+def _recoded(raw: list[bytes], width: int, to: int) -> list[bytes]:
+    """Little-endian numbers of ``width`` bytes each as such of ``to`` bytes, all lists in one pass."""
+    if width == to or not raw:
+        return raw
+    ends = np.cumsum(np.fromiter(map(len, raw), "<i8", len(raw)) // width * to).tolist()
+    flat = np.frombuffer(b"".join(raw), f"<u{width}").astype(f"<u{to}").tobytes()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Numbers(dict):
     """Numbers for keys in the order of their first use."""
 
@@ -151,16 +172,19 @@ def unpack_numbers(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
-def pack_strings(items: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, items), "<u4", len(items))
-    return zstandard.compress(np.array([len(items)], "<u4").tobytes() + sizes.tobytes() + b"".join(items), 3)
+def pack_strings(items: list[bytes], width: int = 1) -> bytes:
+    """Count, bytes a size, sizes (in units of ``width`` bytes), and all bytes one after the other."""
+    sizes = np.fromiter(map(len, items), "<u4", len(items)) // width
+    each = 1 if sizes.max(initial=0) < 256 else 4
+    return zstandard.compress(len(items).to_bytes(4, "little") + bytes([each]) + sizes.astype(f"<u{each}").tobytes() + b"".join(items), 6)
 
 
-def unpack_strings(blob: bytes) -> list[bytes]:
+def unpack_strings(blob: bytes, width: int = 1) -> list[bytes]:
     raw = zstandard.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+    n, each = int.from_bytes(raw[:4], "little"), raw[4]
+    start = 5 + each * n
+    ends = (start + width * np.cumsum(np.frombuffer(raw, f"<u{each}", n, 5), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([start, *ends], ends, strict=False)]
 
 
 def sliced(rows: DataFrame, path: str, slice_words: int, buckets: int) -> DataFrame:
@@ -201,10 +225,10 @@ def encode_buckets(words: DataFrame, path: str) -> DataFrame:
     """(slice, bucket, blob of ids in the order of the words) from (slice, bucket, blob of words): each distinct word of a bucket is encoded once."""
 
     def encode(g: pd.DataFrame) -> pd.DataFrame:
-        table = Numbers()
+        table, coder = Numbers(), WordCoder.cached(path)
         asked = [table.of(unpack_strings(x)) for x in g["blob"]]
-        raw = WordCoder.cached(path).encode_words([w.decode() for w in table])
-        return g[["slice", "bucket"]].assign(blob=[pack_strings([raw[k] for k in x.tolist()]) for x in asked])
+        raw = coder.narrow(coder.encode_words([w.decode() for w in table]))
+        return g[["slice", "bucket"]].assign(blob=[pack_strings([raw[k] for k in x.tolist()], coder.width) for x in asked])
 
     return words.groupBy("bucket").applyInPandas(encode, "slice long, bucket int, blob binary")
 
@@ -229,7 +253,8 @@ def encode_texts(
     found = found.select(F.col("slice").alias("of"), "bucket", "blob")
 
     def whole(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[str | None, bytes]]:
-        table = [x for blob in right.sort_values("bucket")["blob"] for x in unpack_strings(blob)]
+        coder = WordCoder.cached(path)
+        table = coder.wide([x for blob in right.sort_values("bucket")["blob"] for x in unpack_strings(blob, coder.width)])
         row = left.iloc[0]
         ends, codes = np.cumsum(unpack_numbers(row["counts"]), dtype=np.int64).tolist(), unpack_numbers(row["blob"])
         for key, a, b in zip(row["ids"], [0, *ends], ends, strict=False):
