@@ -81,8 +81,26 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.language_id import predicted_languages
+
+    return predicted_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphbatch.llm.merkle import document_manifest
+
+    return document_manifest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_toxicity, op3_ngram_join, op4_pii, op5_decontamination, op6_substring_dedup, op7_bpe, op8_warc, op9_url_filters, op10_token_output)
+    ops = (op1_quality_rules, op2_toxicity, op3_ngram_join, op4_pii, op5_decontamination, op6_substring_dedup, op7_bpe, op8_warc, op9_url_filters, op10_token_output, op11_language_id, op12_whitening, op13_merkle_manifest)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
@@ -124,5 +142,38 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id FROM n JOIN r ON
 """
 
 
+def _op13_sql(depth: int = 8, top_depth: int = 4) -> str:
+    """Runs of eight by window and grouping, level by level: up to 8^8 documents a lang and 8^4 langs. A group that is down to one node keeps it."""
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(d::VARCHAR) + 1), lambda i: unicode(substr(d::VARCHAR, i::INT, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))"
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    out = [
+        f"h AS MATERIALIZED (SELECT doc_id AS d, lang, {leaf('text')} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low FROM documents)",
+        "g AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents))",
+        f"r AS MATERIALIZED (SELECT d, leaf, g, row_number() OVER (PARTITION BY g ORDER BY d NULLS FIRST, leaf) - 1 AS i, CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN low ELSE leaf END AS f0 FROM h JOIN g ON h.lang IS NOT DISTINCT FROM g.lang)",
+        "n0 AS MATERIALIZED (SELECT g, i, leaf AS x FROM r)",
+    ]
+
+    def level(k: int, name: str) -> None:
+        # e: each node with the digests beside it and whether its group goes on; n: the next level's nodes.
+        out.append(f"e{k} AS MATERIALIZED (SELECT g, i, x, count(*) OVER (PARTITION BY g) > 1 AS more, coalesce(string_agg(x, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(x, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM n{k})")
+        out.append(f"{name} AS MATERIALIZED (SELECT g, i // 8 AS i, CASE WHEN any_value(more) THEN sha256(string_agg(x, '' ORDER BY i)) ELSE any_value(x) END AS x FROM e{k} GROUP BY g, i // 8)")
+
+    for k in range(depth):
+        level(k, f"n{k + 1}")
+    out.append(f"n{depth + 1} AS MATERIALIZED (SELECT 0 AS g, g AS i, x FROM n{depth})")
+    for k in range(depth + 1, depth + 1 + top_depth):
+        level(k, f"n{k + 1}")
+    out.append("p0 AS MATERIALIZED (SELECT d, leaf, g AS own, g, i, '' AS p, f0 AS f FROM r)")
+    step, last = 0, depth + 1 + top_depth
+    for k in range(last):
+        if k == depth:
+            continue
+        up = "0 AS g, p.g AS i" if k == depth - 1 else "p.g, p.i // 8 AS i"
+        out.append(f"p{step + 1} AS MATERIALIZED (SELECT d, leaf, own, {up}, p || a || b AS p, CASE WHEN more THEN sha256(a || f || b) ELSE f END AS f FROM p{step} p JOIN e{k} e ON e.g = p.g AND e.i = p.i)")
+        step += 1
+    return f"WITH {', '.join(out)} SELECT d AS doc_id, leaf, s.x AS subroot, t.x AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t.x AS verified FROM p{step} p JOIN n{depth} s ON s.g = p.own, n{last} t"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op8_warc": OP8_SQL, "op9_url_filters": OP9_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op8_warc": OP8_SQL, "op9_url_filters": OP9_SQL, "op13_merkle_manifest": _op13_sql()}
