@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphbatch.llm.common import scratch_path, write_and_reread
 from graphbatch.llm.files import memory_map, write_atomic
-from graphbatch.llm.shingles import STEP, _finish
+from graphbatch.llm.shingles import MIX_1, STEP, _finish
 
 ORDER = 5
 UNKNOWN = "und"
@@ -67,8 +67,8 @@ def _pieces(text: str, order: int) -> Iterator[tuple[np.ndarray, bool]]:
 
 
 def _hash(columns: list[np.ndarray], salt: int) -> np.ndarray:
-    h = np.full(len(columns[0]) if columns else 1, salt, np.uint64)
     with np.errstate(over="ignore"):
+        h = np.full(len(columns[0]) if columns else 1, salt, np.uint64) * MIX_1  # far apart, or a salt could make up for a character
         for c in columns:
             h = (h + c.astype(np.uint64)) * STEP
             h ^= h >> np.uint64(32)

@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_each_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
 
 
 def test_pipeline_stages_agree_with_run(spark):
