@@ -38,14 +38,14 @@ def cut_and_observe(df: DataFrame, label: str, **metrics: Column) -> tuple[DataF
     return df.sparkSession.read.schema(df.schema).parquet(path), told.get
 
 
-def write_bucketed(df: DataFrame, label: str, column: str, shuffle: bool = True) -> DataFrame:
-    """A written table bucketed by ``column``: joins and groupings by it don't shuffle its rows again. The catalog keeps no entry.
+def write_bucketed(df: DataFrame, label: str, column: str | list[str], shuffle: bool = True) -> DataFrame:
+    """A written table bucketed by one or more columns: joins and groupings by them don't shuffle its rows again. The catalog keeps no entry.
 
     Without ``shuffle`` each task writes its rows into files of its own, for few and large rows.
     """
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartition(n, column) if shuffle else df).write.bucketBy(n, column).option("path", scratch_path(spark, label)).saveAsTable(name)
+    n, by = int(spark.conf.get("spark.sql.shuffle.partitions")), [column] if isinstance(column, str) else column
+    (df.repartition(n, *by) if shuffle else df).write.bucketBy(n, *by).option("path", scratch_path(spark, label)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: the files stay, and the frame knows them
     return out

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphbatch.functions.lineage import cut, cut_and_observe, write_bucketed
-from graphbatch.operators.prep import degrees
 
 DIGITS = 12
 
@@ -20,29 +19,55 @@ def falling(score: str = "score") -> Column:
     return F.round(F.col(score), DIGITS).desc()
 
 
-def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: float = 2e-4) -> DataFrame:
+def adjacency_blocks(edges: DataFrame, end: DataFrame | None = None, per_block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(blocks, spread): a node's neighbours in rows of about ``per_block`` at most, and into how many rows each node is spread.
+
+    ``edges`` is (node, other, ...), ``end`` columns of the other end by (other, ...), whose lack drops an edge. blocks is (node, block, ends), an end being a struct of other,
+    the edge's and the end's columns, and ``blocks`` of the other end; spread is (node, deg, blocks). A neighbour's block is a hash of its id, so
+    no hub's neighbours meet in one task or one row. Blocks are bucketed by (node, block): a loop that joins them moves only its own rows.
+    """
+    deg = edges.groupBy("node").agg(F.count("*").alias("deg"))
+    spread = cut(deg.select("node", "deg", F.ceil(F.col("deg") / per_block).cast("int").alias("blocks")))
+    place = F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int")
+    own = edges.join(spread.select("node", "blocks"), "node").withColumn("block", place).drop("blocks")
+    far = own if end is None else own.join(end, "other")
+    far = far.join(spread.select(F.col("node").alias("other"), "blocks"), "other", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    ends = F.struct(*(c for c in far.columns if c not in ("node", "block")))
+    return write_bucketed(far.groupBy("node", "block").agg(F.collect_list(ends).alias("ends")), "blocks", ["node", "block"]), spread
+
+
+def along_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (node, blocks, ...) with a struct ``end`` of each neighbour: a row goes to every block of its node, and neighbours unfold after the join."""
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt.join(blocks, ["node", "block"]).withColumn("end", F.explode("ends")).drop("ends", "block", "node")
+
+
+def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: float = 2e-4, per_block: int = 1024, per_slice: int = 1_000_000) -> DataFrame:
     """(source, node, score) of the nodes that were pushed.
 
     Rounds in step: every (source, node) with residual of at least alpha eps deg(node) moves it to its score and sends
     (1 - alpha) residual / deg to each neighbour; a source is always pushed once. At the end 0 <= exact - score <= eps deg(node).
-    A round moves open residuals only: what was pushed is set aside and summed once at the end, edges lie bucketed by source and carry the
-    degree and the bound of their end. Residuals meet per (source, node) by partial sums before the shuffle. Each round is one written table.
+    A round moves open residuals only: what was pushed is set aside and summed once at the end. Neighbours lie in blocks (``adjacency_blocks``) that carry the
+    bound of each end, and sources go in hash slices of about ``per_slice``, so a task joins at most a block's ends with a slice's sources, also at a hub.
+    Residuals meet per (source, node) by partial sums before the shuffle. Each round is one written table.
     """
-    deg = cut(degrees(edges, "src"))
-    of = lambda name, count: deg.select(F.col("node_id").alias(name), F.col("deg").alias(count))
-    limit = (F.lit(alpha * eps) * F.col("far")).alias("limit")
-    out_edges = write_bucketed(edges.select("src", "dst").join(of("src", "deg"), "src").join(of("dst", "far"), "dst").select(F.col("src").alias("node"), "dst", "deg", limit), "push_edges", "node")
-    first = sources.select(F.col("node_id").alias("source")).distinct().join(of("source", "deg"), "source", "left_semi")
-    state = cut(first.select("source", F.col("source").alias("node"), F.lit(float(alpha)).alias("r"), F.lit(0.0).alias("limit")))
-    pushed, n_active = [], 1
-    while n_active:
-        active = F.col("r") >= F.col("limit")
-        moved = state.where(active).select("source", "node", "r")
-        pushed.append(moved)
-        sent = moved.join(out_edges, "node").select("source", F.col("dst").alias("node"), (F.lit(1 - alpha) * F.col("r") / F.col("deg")).alias("r"), "limit")
-        merged = state.where(~active).unionByName(sent).groupBy("source", "node").agg(F.sum("r").alias("r"), F.max("limit").alias("limit"))
-        state, seen = cut_and_observe(merged, "push", n_active=F.count(F.when(active, 1)))
-        n_active = seen["n_active"]
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    limits = links.groupBy("node").agg((F.lit(alpha * eps) * F.count("*")).alias("limit"))
+    blocks, spread = adjacency_blocks(links, limits.withColumnRenamed("node", "other"), per_block)
+    known = sources.select(F.col("node_id").alias("source")).distinct().join(spread.withColumnRenamed("node", "source"), "source")
+    first = cut(known.select("source", F.col("source").alias("node"), F.lit(float(alpha)).alias("r"), F.lit(0.0).alias("limit"), "deg", "blocks"))
+    slices, pushed, degree = max(1, -(-first.count() // per_slice)), [], spread.select("node", "deg")
+    for k in range(slices):
+        state, n_active = first.where(F.pmod(F.xxhash64("source"), F.lit(slices)) == k).drop("deg"), 1
+        while n_active:
+            active = F.col("r") >= F.col("limit")
+            moved = state.where(active)
+            pushed.append(moved.select("source", "node", "r"))
+            sent = along_blocks(moved.join(degree, "node").select("source", "node", ((1 - alpha) * F.col("r") / F.col("deg")).alias("r"), "blocks"), blocks)
+            sent = sent.select("source", F.col("end.other").alias("node"), "r", F.col("end.limit").alias("limit"), F.col("end.blocks").alias("blocks"))
+            merged = state.where(~active).unionByName(sent).groupBy("source", "node").agg(F.sum("r").alias("r"), F.max("limit").alias("limit"), F.max("blocks").alias("blocks"))
+            state, seen = cut_and_observe(merged, "push", n_active=F.count(F.when(active, 1)))
+            n_active = seen["n_active"]
     return functools.reduce(DataFrame.unionByName, pushed).groupBy("source", "node").agg(F.sum("r").alias("score"))
 
 
@@ -76,21 +101,59 @@ def influence_pairs(ppr: DataFrame) -> DataFrame:
     return ppr.where("source <> node").groupBy(a.alias("i"), b.alias("j")).agg(F.sum("score").alias("weight"))
 
 
-def batch_ppr(adj_rw: DataFrame, outsets: DataFrame, alpha: float = 0.25, num_iter: int = 50, cut_every: int = 5) -> DataFrame:
+def _power_start(adj_rw: DataFrame, outsets: DataFrame, per_block: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of the nodes that point at each node, t by (batch_id, node) with the blocks of the node)."""
+    sizes = outsets.groupBy("batch_id").agg(F.count("*").alias("size"))
+    links = adj_rw.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight")
+    blocks, spread = adjacency_blocks(links, None, per_block)
+    t = outsets.join(sizes, "batch_id").join(spread.select(F.col("node").alias("node_id"), "blocks"), "node_id", "left")
+    return blocks, cut(t.select("batch_id", F.col("node_id").alias("node"), (1.0 / F.col("size")).alias("t"), F.coalesce("blocks", F.lit(1)).alias("blocks")))
+
+
+def _walked(rows: DataFrame, blocks: DataFrame, value: str, alpha: float) -> DataFrame:
+    """(batch_id, node, value, blocks): what each row's value gives the nodes that point at its node."""
+    met = along_blocks(rows.select("batch_id", "node", value, "blocks"), blocks)
+    return met.select("batch_id", F.col("end.other").alias("node"), (F.lit(1 - alpha) * F.col(value) * F.col("end.weight")).alias(value), F.col("end.blocks").alias("blocks"))
+
+
+def batch_ppr(adj_rw: DataFrame, outsets: DataFrame, alpha: float = 0.25, num_iter: int = 50, cut_every: int = 5, per_block: int = 1024) -> DataFrame:
     """(batch_id, node, score): x = (1 - alpha) A x + alpha t for each set of output nodes, t being 1/size on the set.
 
-    ``outsets`` is (batch_id, node_id). All sets advance together, keyed by (batch, node); only reached nodes have rows.
+    ``outsets`` is (batch_id, node_id). All sets advance together, keyed by (batch, node); only reached nodes have rows. A hub's
+    links lie in blocks.
     """
-    sizes = outsets.groupBy("batch_id").agg(F.count("*").alias("size"))
-    t = cut(outsets.join(sizes, "batch_id").select("batch_id", F.col("node_id").alias("node"), (1.0 / F.col("size")).alias("t")))
-    adj = write_bucketed(adj_rw.select("src", F.col("dst").alias("node"), "weight"), "power_edges", "node")
-    x = t.select("batch_id", "node", F.col("t").alias("score"))
+    blocks, t = _power_start(adj_rw, outsets, per_block)
+    x = t.select("batch_id", "node", F.col("t").alias("score"), "blocks")
     for k in range(num_iter):
-        walked = x.join(adj, "node").select("batch_id", F.col("src").alias("node"), (F.lit(1 - alpha) * F.col("score") * F.col("weight")).alias("score"))
-        x = walked.unionByName(t.select("batch_id", "node", (F.lit(alpha) * F.col("t")).alias("score"))).groupBy("batch_id", "node").agg(F.sum("score").alias("score"))
+        back = t.select("batch_id", "node", (F.lit(alpha) * F.col("t")).alias("score"), "blocks")
+        x = _walked(x, blocks, "score", alpha).unionByName(back).groupBy("batch_id", "node").agg(F.sum("score").alias("score"), F.max("blocks").alias("blocks"))
         if (k + 1) % cut_every == 0:
             x = cut(x)
-    return x
+    return x.select("batch_id", "node", "score")
+
+
+def batch_ppr_push(adj_rw: DataFrame, outsets: DataFrame, alpha: float = 0.25, tolerance: float = 1e-6, sets_a_slice: int = 50, per_block: int = 1024) -> DataFrame:
+    """(batch_id, node, score): the fixed point of x = (1 - alpha) A x + alpha t by residuals; 0 <= exact - score <= tolerance / alpha.
+
+    A row holds the residual r of (batch, node), at first alpha t. Residuals of ``tolerance`` or more move into the score and give (1 - alpha) A(u, v) r
+    to the nodes u that point at v; what is smaller waits, and is never sent. Rows of A add up to 1, so what waits at the end is worth at most
+    its largest residual / alpha at any node. Sets go in slices, so that state doesn't grow with all sets at once, and a slice is done when
+    no residual is left to move.
+    """
+    blocks, t = _power_start(adj_rw, outsets, per_block)
+    order = t.select("batch_id").distinct()
+    slices, pushed = max(1, -(-order.count() // sets_a_slice)), []
+    for k in range(slices):
+        own = F.pmod(F.xxhash64("batch_id"), F.lit(slices)) == k
+        state, n_active = t.where(own).select("batch_id", "node", (F.lit(alpha) * F.col("t")).alias("r"), "blocks"), 1
+        while n_active:
+            active = F.col("r") >= tolerance
+            moved = state.where(active)
+            pushed.append(moved.select("batch_id", "node", "r"))
+            merged = state.where(~active).unionByName(_walked(moved, blocks, "r", alpha)).groupBy("batch_id", "node").agg(F.sum("r").alias("r"), F.max("blocks").alias("blocks"))
+            state, seen = cut_and_observe(merged, "power", n_active=F.count(F.when(active, 1)))
+            n_active = seen["n_active"]
+    return functools.reduce(DataFrame.unionByName, pushed).groupBy("batch_id", "node").agg(F.sum("r").alias("score"))
 
 
 def batch_topk(n_nodes: int, parts: int, ratio: float) -> int:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphbatch.functions.hashing import hash_uniform
@@ -12,26 +15,48 @@ from graphbatch.operators.influence import DIGITS
 from graphbatch.operators.prep import degrees
 
 
-def random_walks(edges: DataFrame, roots: DataFrame, length: int, seed: int = 2021) -> DataFrame:
+def numbered_neighbors(adj: DataFrame, per_block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(nodes, blocks): a number from 0 to deg - 1 for each neighbour, without sorting any node's neighbours as a whole.
+
+    Neighbours lie in blocks of about ``per_block`` at most, dealt by a hash of their id, and within a block in the order of ids; numbers go
+    on from block to block. nodes is (node, deg, starts), the numbers at which blocks start; blocks is (node, block, ends), structs of dst and weight if there is one.
+    """
+    rest = [c for c in ("weight",) if c in adj.columns]
+    deg = cut(degrees(adj, "src").select(F.col("node_id").alias("node"), "deg"))
+    block = F.when(F.col("deg") <= per_block, 0).otherwise(F.floor(hash_uniform("block", "dst") * F.ceil(F.col("deg") / per_block))).cast("int")
+    dealt = adj.select(F.col("src").alias("node"), "dst", *rest).join(deg, "node").withColumn("block", block)
+    blocks = cut(dealt.groupBy("node", "block").agg(F.sort_array(F.collect_list(F.struct("dst", *rest))).alias("ends")))
+    before = F.sum(F.size("ends")).over(Window.partitionBy("node").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row a block
+    starts = blocks.select("node", F.struct(F.coalesce(before, F.lit(0)).alias("start"), "block").alias("s")).groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("starts"))
+    return cut(deg.join(starts, "node").select("node", "deg", "starts")), blocks
+
+
+def at_number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (node, starts, k, ...) with the struct ``end`` of the neighbour numbered k: one equi-join on (node, block)."""
+    placed = rows.withColumn("_s", F.element_at(F.filter("starts", lambda s: s["start"] <= F.col("k")), -1))
+    placed = placed.withColumns({"block": F.col("_s.block"), "k": (F.col("k") - F.col("_s.start")).cast("int")}).drop("starts", "_s")
+    return placed.join(blocks, ["node", "block"]).withColumn("end", F.get("ends", F.col("k"))).drop("ends", "block", "k")
+
+
+def random_walks(edges: DataFrame, roots: DataFrame, length: int, seed: int = 2021, per_block: int = 1024) -> DataFrame:
     """(sample_id, walk_id, step, node_id): step 0 is the root; each step goes to a neighbour drawn uniformly.
 
-    ``roots`` is (sample_id, walk_id, node_id). Neighbours are numbered once per node, in id order, so a step is one
-    equi-join on (node, number).
+    ``roots`` is (sample_id, walk_id, node_id). Neighbours are numbered once per node (``numbered_neighbors``), so a step is a join for the
+    degree and one for the neighbour of the drawn number.
     """
-    numbered = cut(edges.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).cast("long").alias("k")))
-    deg = degrees(edges, "src").withColumnRenamed("node_id", "at")
+    nodes, blocks = numbered_neighbors(edges.select("src", "dst"), per_block)
     walk = roots.select("sample_id", "walk_id", F.lit(0).alias("step"), F.col("node_id").cast("long").alias("node_id"))
     out = walk
     for step in range(1, length + 1):
         u = hash_uniform(f"{seed}-walk", "sample_id", "walk_id", F.lit(step))
-        at = walk.select("sample_id", "walk_id", F.col("node_id").alias("at")).join(deg, "at").withColumn("k", F.least(F.floor(u * F.col("deg")), F.col("deg") - 1))
-        walk = cut(at.join(numbered.select(F.col("src").alias("at"), "k", F.col("dst").alias("node_id")), ["at", "k"]).select("sample_id", "walk_id", F.lit(step).alias("step"), "node_id"))
+        at = walk.select("sample_id", "walk_id", F.col("node_id").alias("node")).join(nodes, "node").withColumn("k", F.least(F.floor(u * F.col("deg")), F.col("deg") - 1)).drop("deg")
+        walk = cut(at_number(at, blocks).select("sample_id", "walk_id", F.lit(step).alias("step"), F.col("end.dst").alias("node_id")))
         out = out.union(walk)
     return out
 
 
-def uniform_roots(nodes: DataFrame, samples: int, per_sample: int, seed: int = 2021) -> DataFrame:
-    """(sample_id, walk_id, node_id): roots drawn uniformly with replacement from all nodes, which are numbered by hash bucket and id."""
+def uniform_roots(nodes: DataFrame, samples: int, per_sample: int, seed: int = 2021, first: int = 0) -> DataFrame:
+    """(sample_id, walk_id, node_id): roots drawn uniformly with replacement from all nodes, which are numbered by hash bucket and id; samples are numbered from ``first``."""
     spark = nodes.sparkSession
     order = Window.partitionBy("b").orderBy("node_id")
     ids = nodes.select("node_id", F.floor(hash_uniform("root-order", "node_id") * 64).alias("b")).distinct()
@@ -39,7 +64,7 @@ def uniform_roots(nodes: DataFrame, samples: int, per_sample: int, seed: int = 2
     total = nodes.select("node_id").distinct().count()
     before = counts.alias("x").join(counts.alias("y"), F.col("y.b") < F.col("x.b"), "left").groupBy("x.b").agg(F.coalesce(F.sum("y.c"), F.lit(0)).alias("before"))
     numbered = ids.withColumn("p", F.row_number().over(order)).join(F.broadcast(before), "b").select("node_id", (F.col("before") + F.col("p") - 1).alias("k"))  # one row a bucket
-    draws = spark.range(samples * per_sample).select(F.floor(F.col("id") / per_sample).alias("sample_id"), (F.col("id") % per_sample).alias("walk_id"))
+    draws = spark.range(first * per_sample, (first + samples) * per_sample).select(F.floor(F.col("id") / per_sample).alias("sample_id"), (F.col("id") % per_sample).alias("walk_id"))
     draws = draws.withColumn("k", F.floor(hash_uniform(f"{seed}-root", "sample_id", "walk_id") * total))
     return draws.join(numbered, "k").select("sample_id", "walk_id", "node_id")
 
@@ -58,6 +83,25 @@ def samples_for_coverage(batch_nodes: DataFrame, n_nodes: int, coverage: float)
     return batch_nodes.join(sizes.withColumn("b", before).where(F.col("b") < n_nodes * coverage).select("batch_id"), "batch_id", "left_semi")
 
 
+def samples_until_coverage(nodes: DataFrame, edges: DataFrame, outputs: DataFrame, per_sample: int, length: int, coverage: float, seed: int = 2021, first_round: int = 8) -> DataFrame:
+    """(batch_id, node_id, is_output) of the training samples 0, 1, ... whose nodes add up to N coverage, drawn in rounds.
+
+    A round draws as many samples as the mean size so far says are missing, and one more. A sample is a function of its number, so the result is that of
+    drawing one after the other, and the last sample is the one that reaches the total; what a round drew beyond it is dropped.
+    """
+    n = nodes.select("node_id").distinct().count()
+    flags, drawn, told, total, more = outputs.select("node_id", F.lit(True).alias("o")).distinct(), [], 0, 0, first_round
+    while n and total < n * coverage:
+        walks = random_walks(edges, uniform_roots(nodes, more, per_sample, seed, told), length, seed)
+        rows = cut(walks.select(F.col("sample_id").alias("batch_id"), "node_id").distinct())
+        drawn.append(rows)
+        total, told = total + rows.count(), told + more
+        more = max(1, int((n * coverage - total) * told / total) + 1)
+    every = functools.reduce(DataFrame.unionByName, drawn) if drawn else nodes.select(F.lit(0).cast("long").alias("batch_id"), "node_id").where("false")
+    kept = samples_for_coverage(every, n, coverage)
+    return kept.join(flags, "node_id", "left").select("batch_id", "node_id", F.coalesce("o", F.lit(False)).alias("is_output"))
+
+
 def walk_norms(batch_nodes: DataFrame, batch_edges: DataFrame, nodes: DataFrame, edges: DataFrame, n_nodes: int) -> tuple[DataFrame, DataFrame]:
     """(node_norm, edge_norm) over S samples: S / count / N with 0 counting as 0.1, and count(src) / count(edge), 0.1 for edges never sampled."""
     seen = batch_nodes.select("batch_id", "node_id").distinct().groupBy("node_id").agg(F.count("*").alias("c"))
@@ -123,3 +167,38 @@ def neighbor_sample(batch_outputs: DataFrame, adj_sym: DataFrame, fanouts: list[
         edges = step if edges is None else edges.union(step)
         nodes = nodes.union(known.withColumn("layer", F.lit(layer)))
     return nodes, edges
+
+
+def draw_numbers(count: Column, deg: Column, uniform: Callable[[int], Column], most: int) -> Column:
+    """Sorted distinct numbers in 0 .. deg - 1, min(count, deg) of them, every set as likely as any other.
+
+    The j-th draw is a rank among the numbers that are still free: it moves up by one for each number taken before that is not above it.
+    """
+    each, turns = F.array(*(uniform(j) for j in range(most))), F.array(*(F.lit(j).cast("long") for j in range(most)))
+
+    def draw(taken: Column, j: Column) -> Column:
+        rank = F.least(F.floor(F.get(each, j.cast("int")) * (deg - j)), deg - j - 1)
+        free = F.aggregate(taken, rank, lambda x, t: x + F.when(t <= x, 1).otherwise(0).cast("long"))
+        return F.array_sort(F.concat(taken, F.array(free)))
+
+    return F.aggregate(F.slice(turns, 1, F.least(count, deg, F.lit(most)).cast("int")), F.expr("CAST(array() AS array<bigint>)"), draw)
+
+
+def neighbor_draws(batch_outputs: DataFrame, adj_sym: DataFrame, fanouts: list[int], seed: int = 2021, per_block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(layer_nodes, layer_edges) as ``neighbor_sample`` gives, at a cost of ``fanout`` and not of the degree for each known node.
+
+    Neighbours are numbered once; each hop draws numbers without replacement and fetches just those neighbours, so no adjacency is
+    sorted or read as a whole.
+    """
+    numbered, blocks = numbered_neighbors(adj_sym, per_block)
+    known = batch_outputs.select("batch_id", "node_id").distinct()
+    edges, nodes = None, known.withColumn("layer", F.lit(len(fanouts)))
+    for k, fanout in enumerate(fanouts):
+        layer = len(fanouts) - 1 - k
+        draw = draw_numbers(F.lit(fanout).cast("long"), F.col("deg"), lambda j, k=k: hash_uniform(f"{seed}-draw-{k}-{j}", "batch_id", "node"), fanout)  # noqa: B023
+        at = known.withColumnRenamed("node_id", "node").join(numbered, "node").select("batch_id", F.col("node").alias("src"), "node", "starts", F.explode(draw).alias("k"))
+        step = cut(at_number(at, blocks).select("batch_id", F.lit(layer).alias("layer"), "src", F.col("end.dst").alias("dst"), F.col("end.weight").alias("weight")))
+        known = cut(known.union(step.select("batch_id", F.col("dst").alias("node_id"))).distinct())
+        edges = step if edges is None else edges.union(step)
+        nodes = nodes.union(known.withColumn("layer", F.lit(layer)))
+    return nodes, edges

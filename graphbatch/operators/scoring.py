@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphbatch.functions.lineage import cut
 from graphbatch.functions.vectors import sum_vectors
@@ -37,6 +38,64 @@ def aggregate_mean(adj: DataFrame, x: DataFrame, batch: tuple[str, ...] = ()) ->
     return total.select(*batch, "node_id", F.transform("vec", lambda v: v / F.col("n")).alias("x"))
 
 
+def grid_blocks(adj: DataFrame, rows: int, cols: int, weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """(grid, needed): the adjacency as a grid of blocks, each with arrays of its entries, and which row blocks need the vector of each node.
+
+    Sources fall into ``rows`` and targets into ``cols`` groups by hash, so a hub's entries are spread over a whole row or column of
+    blocks; entries / (rows cols) is what a task holds. grid is (rb, cb, r, c, w), needed (dst, cb, rb). The weight may be one number or an array, one a head. Both are
+    written once and serve all layers.
+    """
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    entries = cut(adj.select(place("src", rows).alias("rb"), place("dst", cols).alias("cb"), "src", "dst", F.col(weight).alias("w")))
+    packed = entries.groupBy("rb", "cb").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "w"))).alias("e"))
+    grid = cut(packed.select("rb", "cb", F.col("e.src").alias("r"), F.col("e.dst").alias("c"), F.col("e.w").alias("w")))
+    return grid, cut(entries.select("dst", "cb", "rb").distinct())
+
+
+def _block_sums(v: pd.DataFrame, r: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sources, sums) of one block; entries whose target has no vector count nothing."""
+    v = v.sort_values("dst")
+    ids, x = v["dst"].to_numpy(), np.stack(v["vec"].to_numpy())
+    at = np.minimum(np.searchsorted(ids, c), len(ids) - 1)
+    hit = ids[at] == c
+    rows, code = np.unique(r[hit], return_inverse=True)
+    at, w = at[hit], w[hit].reshape(int(hit.sum()), -1)
+    width = x.shape[1] // w.shape[1]
+    return rows, np.column_stack([np.bincount(code, x[at, k] * w[:, k // width], len(rows)) for k in range(x.shape[1])])
+
+
+def aggregate_grid(grid: DataFrame, needed: DataFrame, x: DataFrame, slice_width: int | None = None) -> DataFrame:
+    """(node_id, x): y(u) = sum over edges of w(u, v) x(v), by blocks; with weights of several heads each head weighs its own stretch of the vector.
+
+    A vector is sent once to each block of rows that needs it, and a block sends one partial sum a source, instead of a vector an edge. With ``slice_width``
+    (of one head's weights only) blocks take that many columns of the vectors at a time, for vectors too wide to hold.
+    """
+    many = isinstance(grid.schema["w"].dataType.elementType, T.ArrayType)
+    if many and slice_width:
+        raise ValueError("slices go with one weight an edge")
+    vectors = needed.join(x.select(F.col("node_id").alias("dst"), F.col("x").alias("vec")), "dst")
+    left, keys = grid, ["rb", "cb"]
+    if slice_width:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("vec"), F.lit(1)), F.lit(slice_width))
+        vectors = vectors.select("rb", "cb", "dst", "vec", F.posexplode(starts).alias("s", "start")).withColumn("vec", F.slice("vec", F.col("start"), F.lit(slice_width))).drop("start")
+        left, keys = grid.join(vectors.select("rb", "cb", "s").distinct(), ["rb", "cb"]), ["rb", "cb", "s"]
+
+    def run(key: tuple, b: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(v):
+            return pd.DataFrame({"node_id": [], "s": [], "vec": []})
+        w = b["w"].iloc[0]
+        rows, sums = _block_sums(v, np.asarray(b["r"].iloc[0]), np.asarray(b["c"].iloc[0]), np.stack(w) if many else np.asarray(w))
+        return pd.DataFrame({"node_id": rows, "s": key[2] if slice_width else 0, "vec": list(sums)})
+
+    sent = vectors.select(*(F.col(k).alias(f"{k}_") for k in keys), "dst", "vec")
+    parts = left.groupBy(*keys).cogroup(sent.groupBy(*(f"{k}_" for k in keys))).applyInPandas(run, "node_id long, s long, vec array<double>")
+    total = sum_vectors(parts, ["node_id", "s"], "vec", None)
+    if not slice_width:
+        return total.select("node_id", F.col("vec").alias("x"))
+    whole = total.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("s", "vec"))).alias("p"))
+    return whole.select("node_id", F.flatten(F.col("p.vec")).alias("x"))
+
+
 def row_wise(x: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Replace column ``x`` by f of the stacked vectors; all other columns stay."""
     names, shape = x.columns, x.schema

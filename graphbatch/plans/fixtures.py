@@ -97,6 +97,14 @@ def user_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").join(F.broadcast(hubs), "event_type").select(F.col("user_id").cast("long").alias("src"), (F.col("k") + SHIFT).cast("long").alias("dst")).distinct()
 
 
+def hub_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, outputs): users and hubs, both directions and loops; outputs are a fifth of the users, by hash."""
+    raw = user_event(spark, sf_dir)
+    both = prep.to_undirected(raw)
+    users = raw.select(F.col("src").alias("node_id")).distinct()
+    return prep.add_self_loops(both, both.select(F.col("src").alias("node_id")).distinct()), users.where(hash_uniform("hub-split", "node_id") < 0.2)
+
+
 def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges i to i+1, i+7 and i+31 around the vectors of the table; every degree is 7 once made undirected with loops."""
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("i"))
@@ -137,6 +145,14 @@ CTES: dict[str, str] = {
 WHOLE = {"raw": CTES["raw"].partition(" WHERE")[0]}
 
 
+#: The graph of users and hubs.
+HUBS = {
+    "raw": f"SELECT DISTINCT user_id::BIGINT AS src, {SHIFT} + k AS dst FROM events JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)) USING (event_type)",
+    "edges": "SELECT src, dst FROM raw UNION SELECT dst, src FROM raw UNION SELECT src, src FROM raw UNION SELECT dst, dst FROM raw",
+    "outputs": f"SELECT DISTINCT src AS node_id FROM raw WHERE {sql_uniform('hub-split', 'src')} < 0.2",
+}
+
+
 def with_ctes(select: str, **more: str) -> str:
     """A statement over the fixture tables it needs; ``more`` adds tables of its own, in order."""
     known, needed, texts = CTES | more, [], [select]

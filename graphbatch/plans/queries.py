@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbatch.functions.hashing import hash_uniform, sql_uniform
-from graphbatch.functions.lineage import scratch_path
+from graphbatch.functions.lineage import cut, scratch_path
 from graphbatch.operators import batches as B
 from graphbatch.operators import evaluation as E
 from graphbatch.operators import influence as P
@@ -115,7 +115,16 @@ def s7_append_metrics(spark, d):
     at = scratch_path(spark, "metrics")
     for _ in range(2):
         S.append_metrics(_metrics(spark, d), at)
-    return spark.read.schema(S.METRICS).parquet(at).withColumn("value", six("value"))
+    return S.read_metrics(spark, at).withColumn("value", six("value"))
+
+
+@query("SELECT run_id, split, loader, metric, round(value, 6) AS value FROM m", m=METRIC_ROWS)
+def s7_append_metrics_keyed(spark, d):
+    """A job that is run again under its key counts once."""
+    at = scratch_path(spark, "metrics")
+    for _ in range(2):
+        S.append_metrics(_metrics(spark, d), at, "job 7")
+    return S.read_metrics(spark, at).withColumn("value", six("value"))
 
 
 # ---- preparation
@@ -197,6 +206,19 @@ def p1_ppr_push(spark, d):
     return P.ppr_push(X.edges(spark, d), X.outputs(spark, d), ALPHA, EPS).withColumn("score", six("score"))
 
 
+@query(f"SELECT source, node, round(p, 6) AS score FROM p{PUSH_ROUNDS} WHERE p > 0", **X.WHOLE, **_push_ctes())
+def p1_ppr_push_all(spark, d):
+    """Over the graph of all line items."""
+    return P.ppr_push(X.edges(spark, d, 0), X.outputs(spark, d), ALPHA, EPS).withColumn("score", six("score"))
+
+
+@query(f"SELECT source, node, round(p, 6) AS score FROM p{PUSH_ROUNDS} WHERE p > 0", **X.HUBS, **_push_ctes())
+def p1_ppr_push_hubs(spark, d):
+    """Every user joins every hub: hubs in blocks of 16 users, sources in slices of 100."""
+    edges, outputs = X.hub_graph(spark, d)
+    return P.ppr_push(edges, outputs, ALPHA, EPS, per_block=16, per_slice=100).withColumn("score", six("score"))
+
+
 @query("SELECT source, node FROM (SELECT source, node, row_number() OVER (PARTITION BY source ORDER BY round(score, 12) DESC, node) AS rn FROM ppr) WHERE rn <= 8 UNION SELECT source, source FROM ppr")
 def p2_topk_neighbors(spark, d):
     return P.topk_neighbors(X.two_step(spark, d), 8)
@@ -234,6 +256,26 @@ def p6_batch_ppr(spark, d):
     return P.batch_ppr(G.normalize_adj(X.edges(spark, d)), B.outputs_of_parts(X.hash_parts(spark, d), X.outputs(spark, d)), ALPHA, 4).withColumn("score", six("score"))
 
 
+@query("SELECT batch_id, node, round(score, 6) AS score FROM x50", **X.WHOLE, **_power_ctes(50))
+def p6_batch_ppr_all(spark, d):
+    """Fifty iterations over the graph of all line items, hubs in blocks of 32."""
+    return P.batch_ppr(G.normalize_adj(X.edges(spark, d, 0)), B.outputs_of_parts(X.hash_parts(spark, d), X.outputs(spark, d)), ALPHA, 50, per_block=32).withColumn("score", six("score"))
+
+
+POWER_TOLERANCE = 1e-5
+
+
+@query(f"SELECT batch_id, count(*) AS n_far, 0::BIGINT AS n_beyond FROM x50 WHERE score > {2 * POWER_TOLERANCE / ALPHA} GROUP BY 1", **_power_ctes(50))
+def p6_batch_ppr_push(spark, d):
+    """Per set, the nodes of fifty full iterations with a score of twice the bound or more, and how many nodes the pushed scores miss by more than the bound."""
+    adj, sets = cut(G.normalize_adj(X.edges(spark, d))), B.outputs_of_parts(X.hash_parts(spark, d), X.outputs(spark, d))
+    bound = POWER_TOLERANCE / ALPHA
+    full, fast = P.batch_ppr(adj, sets, ALPHA, 50), P.batch_ppr_push(adj, sets, ALPHA, POWER_TOLERANCE, sets_a_slice=2)
+    both = full.withColumnRenamed("score", "a").join(fast.withColumnRenamed("score", "b"), ["batch_id", "node"], "full_outer")
+    gap = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
+    return both.groupBy("batch_id").agg(F.count(F.when(F.col("a") > 2 * bound, 1)).alias("n_far"), F.count(F.when(gap > bound + 1e-6, 1)).alias("n_beyond"))
+
+
 @query("SELECT source AS batch_id, node AS node_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 12) DESC, node) AS rn FROM ppr WHERE score > 0) WHERE rn <= 5 UNION SELECT node_id, node_id FROM outputs")
 def p7_topk_per_batch(spark, d):
     own = X.outputs(spark, d).select(F.col("node_id").alias("batch_id"), "node_id")
@@ -298,7 +340,7 @@ def m6_node_wise_batches(spark, d):
 
 @query()
 def m7_partition_graph(spark, d):
-    return D.partition_graph(X.edges(spark, d), X.nodes(spark, d), X.PARTS)
+    return D.partition_graph(X.edges(spark, d), X.nodes(spark, d), X.PARTS, coarse_nodes=1000)
 
 
 @query("""SELECT part_id, size, coalesce(inn, 0)::BIGINT AS "inner", coalesce(c, 0)::BIGINT AS cut FROM (SELECT part_id, count(*) AS size FROM parts GROUP BY 1) LEFT JOIN (
@@ -373,6 +415,31 @@ def m18_induced_subgraphs(spark, d):
     return B.induced_subgraphs(X.batch_nodes(spark, d), G.normalize_adj(X.edges(spark, d))).withColumn("weight", six("weight"))
 
 
+@query("SELECT batch_id, src, dst, round(weight, 6) AS weight FROM batch_edges", **X.WHOLE)
+def m18_induced_subgraphs_all(spark, d):
+    """Over the graph of all line items."""
+    edges, own = cut(X.edges(spark, d, 0)), X.outputs(spark, d).withColumnRenamed("node_id", "src")
+    near = edges.join(own, "src", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("node"))
+    return B.induced_subgraphs(B.random_fixed_batches(X.outputs(spark, d), near, X.PER_BATCH), G.normalize_adj(edges)).withColumn("weight", six("weight"))
+
+
+@query("""SELECT batch_id, src, dst, a.local_id AS src_local, b.local_id AS dst_local, round(weight, 6) AS weight FROM batch_edges e JOIN loc a USING (batch_id) JOIN loc b USING (batch_id) WHERE a.node_id = src AND b.node_id = dst""",
+       loc="SELECT batch_id, node_id, (row_number() OVER (PARTITION BY batch_id ORDER BY node_id) - 1)::INT AS local_id FROM batch_nodes")
+def m19_ready_batches(spark, d):
+    """Ready batches written, read back, cut into subgraphs and given local ids."""
+    at = scratch_path(spark, "ready")
+    S.write_batches(X.batch_nodes(spark, d).withColumns({"method": F.lit("fixed"), "split": F.lit("val")}), at)
+    rows = S.read_batches(spark, at, "fixed", "val").select("batch_id", "node_id", "is_output")
+    cuts = B.induced_subgraphs(rows, G.normalize_adj(X.edges(spark, d)))
+    return B.relabel_batch_edges(cuts, B.relabel_batch_nodes(rows)).select("batch_id", "src", "dst", "src_local", "dst_local", six("weight").alias("weight"))
+
+
+@query("""SELECT a.batch_id, a.output_id, src, dst, round(weight, 6) AS weight FROM rw JOIN cp a ON a.node_id = src JOIN cp b ON b.node_id = dst AND b.batch_id = a.batch_id AND b.output_id = a.output_id""",
+       g=_epoch_groups("2021-3", "100"), cp="SELECT g.group_id AS batch_id, g.node_id AS output_id, node AS node_id FROM g JOIN neighbors ON source = g.node_id")
+def m14_disjoint_copy_edges(spark, d):
+    return B.disjoint_copy_edges(B.disjoint_copy_batches(X.outputs(spark, d), X.neighbors(spark, d), 100, 3), G.normalize_adj(X.edges(spark, d))).select("batch_id", "output_id", "src", "dst", six("weight").alias("weight"))
+
+
 @query("SELECT batch_id, node_id, is_output, (row_number() OVER (PARTITION BY batch_id ORDER BY node_id) - 1)::INT AS local_id FROM batch_nodes")
 def m19_relabel_batch_nodes(spark, d):
     return B.relabel_batch_nodes(X.batch_nodes(spark, d))
@@ -437,6 +504,27 @@ def r3_walk_norms(spark, d):
     return node.select(F.lit("node").alias("kind"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"), six("norm").alias("norm")).union(edge.select(F.lit("edge"), "src", "dst", six("norm")))
 
 
+COVERAGE_CTES = {
+    "numbered": f"SELECT node_id, row_number() OVER (ORDER BY floor({sql_uniform('root-order', 'node_id')} * 64), node_id) - 1 AS k FROM nodes",
+    "roots": f"SELECT sample_id, walk_id, node_id FROM (SELECT a AS sample_id, b AS walk_id, floor({sql_uniform('2021-root', 'a', 'b')} * (SELECT count(*) FROM nodes))::BIGINT AS k FROM (SELECT unnest(range((SELECT count(*) // 20 + 2 FROM nodes))) AS a), (SELECT unnest(range(50)) AS b)) JOIN numbered USING (k)",
+    **{k: WALK_CTES[k] for k in ("num", "w0", "w1", "w2", "walks")},
+    "w0": "SELECT sample_id, walk_id, 0 AS step, node_id FROM roots",
+    "every": "SELECT DISTINCT sample_id, node_id FROM walks",
+    "kept": "SELECT sample_id FROM (SELECT sample_id, coalesce(sum(c) OVER (ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT sample_id, count(*) AS c FROM every GROUP BY 1)) WHERE b < (SELECT count(*) FROM nodes)",
+    "wn": "SELECT sample_id AS batch_id, w.node_id, o.node_id IS NOT NULL AS is_output FROM (SELECT * FROM every WHERE sample_id IN (SELECT sample_id FROM kept)) w LEFT JOIN outputs o ON o.node_id = w.node_id",
+    **{k: WALK_CTES[k] for k in ("we", "wc", "nn", "en")},
+}
+
+
+@query("SELECT 'node' AS kind, node_id AS src, node_id AS dst, round(norm, 6) AS norm FROM nn UNION ALL SELECT 'edge', src, dst, round(norm, 6) FROM en", **COVERAGE_CTES)
+def r3_walk_norms_coverage(spark, d):
+    """Norms over samples that are drawn until their nodes add up to all nodes."""
+    nodes, edges = X.nodes(spark, d), cut(X.edges(spark, d))
+    rows = cut(R.samples_until_coverage(nodes, edges, X.outputs(spark, d), 50, 2, 1.0))
+    node, edge = R.walk_norms(rows, B.induced_subgraphs(rows, G.normalize_adj(edges)), nodes, edges, nodes.count())
+    return node.select(F.lit("node").alias("kind"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"), six("norm").alias("norm")).union(edge.select(F.lit("edge"), "src", "dst", six("norm")))
+
+
 @query("""SELECT 'node' AS kind, batch_id, node_id AS src, node_id AS dst, round(norm / sum(norm) OVER (PARTITION BY batch_id), 6) AS v FROM wn JOIN nn USING (node_id) WHERE is_output
     UNION ALL SELECT 'edge', batch_id, we.src, we.dst, round(weight * norm, 6) FROM we JOIN en ON en.src = we.src AND en.dst = we.dst""", **WALK_CTES)
 def r4_apply_walk_norms(spark, d):
@@ -478,6 +566,30 @@ def r7_neighbor_sample(spark, d):
     return R.neighbor_sample(own, G.normalize_adj(X.edges(spark, d), "sym"), [2, 3])[1].withColumn("weight", six("weight"))
 
 
+def _draw_ctes(fanouts: list[int], per_block: int) -> dict[str, str]:
+    """Each draw is a rank among the numbers that are still free; three draws at most."""
+    out = {
+        "num": f"SELECT src, dst, weight, deg, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN deg <= {per_block} THEN 0 ELSE floor({sql_uniform('block', 'dst')} * ceil(deg / {per_block}::DOUBLE)) END, dst) - 1 AS k FROM sym JOIN deg ON node_id = src",
+        "h0": "SELECT group_id AS batch_id, node_id FROM groups",
+    }
+    for k, f in enumerate(fanouts):
+        rank = lambda j: f"least(floor({sql_uniform(f'2021-draw-{k}-{j}', 'batch_id', 'node_id')} * (deg - {j})), deg - {j + 1})::BIGINT"  # noqa: E731,B023
+        out[f"a{k}"] = f"SELECT batch_id, node_id, deg, {', '.join(f'{rank(j)} AS r{j}' for j in range(f))} FROM h{k} JOIN deg USING (node_id)"
+        second = f"SELECT *, r0 AS t0, r1 + (r0 <= r1)::INT AS t1 FROM a{k}"
+        third = f"SELECT *, CASE WHEN lo <= r2 THEN r2 + 1 + (hi <= r2 + 1)::INT ELSE r2 END AS t2 FROM (SELECT *, least(t0, t1) AS lo, greatest(t0, t1) AS hi FROM ({second}))"
+        out[f"d{k}"] = " UNION ALL ".join(f"SELECT batch_id, node_id, t{j} AS k FROM ({third if f == 3 else second}) WHERE {j} < deg" for j in range(f))
+        out[f"he{k}"] = f"SELECT batch_id, {len(fanouts) - 1 - k} AS layer, src, dst, weight FROM d{k} JOIN num ON src = d{k}.node_id AND num.k = d{k}.k"
+        out[f"h{k + 1}"] = f"SELECT batch_id, node_id FROM h{k} UNION SELECT batch_id, dst FROM he{k}"
+    return out
+
+
+@query("SELECT batch_id, layer, src, dst, round(weight, 6) AS weight FROM he0 UNION ALL SELECT batch_id, layer, src, dst, round(weight, 6) FROM he1", **X.WHOLE, **_draw_ctes([2, 3], 16))
+def r7_neighbor_draws_all(spark, d):
+    """Over the graph of all line items: neighbours drawn by number, adjacency in blocks of 16."""
+    own = B.cut_outputs(X.outputs(spark, d), X.PER_BATCH, 2021).select(F.col("group_id").alias("batch_id"), "node_id")
+    return R.neighbor_draws(own, G.normalize_adj(X.edges(spark, d, 0), "sym"), [2, 3], per_block=16)[1].withColumn("weight", six("weight"))
+
+
 @query("SELECT group_id, node_id FROM g", g=_epoch_groups("2021-1", "(SELECT ceil(count(*) / 7.0)::BIGINT FROM outputs)"))
 def r8_fixed_count_batches(spark, d):
     return B.fixed_count_batches(X.outputs(spark, d), 7, 1)
@@ -609,6 +721,21 @@ def n4_aggregate_attention(spark, d):
     return long_form(N.aggregate_attention(N.attention_scores(X.edges(spark, d), x, ATT_L, ATT_R), x, HEADS, True), "node_id")
 
 
+@query(UNNEST.format(keys="node_id", n=4, table=f"SELECT src AS node_id, [{_dims('sum(weight * features[#])')}] AS v FROM sym JOIN nodes ON node_id = dst GROUP BY 1"), **X.WHOLE)
+def n1_aggregate_grid_all(spark, d):
+    """Over the graph of all line items, by blocks and slices of two columns."""
+    grid = N.grid_blocks(G.normalize_adj(X.edges(spark, d, 0), "sym"), 3, 4)
+    return long_form(N.aggregate_grid(*grid, _x(spark, d), slice_width=2), "node_id")
+
+
+@query(f"SELECT src AS node_id, (h * {WIDTH} + i)::BIGINT AS k, round(sum(a * features[h * {WIDTH} + i + 1]), 6) AS v FROM att JOIN nodes ON node_id = dst, (SELECT unnest(range({WIDTH})) AS i) GROUP BY 1, 2", **X.WHOLE, **ATT_CTES)
+def n4_attention_grid_all(spark, d):
+    """Over the graph of all line items, by blocks with a weight a head."""
+    x = _x(spark, d)
+    grid = N.grid_blocks(N.attention_scores(cut(X.edges(spark, d, 0)), x, ATT_L, ATT_R), 3, 4, "scores")
+    return long_form(N.aggregate_grid(*grid, x), "node_id")
+
+
 @query("SELECT node_id, c AS k, round(z, 6) AS v FROM logits", **MODEL)
 def n5_dense_layer(spark, d):
     return long_form(_logits(spark, d), "node_id")
@@ -737,6 +864,15 @@ def n12_nll_loss(spark, d):
     return N.nll_loss(N.predict(_logits(spark, d)), X.labels(spark, d)).select(six("loss").alias("loss"))
 
 
+@query("SELECT batch_id, round(sum(-lp * c2), 6) AS loss FROM (SELECT batch_id, b.node_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY batch_id) AS c2 FROM batch_nodes b WHERE is_output) JOIN logp USING (node_id) JOIN labels USING (node_id) WHERE label = c GROUP BY 1", **MODEL)
+def n12_nll_loss_weighted(spark, d):
+    """Losses of a batch's outputs, weighted by norms that add up to 1 in the batch."""
+    own = cut(X.batch_nodes(spark, d).where("is_output"))
+    norms = own.join(own.groupBy("batch_id").agg(F.count("*").alias("n")), "batch_id").select("batch_id", "node_id", (1.0 / F.col("n")).alias("node_norm"))
+    logits = own.select("batch_id", "node_id").join(_logits(spark, d), "node_id").select("batch_id", "node_id", "x")
+    return N.nll_loss(N.predict(logits), X.labels(spark, d), norms).select("batch_id", six("loss").alias("loss"))
+
+
 # ---- evaluation
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -73,16 +74,39 @@ def read_batches(spark: SparkSession, path: str, method: str | None = None, spli
     return out
 
 
+def committed_run(spark: SparkSession, folder: str) -> str | None:
+    """The run whose table under ``folder`` is whole: a writer names its run in ``commits`` only after all its rows are in place."""
+    try:
+        runs = spark.read.schema("run string").parquet(f"{folder}/commits").agg(F.min("run").alias("run")).first()
+    except AnalysisException:  # nothing was ever committed
+        return None
+    return runs["run"]
+
+
+def write_committed(df: DataFrame, folder: str) -> str:
+    """Write a table as a run of its own and commit it; a writer that is ended before leaves rows that nobody reads."""
+    run = uuid.uuid4().hex
+    df.write.parquet(f"{folder}/run-{run}")
+    df.sparkSession.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+    return run
+
+
 def cached_norms(spark: SparkSession, folder: str, key: dict[str, object], make: Callable[[], DataFrame]) -> DataFrame:
-    """A table computed once per configuration: graph id, node count, roots, walk length and coverage make up the key."""
+    """A table computed once per configuration: graph id, node count, roots, walk length and coverage make up the key.
+
+    Only a committed table counts as made. Jobs that make it at the same time commit equal tables, and all later readers take the same one.
+    """
     name = hashlib.md5("|".join(f"{k}={key[k]}" for k in sorted(key)).encode()).hexdigest()
-    path = f"{folder}/norms-{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    at = f"{folder}/norms-{name}"
+    if committed_run(spark, at) is None:
+        write_committed(make(), at)
+    return spark.read.parquet(f"{at}/run-{committed_run(spark, at)}")
+
+
+def append_metrics(metrics: DataFrame, path: str, key: str | None = None) -> None:
+    """Add rows to a table. Rows appended under one ``key`` (a job's run, say) replace those appended under it before, so a repeated job counts once."""
+    metrics.select(*METRICS.fieldNames()).write.mode("overwrite").parquet(f"{path}/append={hashlib.md5(key.encode()).hexdigest() if key else uuid.uuid4().hex}")
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.select(*METRICS.fieldNames()).write.mode("append").parquet(path)
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS).parquet(path).select(*METRICS.fieldNames())
