@@ -10,9 +10,12 @@ Texts and items are words (A-Z lower-cased). For each item length a window of as
    that has items of this length, and that begin with such a first word (a bitmap of words and lengths).
 2. CGK embedding. A random walk reads the window's words, writes one word a step and moves on by a hashed random bit, so windows within a
    few edits fall into step again and write mostly equal words: edit distance becomes Hamming distance.
-3. Bit-sampling LSH. Each repetition has a walk of its own and samples ``bits`` of its steps as the key. The number of repetitions is set for
-   each item length so that items edited at the full allowed rate still meet themselves with ``target_recall``, measured on simulated edits
-   of at most 16 items a length.
+3. Bit-sampling LSH. Each repetition has a walk of its own and samples ``bits`` of its steps as the key. Items have keys from each
+   of their first k + 1 words on, so that the one from which a window starts meets it in step; added or lost words put them out of it later on, so
+   steps are drawn more densely near the begin. The number of repetitions is set for
+   each item length so that items edited at the full allowed rate still meet themselves with ``target_recall``, whichever kind of edit it is: replaced,
+   added and lost words are simulated each by itself on at most 16 items a length, and the worst counts. Where that would take more than 256
+   repetitions, keys are of one step.
    Equal windows are embedded once, however many texts hold them.
 4. Least word edit distance of the item and any stretch of the window widened by ``k`` words on either side, exactly.
 
@@ -40,6 +43,9 @@ from graphbatch.llm.shingles import word_hashes, words_of_text
 BITMAP_BITS, PART_BITS = 1 << 24, 1 << 16
 MASK_SHIFT = 4  # masks of item groups are kept for every 16 bits of the bitmap
 PAD = np.uint64(0)
+#: Power by which sampled steps crowd towards the window's begin.
+EARLY = 3
+KINDS = ("replaced", "added", "lost")
 
 
 def allowed_edits(n: int, percent: int) -> int:
@@ -61,10 +67,10 @@ class CgkSampler:
         rng = np.random.default_rng(seed)
         self.bits, self.repetitions = bits, repetitions
         self.salts = rng.integers(1, 1 << 63, repetitions, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-        self.picks = rng.random((repetitions, bits))
+        self.picks = rng.random((repetitions, bits)) ** EARLY
 
-    def keys(self, windows: np.ndarray, repetitions: int | None = None) -> np.ndarray:
-        """``windows``: (count, n) word hashes; returns (count, repetitions) 64-bit keys, of the first repetitions only if told."""
+    def keys(self, windows: np.ndarray, repetitions: int | None = None, bits: int | None = None) -> np.ndarray:
+        """``windows``: (count, n) word hashes; returns (count, repetitions) 64-bit keys, of the first repetitions and bits only if told."""
         count, n = windows.shape
         repetitions = repetitions or self.repetitions
         padded = np.column_stack([windows, np.full(count, PAD)])
@@ -73,7 +79,7 @@ class CgkSampler:
         with np.errstate(over="ignore"):
             for r in range(repetitions):
                 # A walk moves every other step on average; sampling within 2n steps keeps to the window.
-                steps = np.unique((self.picks[r] * 2 * n).astype(np.int64))
+                steps = np.unique((self.picks[r][: bits or self.bits] * 2 * n).astype(np.int64))
                 key = np.full(count, np.uint64(r * 1_000_003 + n), np.uint64)
                 at = np.zeros(count, np.int64)
                 for step in range(int(steps[-1]) + 1):
@@ -128,37 +134,42 @@ def held_edits(item: list[int], words: list[int]) -> int:
     return best
 
 
-def _simulated_edits(h: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    """The window of the item's length over a copy with ``edits`` random edits, from the first of the item's first words on."""
-    out = h.tolist()
-    for _ in range(edits):
-        k = int(rng.integers(len(out)))
-        kind = rng.integers(3)
-        new = int(rng.integers(1, 1 << 62))
-        if kind == 0:
-            out[k] = new
-        elif kind == 1:
-            out.insert(k, new)
-        else:
-            del out[k]
-    firsts = set(h[: edits + 1].tolist())
+def from_word(h: np.ndarray, at: int) -> np.ndarray:
+    """``h`` from a word on, filled up to its length."""
+    return np.pad(h[at:], (0, min(at, len(h))))
+
+
+def _simulated_edits(h: np.ndarray, edits: int, kind: str, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The window of the item's length over a copy with ``edits`` edits of one kind at random words, from the first of the item's first words on; and the item from that word on."""
+    hit, new = np.isin(np.arange(len(h)), rng.choice(len(h), edits, replace=False)), rng.integers(1, 1 << 62, len(h))
+    out: list[int] = []
+    for word, edit, other in zip(h.tolist(), hit.tolist(), new.tolist(), strict=True):
+        out += {"replaced": [other], "added": [word, other], "lost": []}[kind] if edit else [word]
+    firsts = h[: edits + 1].tolist()
     while out and out[0] not in firsts:
         del out[0]
+    at = firsts.index(out[0]) if out else 0
     out += rng.integers(1, 1 << 62, max(0, len(h) - len(out))).tolist()
-    return np.array(out[: len(h)], np.uint64)
+    return np.array(out[: len(h)], np.uint64), from_word(h, at)
 
 
-def repetitions_for(items: list[np.ndarray], percent: int, bits: int, target_recall: float, pairs: int = 64, trials: int = 64, most: int = 1024) -> int:
-    """Repetitions by which edits at the full rate of items of one length reach the target on average; each pair counts with its own chance.
+def repetitions_for(items: list[np.ndarray], percent: int, bits: int, target_recall: float, pairs: int = 64, trials: int = 128, most: int = 256) -> tuple[int, int]:
+    """(repetitions, bits) by which edits at the full rate of items of one length reach the target on average, for each kind of edit; each pair counts with its own chance.
 
-    A chance counts as 1 / (2 trials + 2) at least, so ``most`` is beyond what any target up to 0.999 needs.
+    A chance counts as 1 / (2 trials + 2) at least. Where ``most`` repetitions are too few, keys are of a bit less.
     """
-    rng, probe, edits = np.random.default_rng(11), CgkSampler(trials, bits, seed=13), allowed_edits(len(items[0]), percent)
+    rng, edits = np.random.default_rng(11), allowed_edits(len(items[0]), percent)
     plain = [items[i % len(items)] for i in range(pairs)]
-    keys = probe.keys(np.stack([*plain, *(_simulated_edits(h, edits, rng) for h in plain)]))
-    chance = ((keys[:pairs] == keys[pairs:]).sum(1) + 0.5) / (trials + 1)
-    recall = 1 - ((1 - chance)[:, None] ** np.arange(1, most + 1)).mean(0)
-    return int(min(most, 1 + (recall < target_recall).sum()))
+    copies = [[np.stack(x) for x in zip(*(_simulated_edits(h, edits, kind, rng) for h in plain), strict=True)] for kind in KINDS] if edits else []
+    for b in range(bits, 0, -1):
+        probe, need = CgkSampler(trials, bits, seed=13), 1
+        for window, own in copies:
+            chance = ((probe.keys(own, bits=b) == probe.keys(window, bits=b)).sum(1) + 0.5) / (trials + 1)
+            recall = 1 - ((1 - chance)[:, None] ** np.arange(1, 4 * most + 1)).mean(0)
+            need = max(need, 1 + int((recall < target_recall).sum()))
+        if need <= most or b == 1:
+            return min(need, 4 * most), b
+    raise ValueError("bits must be 1 or more")
 
 
 def without_runs(hit: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
@@ -326,10 +337,11 @@ def find_leaks(
 
     def measure(g: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(x, np.uint64) for x in g.sort_values("k")["item"]]
-        return pd.DataFrame({"n": [len(held[0])], "r": [repetitions_for(held, edit_percent, bits, target_recall)]})
+        r, b = repetitions_for(held, edit_percent, bits, target_recall)
+        return pd.DataFrame({"n": [len(held[0])], "r": [r], "b": [b]})
 
-    repetitions = {x["n"]: x["r"] for x in drawn.groupBy("n").applyInPandas(measure, "n int, r int").collect()}  # two numbers an item length
-    sampler = CgkSampler(max(repetitions.values()), bits)
+    repetitions = {x["n"]: (x["r"], x["b"]) for x in drawn.groupBy("n").applyInPandas(measure, "n int, r int, b int").collect()}  # three numbers an item length
+    sampler = CgkSampler(max(r for r, _ in repetitions.values()), bits)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filters = told.value
@@ -346,14 +358,14 @@ def find_leaks(
             for b in batches:
                 for n, part in b.groupby("n"):
                     words = [np.frombuffer(x, np.uint64)[at : at + n] for x, at in zip(part[column], part["at"], strict=True)]
-                    w = np.stack([np.pad(x, (0, n - len(x))) for x in words])
-                    keys = sampler.keys(w, repetitions[n]).view("i8")
+                    w = np.stack([np.pad(x, (0, n - len(x))) for x in words])  # items from a later word on are shorter
+                    keys = sampler.keys(w, *repetitions[n]).view("i8")
                     yield pd.DataFrame({"n": np.int32(n), ident: np.repeat(part[ident].to_numpy(), keys.shape[1]), "key": keys.ravel()})
 
         return run
 
     window_keys = contents.mapInPandas(keyed("window", "content"), "n int, content binary, key long")
-    item_keys = items.dropDuplicates(["n", "item"]).withColumn("content", F.md5("item").cast("binary")).withColumn("at", F.lit(0)).mapInPandas(keyed("item", "content"), "n int, content binary, key long").withColumnRenamed("content", "same")
+    item_keys = items.dropDuplicates(["n", "item"]).withColumn("content", F.md5("item").cast("binary")).withColumn("at", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") * edit_percent / 100).cast("int")))).mapInPandas(keyed("item", "content"), "n int, content binary, key long").withColumnRenamed("content", "same")
     met = window_keys.join(item_keys, ["n", "key"]).select("n", "content", "same").distinct()
     unique_items = items.withColumn("same", F.md5("item").cast("binary"))
     asked = met.join(contents, ["n", "content"]).join(unique_items.select("n", "same", "item").distinct(), ["n", "same"])

@@ -162,20 +162,23 @@ def pseudonym(key: str, value: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """The input with the texts' private values replaced; ``count_col`` names a column for the number of replaced values.
+    """The input with the texts' private values replaced; ``count_col`` names a new column for the number of replaced values.
 
-    Who holds ``key`` can undo the pseudonyms, so it has no default. Only texts that can hold a finding go through the pattern: two digits with
+    All columns are kept, whatever their names; a ``count_col`` that the input has already is refused. Who holds ``key`` can undo the pseudonyms, so it has no default. Only texts that can hold a finding go through the pattern: two digits with
     at most a separator between, an @ or 32 hexadecimal digits. Findings and the pieces between them are put together in order.
     """
-    text = F.col(text_col)
+    text = F.col(f"row.{text_col}")
     touched = text.rlike(r"[0-9][ .-]?[0-9]|@|[0-9a-fA-F]{32}")
-    names = docs.columns
-    step = docs.withColumn("_found", F.when(touched, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    step = step.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))
-    step = step.withColumn("_new", F.transform("_found", lambda v: pseudonym(key, v)))
-    step = step.withColumn("_between", F.when(F.col("_found").isNotNull(), F.split(text, ANY, -1)))
-    values = F.zip_with("_new", "_found", lambda new, old: F.coalesce(new, old))
-    filled = F.array_join(F.transform(F.arrays_zip(F.col("_between").alias("b"), values.alias("v")), lambda x: F.concat(x["b"], F.coalesce(x["v"], F.lit("")))), "")
-    out = step.withColumn(text_col, F.when(F.col("_found").isNotNull(), filled).otherwise(text))
-    counted = F.coalesce(F.size(F.filter("_new", lambda x: x.isNotNull())), F.lit(0)).cast("long")
-    return out.select(*(F.col(c) for c in names), *([F.when(F.col("_new").isNotNull(), counted).otherwise(F.lit(0).cast("long")).alias(count_col)] if count_col else []))
+    if count_col in docs.columns:
+        raise ValueError(f"the input has a column named {count_col}")
+    step = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # so that no helper column meets one of the input
+    step = step.withColumn("found", F.when(touched, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    step = step.withColumn("found", F.when(F.size("found") > 0, F.col("found")))
+    step = step.withColumn("new", F.transform("found", lambda v: pseudonym(key, v)))
+    step = step.withColumn("between", F.when(F.col("found").isNotNull(), F.split(text, ANY, -1)))
+    values = F.zip_with("new", "found", lambda new, old: F.coalesce(new, old))
+    filled = F.array_join(F.transform(F.arrays_zip(F.col("between").alias("b"), values.alias("v")), lambda x: F.concat(x["b"], F.coalesce(x["v"], F.lit("")))), "")
+    filled = F.when(F.col("found").isNotNull(), filled).otherwise(text)
+    counted = F.coalesce(F.size(F.filter("new", lambda x: x.isNotNull())), F.lit(0)).cast("long")
+    counted = F.when(F.col("new").isNotNull(), counted).otherwise(F.lit(0).cast("long"))
+    return step.select(*((filled if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns), *([counted.alias(count_col)] if count_col else []))

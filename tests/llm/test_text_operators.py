@@ -448,6 +448,31 @@ def full_rate_leaks(kind: str):
     return rows, [(i, " ".join(x)) for i, x in enumerate(items)]
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "change"])
+def test_recall_of_each_kind_of_edit(spark, kind):
+    """Items of 20, 57, 100 and 200 words, each edited at the full rate by one kind anywhere, against the full table."""
+    r, items, rows, sizes = random.Random(31), [], [], (20, 57, 100, 200)
+    for k in range(24):
+        items.append([f"{r.choice(WORDS)}{r.randrange(40)}" for _ in range(sizes[k % 4])])
+    for i in range(240):
+        leak = list(items[i % 24])
+        for p in sorted(r.sample(range(len(leak)), len(leak) // 5), reverse=True):
+            leak[p : p + 1] = {"delete": [], "insert": [leak[p], "new"], "change": ["new"]}[kind]
+        rows.append((i, " ".join([*(f"{r.choice(WORDS)}{r.randrange(40)}" for _ in range(30)), *leak, *(r.choice(WORDS) for _ in range(30))])))
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(frame(spark, rows), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()}
+    for k in range(4):
+        assert sum((i, i % 24) in got for i in range(240) if i % 4 == k) >= 0.95 * 60, sizes[k]
+
+
+def test_private_values_beside_clashing_columns(spark):
+    row = ("a@b.org", ["x"], "kept", 5, 1.5)
+    df = spark.createDataFrame([row, (None, None, None, None, None)], "text string, _found array<string>, found string, _new long, row double")
+    out = pii.pseudonymise(df, key="k", count_col="n").collect()
+    assert out[0][1:5] == row[1:] and out[0]["text"].endswith("@example.invalid") and out[0]["n"] == 1 and tuple(out[1]) == (None, None, None, None, None, 0)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, key="k", count_col="found")
+
+
 @pytest.mark.parametrize("kind", ["delete", "insert", "change"])
 def test_leaks_at_the_full_rate_are_found(spark, kind):
     rows, items = full_rate_leaks(kind)
@@ -816,7 +841,7 @@ def test_each_pipeline_stage_equals_plain_python(spark, tmp_path):
         return [x for x in kept if not any(decontamination.held_edits(i, coded(x[1])) <= len(i) // 5 for i in of_item)]
 
     def pseudonyms(kept):
-        key = "a key for tests, not for publishing"
+        key = spark.conf.get("spark.corpus.pseudonymKey")
         return [(i, re.sub(pii.ANY, lambda m: brute_pseudonym(key, m[0]) or m[0], t, flags=re.A)) for i, t in kept]
 
     def encode(kept):
