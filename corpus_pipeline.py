@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphbatch.llm.bpe import encode_texts
@@ -28,8 +30,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace private values by pseudonyms of their format, under the key that the session names."""
-    return pseudonymise(docs, key=spark.conf.get("spark.corpus.pseudonymKey", "a key for tests, not for publishing"))
+    """Replace private values by pseudonyms of their format, under the key that the session names.
+
+    Without one (spark.corpus.pseudonymKey) a key is drawn for this run and told to nobody: values stay linked within the run, and no one can undo them.
+    """
+    key = spark.conf.get("spark.corpus.pseudonymKey", None)
+    if key is None:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.corpus.pseudonymKey", key)  # one key for all stages and tables of the session
+    return pseudonymise(docs, key=key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
