@@ -76,8 +76,11 @@ def aggregate_grid(grid: DataFrame, needed: DataFrame, x: DataFrame, slice_width
     vectors = needed.join(x.select(F.col("node_id").alias("dst"), F.col("x").alias("vec")), "dst")
     left, keys = grid, ["rb", "cb"]
     if slice_width:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("vec"), F.lit(1)), F.lit(slice_width))
-        vectors = vectors.select("rb", "cb", "dst", "vec", F.posexplode(starts).alias("s", "start")).withColumn("vec", F.slice("vec", F.col("start"), F.lit(slice_width))).drop("start")
+        first = x.select(F.size("x").alias("n")).first()
+        width = first["n"] if first else 0
+        filled = F.concat("vec", F.array_repeat(F.lit(0.0), -width % slice_width))  # so that all slices are equally wide
+        starts = F.array(*(F.lit(k) for k in range(1, width + 1, slice_width)))
+        vectors = vectors.select("rb", "cb", "dst", filled.alias("vec"), F.posexplode(starts).alias("s", "start")).withColumn("vec", F.slice("vec", F.col("start"), F.lit(slice_width))).drop("start")
         left, keys = grid.join(vectors.select("rb", "cb", "s").distinct(), ["rb", "cb"]), ["rb", "cb", "s"]
 
     def run(key: tuple, b: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +96,7 @@ def aggregate_grid(grid: DataFrame, needed: DataFrame, x: DataFrame, slice_width
     if not slice_width:
         return total.select("node_id", F.col("vec").alias("x"))
     whole = total.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("s", "vec"))).alias("p"))
-    return whole.select("node_id", F.flatten(F.col("p.vec")).alias("x"))
+    return whole.select("node_id", F.slice(F.flatten(F.col("p.vec")), 1, width).alias("x"))
 
 
 def row_wise(x: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
