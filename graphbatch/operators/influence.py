@@ -156,8 +156,10 @@ def batch_ppr_push(adj_rw: DataFrame, outsets: DataFrame, alpha: float = 0.25, t
     return functools.reduce(DataFrame.unionByName, pushed).groupBy("batch_id", "node").agg(F.sum("r").alias("score"))
 
 
-def batch_topk(n_nodes: int, parts: int, ratio: float) -> int:
-    """ceil(ratio N / parts)."""
+def batch_topk(n_nodes: int | Column, parts: int, ratio: float) -> int | Column:
+    """ceil(ratio N / parts), of a number or within an aggregation."""
+    if isinstance(n_nodes, Column):
+        return F.ceil(F.lit(float(ratio)) * n_nodes / parts)
     return -int(-(ratio * n_nodes) // parts)
 
 

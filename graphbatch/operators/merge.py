@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphbatch.functions.lineage import cut
@@ -24,8 +24,10 @@ from graphbatch.operators.influence import DIGITS
 from graphbatch.operators.prep import sorted_rank
 
 
-def even_batch_size(n: int, per_batch: int) -> int:
-    """ceil(n / ceil(n / per_batch)): batches of nearly equal size."""
+def even_batch_size(n: int | Column, per_batch: int) -> int | Column:
+    """ceil(n / ceil(n / per_batch)): batches of nearly equal size; of a number or within an aggregation."""
+    if isinstance(n, Column):
+        return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.ceil(n / F.greatest(F.ceil(n / per_batch), F.lit(1))))
     return 0 if n == 0 else -(-n // -(-n // per_batch))
 
 

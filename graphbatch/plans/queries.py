@@ -284,8 +284,7 @@ def p7_topk_per_batch(spark, d):
 
 @query(f"SELECT ceil(0.1::DOUBLE * count(*) / {X.PARTS})::BIGINT AS k FROM nodes")
 def p8_batch_topk(spark, d):
-    nodes = X.nodes(spark, d)
-    return nodes.agg(F.lit(P.batch_topk(nodes.count(), X.PARTS, 0.1)).cast("long").alias("k"))
+    return X.nodes(spark, d).agg(P.batch_topk(F.count("*"), X.PARTS, 0.1).alias("k"))
 
 
 @query("SELECT DISTINCT node AS node_id FROM ppr WHERE score > 0.05")
@@ -304,8 +303,7 @@ def p10_ppr_log_histogram(spark, d):
 
 @query("SELECT ceil(count(*) / ceil(count(*) / 100.0))::BIGINT AS size FROM outputs")
 def m1_even_batch_size(spark, d):
-    outputs = X.outputs(spark, d)
-    return outputs.agg(F.lit(M.even_batch_size(outputs.count(), 100)).cast("long").alias("size"))
+    return X.outputs(spark, d).agg(M.even_batch_size(F.count("*"), 100).alias("size"))
 
 
 def _output_pairs(spark, d):
