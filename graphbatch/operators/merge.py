@@ -195,8 +195,9 @@ def pack_small_groups(groups: DataFrame, cap: int, buckets: int = 256) -> DataFr
 def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 200_000) -> DataFrame:
     """(node_id, group_id): as ``merge_by_outputs``, the bound being on the union of the groups' neighbour sets.
 
-    A pair whose set sizes add up to more than int(cap 1.0005) is turned down at once. The size of a union is counted only for the
-    dominant pairs of the round, by a join of their sets.
+    A pair whose set sizes add up to more than int(cap 1.0005) is turned down at once, and one whose sizes add up to ``cap`` at most fits whatever the
+    sets share. Only for dominant pairs in between is the size of the union counted, by a join of their sets. Once at most ``finish_rows`` pairs
+    are open, each connected component of them with at most ``finish_rows`` rows of sets is decided in a task of its own; larger ones go on in rounds.
     """
     groups = outputs.select("node_id", F.col("node_id").alias("group_id")).distinct()
     sets = cut(neighbors.select(F.col("source").alias("g"), "node").join(outputs.select(F.col("node_id").alias("g")).distinct(), "g", "left_semi").distinct())
@@ -204,34 +205,63 @@ def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap
     while True:
         sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
         s = lambda g: sizes.select(F.col("g").alias(g), F.col("size").alias(f"s_{g}"))  # noqa: E731,B023
-        live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= quick).drop("s_gi", "s_gj"))
+        live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= quick))
         left = live.count()
         if left == 0:
             return groups
         if left <= finish_rows:
-            ends = live.select(F.col("gi").alias("g")).union(live.select("gj")).distinct()
-            open_sets = cut(sets.join(ends, "g", "left_semi"))
-            if open_sets.count() <= finish_rows:
-                return _moved(groups, _finish_aux(live, open_sets, cap, quick))
-        top = cut(_dominant(live))
-        both = top.join(sets.withColumnRenamed("g", "gi"), "gi").join(sets.withColumnRenamed("g", "gj"), ["gj", "node"]).groupBy("gi", "gj").agg(F.count("*").alias("shared"))
-        judged = top.join(both, ["gi", "gj"], "left").join(s("gi"), "gi").join(s("gj"), "gj")
-        judged = cut(judged.select("i", "j", "gi", "gj", (F.col("s_gi") + F.col("s_gj") - F.coalesce("shared", F.lit(0)) <= cap).alias("fits")))
-        moves = judged.where("fits").select(F.greatest("gi", "gj").alias("old"), F.least("gi", "gj").alias("new"))
+            ends = cut(_components(live))
+            open_sets = cut(sets.join(ends, "g"))
+            large = cut(open_sets.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > finish_rows).select("component"))
+            parts = live.join(ends.withColumnRenamed("g", "gi"), "gi")
+            done = _finish_aux(parts.join(large, "component", "left_anti"), open_sets.join(large, "component", "left_anti"), cap, quick)
+            if large.isEmpty():
+                return _moved(groups, done)
+            groups = cut(_moved(groups, done))
+            live = cut(parts.join(large, "component", "left_semi").drop("component"))
+        top = cut(_dominant(live).join(s("gi"), "gi").join(s("gj"), "gj"))
+        total = F.col("s_gi") + F.col("s_gj")
+        if quick > cap:
+            unsure = top.where(total > cap).select("gi", "gj")
+            both = unsure.join(sets.withColumnRenamed("g", "gi"), "gi").join(sets.withColumnRenamed("g", "gj"), ["gj", "node"]).groupBy("gi", "gj").agg(F.count("*").alias("shared"))
+            top = cut(top.join(both, ["gi", "gj"], "left").withColumn("fits", total - F.coalesce("shared", F.lit(0)) <= cap))
+        else:
+            top = top.withColumn("fits", F.lit(True))
+        moves = top.where("fits").select(F.greatest("gi", "gj").alias("old"), F.least("gi", "gj").alias("new"))
         groups = cut(_moved(groups, moves))
         sets = cut(sets.join(moves.withColumnRenamed("old", "g"), "g", "left").select(F.coalesce("new", "g").alias("g"), "node").distinct())
         # A pair that was turned down stays so; parallel pairs of the same two groups go with it.
-        live = live.join(judged.where("NOT fits").select("gi", "gj"), ["gi", "gj"], "left_anti")
+        live = live.drop("s_gi", "s_gj").join(top.where("NOT fits").select("gi", "gj"), ["gi", "gj"], "left_anti")
         live = cut(_renamed(live, moves))
 
 
+def _components(live: DataFrame) -> DataFrame:
+    """(g, component): groups that open pairs connect, named by the smallest; one task over pairs whose number the caller has bounded."""
+
+    def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(g: int) -> int:
+            while parent.setdefault(g, g) != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        for b in batches:
+            for i, j in zip(b["gi"].tolist(), b["gj"].tolist(), strict=True):
+                a, c = sorted((root(i), root(j)))
+                parent[c] = a
+        yield pd.DataFrame({"g": list(parent), "component": [root(g) for g in parent]}).astype("i8")
+
+    return live.select("gi", "gj").coalesce(1).mapInPandas(connect, "g long, component long")
+
+
 def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataFrame:
-    """(old, new) group ids after deciding the open pairs one by one; both tables are bounded by the caller."""
+    """(old, new) group ids after deciding the open pairs of each component one by one; the caller bounds both tables of a component."""
     none = F.lit(None)
-    rows = live.select("i", "j", "w", "gi", "gj").union(sets.select("node", none.cast("long"), none.cast("double"), "g", none.cast("long")))
+    rows = live.select("component", "i", "j", "w", "gi", "gj").union(sets.select("component", "node", none.cast("long"), none.cast("double"), "g", none.cast("long")))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(batches), ignore_index=True)
+    def decide(every: pd.DataFrame) -> pd.DataFrame:
         aux = {int(g): set(part["i"].astype("i8")) for g, part in every[every["gj"].isna()].groupby("gi")}
         parent, refused = {g: g for g in aux}, set()
 
@@ -249,17 +279,46 @@ def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataF
                 del aux[b]
             else:
                 refused.add((a, b))
-        yield pd.DataFrame({"old": list(parent), "new": [root(g) for g in parent]})
+        return pd.DataFrame({"old": list(parent), "new": [root(g) for g in parent]})
 
-    return rows.coalesce(1).mapInPandas(decide, "old long, new long")
+    return rows.groupBy("component").applyInPandas(decide, "old long, new long")
+
+
+def _chain(sets: DataFrame, ranked: DataFrame, cap: int) -> tuple[int, int | None, int]:
+    """How far joining one by one runs as a chain, in which the latest union is always among the next two to be joined.
+
+    Returns the last rank of the chain, the rank whose union is the first above ``cap`` (None without one, or if the chain stops before it), and the
+    smallest id in the chain. The union up to a rank counts each node at its first rank; running sums are taken within
+    blocks of 4,096 ranks, and over one row a block.
+    """
+    fresh = sets.join(ranked.select("g", "rank"), "g").groupBy("node").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("fresh"))
+    after = ranked.select((F.col("rank") - 2).alias("rank"), F.struct("size", "g").alias("after"))
+    rows = cut(ranked.join(fresh, "rank", "left").join(after, "rank", "left").select("g", "rank", "after", F.coalesce("fresh", F.lit(0)).alias("fresh"), F.floor(F.col("rank") / 4096).alias("block")))
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(F.sum("fresh").alias("n"), F.min("g").alias("low"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n"), F.min("low").over(ahead).alias("low"))
+    inside = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    union = F.struct((F.col("n") + F.sum("fresh").over(inside)).alias("size"), F.least("low", F.min("g").over(inside)).alias("g"))
+    found = rows.join(blocks, "block").select("rank", "after", union.alias("union"))
+    told = cut(found).agg(
+        F.min(F.when(F.col("union") >= F.col("after"), F.col("rank"))).alias("stop"),
+        F.min(F.when((F.col("rank") > 0) & (F.col("union.size") > cap), F.col("rank"))).alias("over"),
+        F.max("rank").alias("last"),
+    ).first()
+    stop = told["last"] if told["stop"] is None else told["stop"]
+    if told["over"] is not None and told["over"] - 1 < (told["last"] + 1 if told["stop"] is None else stop):
+        return told["over"] - 1, told["over"], ranked.where(F.col("rank") < told["over"]).agg(F.min("g")).first()[0]
+    return stop, None, ranked.where(F.col("rank") <= stop).agg(F.min("g")).first()[0]
 
 
 def pack_small_aux(groups: DataFrame, neighbors: DataFrame, cap: int, finish_rows: int = 50_000) -> DataFrame:
     """(node_id, group_id): the two groups with the smallest neighbour sets are joined while the union stays within ``cap``; the first failure ends it.
 
     Groups already at ``cap`` can't change and stay out. In rounds: open groups are paired in order of (set size, id). All pairs in front of
-    the smallest of the unions are what joining one by one would take next, for no union comes before them; they are joined at once. Each
-    round joins one pair at least. Once the open sets have at most ``finish_rows`` rows, one task joins the rest one by one.
+    the smallest of the unions are what joining one by one would take next, for no union comes before them; they are joined at once. Where that
+    is less than an eighth of the open groups (sets that hold one another, so that unions hardly grow), the round looks for a chain too: as long as
+    the union so far is always one of the next two, a whole run of groups joins at once. The longer of both counts. Once the open sets have at most
+    ``finish_rows`` rows, one task joins the rest one by one.
     """
     sets = groups.join(neighbors.select(F.col("source").alias("node_id"), "node"), "node_id").select("group_id", "node").distinct()
     small = sets.groupBy("group_id").agg(F.count("*").alias("size")).where(F.col("size") < cap).select("group_id")
@@ -269,13 +328,19 @@ def pack_small_aux(groups: DataFrame, neighbors: DataFrame, cap: int, finish_row
         pairs = ranked.groupBy("k").agg(F.min("g").alias("new"), F.max(F.struct("size", "g")).alias("last"), F.count("*").alias("n")).where("n = 2")
         unions = sets.join(ranked.select("g", "k"), "g").groupBy("k").agg(F.count_distinct("node").alias("u"))
         pairs = cut(pairs.join(unions, "k"))
-        least = pairs.agg(F.min(F.struct(F.col("u").alias("size"), F.col("new").alias("g"))).alias("m")).first()["m"]
+        told = pairs.agg(F.min(F.struct(F.col("u").alias("size"), F.col("new").alias("g"))).alias("m"), F.count("*").alias("n")).first()
+        least = told["m"]
         if least is None:
             return groups.select("node_id", "group_id")
         next_ones = (F.col("k") == 0) | (F.col("last.size") < least["size"]) | ((F.col("last.size") == least["size"]) & (F.col("last.g") < least["g"]))
         failed = pairs.where(next_ones & (F.col("u") > cap)).agg(F.min("k")).first()[0]
-        done = pairs.where(next_ones if failed is None else next_ones & (F.col("k") < failed)).select("k", "new")
-        moves = cut(ranked.join(done, "k").select(F.col("g").alias("old"), "new"))
+        done = cut(pairs.where(next_ones if failed is None else next_ones & (F.col("k") < failed)).select("k", "new"))
+        moves, joined = ranked.join(done, "k").select(F.col("g").alias("old"), "new"), done.count()
+        if failed is None and joined * 4 < told["n"]:
+            end, failed, name = _chain(sets, ranked, cap)
+            if failed is not None or end > joined:
+                moves = ranked.where(F.col("rank") <= end).select(F.col("g").alias("old"), F.lit(name).alias("new"))
+        moves = cut(moves)
         groups = cut(_moved(groups, moves))
         if failed is not None:
             return groups

@@ -322,13 +322,13 @@ def m3_pack_small_groups(spark, d):
 
 @query()
 def m4_merge_by_aux(spark, d):
-    return M.merge_by_aux(_output_pairs(spark, d), X.neighbors(spark, d), X.outputs(spark, d), 60)
+    return M.merge_by_aux(_output_pairs(spark, d), X.neighbors(spark, d), X.outputs(spark, d), 60, finish_rows=1000)
 
 
 @query()
 def m5_pack_small_aux(spark, d):
     groups = X.outputs(spark, d).select("node_id", F.col("node_id").alias("group_id"))
-    return M.pack_small_aux(groups, X.neighbors(spark, d), 60)
+    return M.pack_small_aux(groups, X.neighbors(spark, d), 60, finish_rows=1000)
 
 
 @query("SELECT batch_id, node_id, is_output FROM batch_nodes")
@@ -638,7 +638,15 @@ def o4_tour_length(spark, d):
     return O.tour_length(_distance(spark, d), O.random_batch_order(_batch_outputs(spark, d), 1)).withColumn("total", six("total"))
 
 
-@query()
+SCHEDULE_SQL = f"""SELECT seed, epoch, position, batch_id FROM (WITH RECURSIVE steps AS (
+    SELECT unnest([1, 2])::BIGINT AS seed, 0 AS t, (SELECT min(batch_a) FROM kl) AS last, []::BIGINT[] AS used, (SELECT count(DISTINCT batch_id) FROM dist) AS n
+    UNION ALL SELECT seed, t + 1, arg_min(batch_b, key), list_append(used, arg_min(batch_b, key)), n FROM (
+        SELECT seed, t, n, used, batch_b, -ln({sql_uniform('schedule', 'seed', 't // n', 't % n', 'batch_b')}) / distance AS key
+        FROM (SELECT seed, t, last, n, CASE WHEN t % n = 0 THEN []::BIGINT[] ELSE used END AS used FROM steps WHERE t < 3 * n) JOIN kl ON batch_a = last WHERE distance > 0 AND NOT list_contains(used, batch_b)) GROUP BY seed, t, used, n)
+    SELECT seed, ((t - 1) // n)::INT AS epoch, ((t - 1) % n)::INT AS position, last AS batch_id FROM steps WHERE t > 0)"""
+
+
+@query(SCHEDULE_SQL, **DIST_CTES)
 def o5_weighted_batch_schedule(spark, d):
     return O.weighted_batch_schedule(_distance(spark, d), 3, [1, 2])
 
@@ -927,6 +935,14 @@ def w2_batch_wise(spark, d):
     return batch_wise_workload(X.edges(spark, d), X.nodes(spark, d), X.outputs(spark, d), parts=X.PARTS, ratio=0.2, alpha=ALPHA)
 
 
+@query()
+def w4_influential_parts(spark, d):
+    """Batches of the parts of those nodes only that matter to some validation node."""
+    from graphbatch.plans.workloads import influential_part_workload
+
+    return influential_part_workload(X.edges(spark, d), X.outputs(spark, d), X.PARTS, topk=8, alpha=ALPHA, eps=EPS)[1]
+
+
 @query("SELECT split, accuracy, n, f1 FROM acc JOIN mf USING (split)", **GCN, pred="SELECT node_id, list_position(v, list_max(v)) - 1 AS pred FROM gout", **JUDGED, acc=ACCURACY, mf=MACRO_F1)
 def w3_full_scoring(spark, d):
     """Logits of the whole graph layer by layer, and accuracy and F1 of each split."""

@@ -77,11 +77,13 @@ def test_merge_by_outputs_is_the_greedy_pass(spark, finish):
     assert {r.node_id: r.group_id for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("finish", [0, 200_000])
-def test_merge_by_aux_is_the_greedy_pass(spark, finish):
+@pytest.mark.parametrize(("finish", "cap", "spread"), [(0, 18, 5), (40, 18, 5), (200_000, 18, 5), (0, 2000, 900), (20_000, 2000, 900)])
+def test_merge_by_aux_is_the_greedy_pass(spark, finish, cap, spread):
+    """Rounds only, some components in tasks, all in tasks; from a cap of 2,000 on unions are counted for sums of sizes just above it."""
     pairs, r = pairs_of(9), random.Random(2)
-    aux = {v: {v} | {r.randrange(60) for _ in range(5)} for v in range(30)}
-    cap = 18
+    aux = {v: {v} | {r.randrange(12 * spread) for _ in range(spread)} for v in range(30)}
+    if cap == 2000:
+        aux |= {pairs[0][0]: set(range(1000)), pairs[0][1]: set(range(999, 2000)), pairs[1][0]: set(range(1000)), pairs[1][1]: set(range(5000, 6001))}
     want = greedy(30, pairs, lambda a, b: len(a) + len(b) <= int(cap * 1.0005) and len(a | b) <= cap, lambda a, b: set(aux[b]) if a is None else a | b)
     near = spark.createDataFrame([(s, v) for s, a in aux.items() for v in a], "source long, node long")
     got = M.merge_by_aux(spark.createDataFrame(pairs, "i long, j long, weight double"), near, ids_df(spark, range(30)), cap, finish_rows=finish)
@@ -130,6 +132,22 @@ def test_packing_by_aux_equals_the_heap(spark, seed, finish_rows):
     assert got == heap_of_sets(sets, 14)
 
 
+@pytest.mark.parametrize("kind", ["nested", "apart", "mixed"])
+def test_packing_by_aux_needs_few_rounds(spark, monkeypatch, kind):
+    """Sets that hold one another join in a chain, sets apart in pairs; rounds grow with the logarithm of the groups."""
+    make = {"nested": lambda i: set(range(i)), "apart": lambda i: {100 * i + x for x in range(i)}, "mixed": lambda i: set(range(i)) if i % 2 else {100 * i + x for x in range(i)}}[kind]
+    sets = {(7 * i) % 41: make(i) for i in range(1, 41)}
+    rounds, rank = [], M.sorted_rank
+    monkeypatch.setattr(M, "sorted_rank", lambda *a: rounds.append(1) or rank(*a))
+    groups = spark.createDataFrame([(g, g) for g in sets], "node_id long, group_id long")
+    near = spark.createDataFrame([(g, v) for g, vs in sets.items() for v in vs], "source long, node long")
+    for cap in (30, 300):
+        rounds.clear()
+        got = {x.node_id: x.group_id for x in M.pack_small_aux(groups, near, cap, 0).collect()}
+        assert got == heap_of_sets(sets, cap)
+        assert len(rounds) <= 12
+
+
 def test_packing_steps_give_the_sizes_of_the_heap():
     r = random.Random(8)
     for _ in range(500):
@@ -226,10 +244,19 @@ def test_schedules_use_each_batch_once_an_epoch(spark):
     for _, epoch in got.groupby(["seed", "epoch"]):
         used = epoch.sort_values("position")["batch_id"].tolist()
         assert len(used) == len(set(used)) >= 4
+    assert O.weighted_batch_schedule(dist.where("batch_a = 0 AND batch_b = 0"), 2, [1]).count() == 0
     again = O.weighted_batch_schedule(dist.repartition(7), 3, [1, 2]).toPandas()
     assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, again.to_numpy().tolist()))
 
 
+def test_schedules_draw_by_distance(spark):
+    """From batch 0, the first draw of many seeds falls on the others in proportion to their distances."""
+    dist = spark.createDataFrame([(i, j, 0.0 if i == j else float(1 + j)) for i in range(4) for j in range(4)], "batch_a long, batch_b long, distance double")
+    first = [x.batch_id for x in O.weighted_batch_schedule(dist, 1, list(range(900))).where("position = 0").collect()]
+    for b in (1, 2, 3):
+        assert abs(first.count(b) / 900 - (1 + b) / 9) < 0.06
+
+
 def dense_graph(spark):
     n, links = graph(11, 15, 25)
     adj = G.normalize_adj(edges_df(spark, links), "sym")

@@ -182,3 +182,20 @@ def test_whole_workloads_make_sound_batches(spark):
     assert sorted(ordered["position"]) == list(range(len(ordered))) and ordered["batch_id"].is_unique
     best = O.order_batches(O.batch_distance(O.batch_label_distribution(one.where("is_output"), nodes, X.CLASSES))).collect()
     assert {(x["position"], x["batch_id"]) for x in best} == set(map(tuple, ordered[["position", "batch_id"]].to_numpy().tolist()))
+
+
+def test_influential_parts_hold_outputs_with_their_neighbours(spark):
+    """Cells cover the influential nodes and the outputs once; a batch is the outputs of its cell with all their best neighbours."""
+    d = "/root/testdata/sf0.001"
+    outputs, edges = X.outputs(spark, d).cache(), X.edges(spark, d).cache()
+    cells, rows = W.influential_part_workload(edges, outputs, 3, topk=4, thresh=2e-2, alpha=0.25, eps=5e-3)
+    ppr = P.ppr_push(edges, outputs, 0.25, 5e-3).cache()
+    wanted, part = {x.node_id for x in outputs.collect()}, {x.node_id: x.part_id for x in cells.collect()}
+    kept = {x.node for x in ppr.collect() if x.score > 2e-2} | wanted
+    assert set(part) == kept and cells.count() == len(kept) < ppr.select("node").distinct().count()
+    near = {(x.source, x.node) for x in P.topk_neighbors(ppr, 4).collect()}
+    want = {(part[s], v) for s, v in near} | {(part[s], s) for s in wanted}
+    got = {(x.batch_id, x.node_id): x.is_output for x in rows.collect()}
+    assert set(got) == want and rows.count() == len(want)
+    assert {v for (b, v), o in got.items() if o} == wanted and all(part[v] == b for (b, v), o in got.items() if o)
+    assert B.check_batches(rows, rows.where("is_output"), outputs).count() == 0
