@@ -238,6 +238,26 @@ def test_larger_tours_beat_the_given_order(spark):
     assert O.tour_length(dist, order).first().total > sum(m[i, (i + 1) % 20] for i in range(20))
 
 
+def test_tours_end_where_no_exchange_helps(spark):
+    """Ids with gaps, two lengths of tours: each batch once, the smallest first, no 2-opt exchange left, and the same tour however the rows lie."""
+    for n, seed in ((9, 5), (31, 6)):
+        r = np.random.default_rng(seed)
+        m = r.random((n, n))
+        m = (m + m.T) * (1 - np.eye(n))
+        dist = spark.createDataFrame([(7 * i - 40, 7 * j - 40, float(m[i, j])) for i in range(n) for j in range(n)], "batch_a long, batch_b long, distance double")
+        order = O.order_batches(dist, starts=4)
+        t = [(x.batch_id + 40) // 7 for x in order.orderBy("position").collect()]
+        assert sorted(t) == list(range(n)) and t[0] == 0
+        leg = lambda i, j: m[t[i % n], t[j % n]]  # noqa: B023,E731
+        gains = [leg(i, j) + leg(i + 1, j + 1) - leg(i, i + 1) - leg(j, j + 1) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)]
+        assert max(gains) <= 1e-9
+        assert abs(O.tour_length(dist, order).first().total - sum(leg(i, i + 1) for i in range(n))) < 1e-9
+        again = O.order_batches(dist.repartition(5), starts=4)
+        assert [(x.batch_id + 40) // 7 for x in again.orderBy("position").collect()] == t
+    assert O.order_batches(dist.where("false")).count() == 0
+    assert [x.batch_id for x in O.order_batches(dist.where("batch_a < -30 AND batch_b < -30")).orderBy("position").collect()] == [-40, -33]
+
+
 def test_schedules_use_each_batch_once_an_epoch(spark):
     dist = spark.createDataFrame([(i, j, 0.0 if i == j else 1.0 + i + j) for i in range(5) for j in range(5)], "batch_a long, batch_b long, distance double")
     got = O.weighted_batch_schedule(dist, 3, [1, 2]).toPandas()
