@@ -12,9 +12,11 @@
 4. Surviving pairs are verified on whole texts, in three rounds.
    a. Each point with its best partner among the neighbours of its leaf. This ties groups of copies together; lists with
       points of one component only are settled.
-   b. The other lists are descended in full. Of each two components that meet in a list the best pair is verified.
-   c. Where such a pair fails, the list is descended once more and every surviving pair between different components is verified.
-   So no link between different components is missed, and pairs inside a component, which change nothing, are never listed.
+   b. The other lists are descended in full. Surviving pairs between components, the most alike first, are a forest over the components
+      of a list; its pairs are verified. If all hold, so do the components of every other surviving pair of the list.
+   c. Where one fails, the list is descended once more to find the points with a surviving partner in another component. Those meet
+      again with their whole sets, every surviving pair is verified on the spot, and the links leave as a forest.
+   So no link between different components is missed, and each round gives at most about a row a point and list, never the pairs of a group.
 
 Long lists are cut into blocks by hash: in round a each point is in two blocks of independent hashes, later each two blocks meet.
 The order of shingles in a prefix affects speed only: shingles that are frequent in some task of the first pass go last. That list is
@@ -153,11 +155,67 @@ def _first_of(keys: tuple[np.ndarray, ...], likeness: np.ndarray, tie: np.ndarra
     return order[new]
 
 
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of each list as few as connect the same components, the most alike first."""
+    low, high = np.minimum(rows["ca"], rows["cb"]).to_numpy(), np.maximum(rows["ca"], rows["cb"]).to_numpy()
+    rows = rows.iloc[_first_of((rows["list"].to_numpy(), low, high), rows["likeness"].to_numpy(), rows["a"].to_numpy())]
+    rows = rows.sort_values(["list", "likeness", "a", "b"], ascending=[True, False, True, True])
+    keep, root, held = [], {}, None
+    for of_list, x, y in zip(rows["list"].tolist(), rows["ca"].tolist(), rows["cb"].tolist(), strict=True):
+        if of_list != held:
+            root, held = {}, of_list
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        while (up := root.get(y, y)) != y:
+            root[y] = y = root.get(up, up)
+        root[x] = y
+        keep.append(x != y)
+    return rows[np.array(keep, bool)]
+
+
+def _each_best(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of each list the best one of each point. A copy as good as another is met at the smaller id, so that copies meet at one point."""
+    x, y = np.r_[rows["a"], rows["b"]], np.r_[rows["b"], rows["a"]]
+    best = _first_of((np.r_[rows["list"], rows["list"]], x), np.r_[rows["likeness"], rows["likeness"]], y)
+    return rows.iloc[np.unique(best % len(rows))] if len(rows) else rows
+
+
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, chunk_bytes: int = 1 << 23, most_bytes: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of the sorted sets i and j, pair by pair: by bits of the elements that two sets share, or one by one."""
+    used, at = np.unique(np.r_[i, j], return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    mine = [sets[k] for k in used.tolist()]
+    element, times = np.unique(np.concatenate(mine), return_counts=True)
+    element = element[times > 1]
+    width = -(-len(element) // 64)
+    if width * 8 > most_bytes or len(i) < len(mine):
+        return np.array([len(np.intersect1d(mine[a], mine[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    bits = np.zeros((len(mine), width), np.uint64)
+    for k, s in enumerate(mine):
+        has = np.zeros(width * 64, bool)
+        has[: len(element)] = np.isin(element, s, assume_unique=True)
+        bits[k] = np.packbits(has).view(np.uint64)
+    out, step = np.zeros(len(i), np.int64), max(1, chunk_bytes // max(8, width * 8))
+    for k in range(0, len(i), step):
+        out[k : k + step] = np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _linked(sets: np.ndarray, lists: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of points are links, by their whole sets; list by list."""
+    ok, order = np.zeros(len(i), bool), np.argsort(lists[i], kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(lists[i][order])) + 1) if len(order) else []:
+        a, b = i[mine], j[mine]
+        own = {k: np.frombuffer(sets[k], np.uint64) for k in np.unique(np.r_[a, b]).tolist()}
+        ok[mine] = overlaps(own, a, b) >= needed_overlap(sizes[a] + sizes[b], percent)
+    return ok
+
+
 def surviving_pairs(points: pd.DataFrame, percent: int, what: str) -> Iterator[pd.DataFrame]:
     """(list, a < b, their components, likeness) of the pairs that survive, of whole lists.
 
-    ``what``: "near" looks at neighbouring leaves only and gives each point's best partner in each list; "best" descends in full and
-    gives the best pair of each two components in each list; "all" gives every surviving pair.
+    ``what``: "near" looks at neighbouring leaves only and gives each point's best partner in each list; the others descend in full. "each"
+    gives the same, "forest" pairs that connect all components with a surviving pair, and "links" those that links connect (by column ``set``).
     """
     sizes = points["n"].to_numpy()
     levels = level_of(sizes)
@@ -173,6 +231,7 @@ def _pairs_of_level(points: pd.DataFrame, levels: np.ndarray, lowest: int, perce
     lists, own, ids, sizes, parts, packed = (points[c].to_numpy()[order] for c in ("list", "own", "rid", "n", "component", "vec"))
     levels = levels[order]
     vectors = unpacked(packed, levels, lowest)
+    sets = points["set"].to_numpy()[order] if what == "links" else None
     new_list = np.r_[True, lists[1:] != lists[:-1]]
     tree = np.cumsum(new_list | np.r_[True, own[1:] != own[:-1]])
     forest = CountVectorForest(tree, vectors, sizes, parts)
@@ -186,33 +245,23 @@ def _pairs_of_level(points: pd.DataFrame, levels: np.ndarray, lowest: int, perce
         crossing = np.r_[of_list[1:] == of_list[:-1], False]  # two trees are the two blocks of a crossing list
         alone = ~crossing & ~np.r_[False, crossing[:-1]]
         i, j = np.r_[np.flatnonzero(alone), np.flatnonzero(crossing)], np.r_[np.flatnonzero(alone), np.flatnonzero(crossing) + 1]
-    found = []
+    few = _each_best if what in ("near", "each") else _forest
+    found, waiting = [], 0
     for i, j, bound in forest.descend(height, i, j, percent):
-        ok = (levels[i] == lowest) | (levels[j] == lowest)
+        ok = ((levels[i] == lowest) | (levels[j] == lowest)) & (ids[i] != ids[j])
         i, j, bound = i[ok], j[ok], bound[ok]
+        if sets is not None:
+            ok = _linked(sets, lists, sizes, i, j, percent)
+            i, j, bound = i[ok], j[ok], bound[ok]
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         ca, cb = (np.where(ids[i] == a, parts[x], parts[y]) for x, y in ((i, j), (j, i)))
         likeness = bound / np.maximum(1, sizes[i] + sizes[j] - bound)
-        rows = pd.DataFrame({"list": lists[i], "a": a, "b": b, "ca": ca, "cb": cb, "likeness": likeness})[a != b]
-        if what == "best":
-            low, high = np.minimum(rows["ca"], rows["cb"]), np.maximum(rows["ca"], rows["cb"])
-            rows = rows.iloc[_first_of((rows["list"].to_numpy(), low.to_numpy(), high.to_numpy()), rows["likeness"].to_numpy(), rows["a"].to_numpy())]
-        if what == "all":
-            yield rows
-        else:
-            found.append(rows)
-    if not found:
-        return
-    rows = pd.concat(found, ignore_index=True)
-    if what == "near":
-        # A copy as good as another is met at the smaller id, so that copies meet at one point.
-        x, y = np.r_[rows["a"], rows["b"]], np.r_[rows["b"], rows["a"]]
-        best = _first_of((np.r_[rows["list"], rows["list"]], x), np.r_[rows["likeness"], rows["likeness"]], y)
-        rows = rows.iloc[np.unique(best % len(rows))]
-    else:
-        low, high = np.minimum(rows["ca"], rows["cb"]), np.maximum(rows["ca"], rows["cb"])
-        rows = rows.iloc[_first_of((rows["list"].to_numpy(), low.to_numpy(), high.to_numpy()), rows["likeness"].to_numpy(), rows["a"].to_numpy())]
-    yield rows
+        found.append(pd.DataFrame({"list": lists[i], "a": a, "b": b, "ca": ca, "cb": cb, "likeness": likeness}))
+        waiting += len(i)
+        if waiting > 200_000:
+            found, waiting = [few(pd.concat(found, ignore_index=True))], 0
+    if found:
+        yield few(pd.concat(found, ignore_index=True))
 
 
 def _scan(docs: DataFrame, k: int, local_count: int) -> DataFrame:
@@ -261,6 +310,17 @@ def _points(docs: DataFrame, k: int, percent: int, common: dict) -> DataFrame:
     return docs.mapInPandas(points, "rid long, n long, vec binary, keys array<long>")
 
 
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(rid, n, vec, set): the points with their whole sets."""
+
+    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches, 1024):
+            sets = [shingle_set(t, k) for t in b["text"]]
+            yield pd.DataFrame({"rid": b["rid"], "n": [len(s) for s in sets], "vec": [count_vector(s) for s in sets], "set": [s.tobytes() for s in sets]})[[len(s) > 0 for s in sets]]
+
+    return docs.select("rid", "text").mapInPandas(points, "rid long, n long, vec binary, set binary")
+
+
 def _known_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Join with a written table of ids: by broadcast up to ``broadcast_rows`` rows of at most 16 bytes, else by shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, on, how)
@@ -333,7 +393,7 @@ def _all_blocks(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, percent: int, what: str) -> DataFrame:
-    """``surviving_pairs`` of the rows (list, own, rid, component, n, vec), list by list."""
+    """``surviving_pairs`` of the rows (list, own, rid, component, n, vec, and set for "links"), list by list."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -349,7 +409,8 @@ def _pairs(rows: DataFrame, percent: int, what: str) -> DataFrame:
             yield from surviving_pairs(pd.concat(held, ignore_index=True), percent, what)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("list", "own", "rid", "component", "n", "vec").repartition(n, "list").sortWithinPartitions("list")
+    columns = ["list", "own", "rid", "component", "n", "vec"] + (["set"] if what == "links" else [])
+    dealt = rows.select(*columns).repartition(n, "list").sortWithinPartitions("list")
     return dealt.mapInPandas(find, "list long, a long, b long, ca long, cb long, likeness double")
 
 
@@ -395,7 +456,7 @@ def similar_components(
     ends = labelled(_known_ids(met, lists, "inner", "key", broadcast_rows)).groupBy("key").agg(F.first("c").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
     lists = write_and_reread(ends.where("x <> y").select("key", "c"), "ngram-open")
     rows = labelled(_listed_points(points, met, lists, broadcast_rows))
-    seen = write_and_reread(_pairs(_all_blocks(rows, block), percent, "best"), "ngram-seen")
+    seen = write_and_reread(_pairs(_all_blocks(rows, block), percent, "forest"), "ngram-seen")
     best = seen.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("likeness", -F.col("a"), -F.col("b"))).alias("m"))
     best = write_and_reread(best.select("x", "y", "m.a", "m.b"), "ngram-best")
     links = verified_links(firsts, best.select("a", "b").distinct(), words, percent)
@@ -408,10 +469,11 @@ def similar_components(
         return out.withColumn(name, F.coalesce("root", F.col(name))).drop("root")
 
     failed = write_and_reread(after(after(seen.select("list", "ca", "cb"), "ca"), "cb").where("ca <> cb").select("list").distinct(), "ngram-failed")
-    rest = _known_ids(_all_blocks(after(rows, "component"), block), failed, "left_semi", "list", broadcast_rows)
-    rest = _pairs(rest, percent, "all").select("a", "b", "ca", "cb").join(best.select("a", "b"), ["a", "b"], "left_anti").distinct()
-    rest = write_and_reread(rest, "ngram-rest")
-    last = verified_links(firsts, rest.select("a", "b"), words, percent).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    rest = write_and_reread(_known_ids(_all_blocks(after(rows, "component"), block), failed, "left_semi", "list", broadcast_rows).select("list", "own", "rid", "component", "n", "vec"), "ngram-rest")
+    met = _pairs(rest, percent, "each").select("list", F.explode(F.array("a", "b")).alias("rid"))
+    met = write_and_reread(met.distinct().join(rest.select("list", "own", "rid", "component").distinct(), ["list", "rid"]), "ngram-unsure")
+    whole = _known_ids(firsts.withColumnRenamed("doc_id", "rid"), write_and_reread(met.select("rid").distinct(), "ngram-whole"), "left_semi", "rid", broadcast_rows)
+    last = _pairs(met.join(_sets(whole, words), "rid"), percent, "links").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     final = connected_components(joined.union(write_and_reread(last, "ngram-last")))
     roots = final.select(F.col("id").alias("component"), F.col("component").alias("root"))
 

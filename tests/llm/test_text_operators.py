@@ -856,3 +856,49 @@ def test_each_pipeline_stage_equals_plain_python(spark, tmp_path):
         assert sorted(got) == sorted(plain), name
         assert len(plain) < before or version in (pseudonyms, encode)
     assert plain and sorted((x.doc_id, np.frombuffer(x.ids, "<u4").tolist()) for x in corpus_pipeline.run(spark, sf).collect()) == sorted(plain)
+
+
+def test_pairs_of_a_group_of_near_copies_are_not_made(spark, monkeypatch):
+    """Each round gives at most a row a point and list; the group has several components, and many of its pairs miss the threshold closely."""
+    from graphbatch.llm.common import write_and_reread
+    from graphbatch.llm.shingles import shingle_set
+
+    rng = random.Random(3)
+    base, rows = [f"w{rng.randrange(3000)}" for _ in range(60)], []
+    for doc_id in range(300):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{doc_id}"
+        rows.append((doc_id, " ".join(words)))
+    made, pairs, verified = [], ngram_join._pairs, ngram_join.verified_links
+
+    def counted_pairs(points, percent, what):
+        points = write_and_reread(points, "points-in")
+        out = write_and_reread(pairs(points, percent, what), "pairs-out")
+        made.append((what, points.count(), out.count()))
+        return out
+
+    def counted_links(docs, asked, *args):
+        made.append(("verify", made[-1][1], asked.count()))
+        return verified(docs, asked, *args)
+
+    monkeypatch.setattr(ngram_join, "_pairs", counted_pairs)
+    monkeypatch.setattr(ngram_join, "verified_links", counted_links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(docs, words=4, percent=85).collect()}
+    sets, label = [set(shingle_set(t, 4).tolist()) for _, t in rows], list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert found == dict(enumerate(label)) and len(set(label)) > 10
+    assert len(made) >= 5 and all(out <= given for _, given, out in made), made
+
+
+def test_overlaps_of_sets_by_bits_and_one_by_one():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200))).astype("u8") for _ in range(12)]
+    i, j = np.array(list(itertools.permutations(range(12), 2))).T
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    for options in ({}, {"most_bytes": 0}, {"chunk_bytes": 8}):
+        assert ngram_join.overlaps(sets, i, j, **options).tolist() == want
