@@ -631,6 +631,60 @@ def test_passages_against_brute_force(spark):
     assert share(planted, reported) > 0.95 and share(reported, planted) > 0.97
 
 
+def edited(words: list[str], every: int, name: str) -> list[str]:
+    """Every ``every``-th word replaced by one that occurs nowhere else."""
+    return [f"{name}{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+def seeds_of(text: str) -> dict[int, int]:
+    """Place of each seed of a text."""
+    hashes = substring_dedup.windows(substring_dedup.word_hashes(text.encode().split()), 5)
+    return {int(hashes[p]): int(p) for p in substring_dedup.minimizers(hashes, 12)}
+
+
+def around(run: list[str], name: str, text: str) -> list[str]:
+    """Texts that hold the run between unlike words, so many that each seed of ``text`` in the run is a seed of one of them."""
+    wanted, texts = {s for s, p in seeds_of(text).items() if text.split(" ")[p : p + 5] in [run[i : i + 5] for i in range(len(run) - 4)]}, []
+    for k in itertools.count():
+        if not wanted:
+            return texts
+        words = f"{unlike(f'{name}a{k}x', 30)} {' '.join(run)} {unlike(f'{name}b{k}x', 30)}"
+        if chosen := wanted & set(seeds_of(words)):
+            wanted -= chosen
+            texts.append(words)
+
+
+def test_a_partner_behind_other_holders_of_every_seed_is_found(spark):
+    source = unlike("w", 200).split(" ")
+    runs = [source[i : i + 11] for i in range(0, 180, 12)]
+    copy = f"{unlike('u', 30)} {' '.join(edited(source, 12, 'new'))} {unlike('v', 30)}"
+    early, late = ([t for i, run in enumerate(runs) for t in around(run, f"{name}{i}y", copy)] for name in "el")
+    rows = [*enumerate(early), (1000, f"{unlike('s', 40)} {' '.join(source)} {unlike('t', 40)}"), *enumerate(late, 2000)]
+    rows += [(5000, copy), (5001, copy), (5002, copy)]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).where("doc_id >= 5000").collect()
+    assert covered(got, 60, 200, 5000) == 1 and {x.other_doc_id for x in got if x.doc_id == 5000} == {1000} and covered(got, 0, 29, 5000) == 0
+    assert sorted((x.doc_id, x.start_word, x.end_word, x.other_doc_id, x.identity) for x in got if x.doc_id > 5000) == [(5001, 0, 260, 5000, 1.0), (5002, 0, 260, 5000, 1.0)]
+
+
+def test_a_place_behind_other_occurrences_of_every_seed_is_found(spark):
+    source = unlike("w", 200).split(" ")
+    copy = f"{unlike('u', 30)} {' '.join(edited(source, 12, 'new'))} {unlike('v', 30)}"
+    alone = [t for i in range(180, -1, -12) for t in around(source[i : i + 11], f"e{i}y", copy)]
+    holder = " ".join([*alone * 3, " ".join(source), *alone])
+    got = substring_dedup.repeated_passages(frame(spark, [(1, holder), (2, copy), (10, f"{holder} {copy}")])).collect()
+    n, end = len(" ".join(alone * 3).split(" ")), len(f"{holder} {copy}".split(" "))
+    assert covered(got, 60, 200, 2) == 1 and all(n <= x.other_start_word < n + 200 for x in got if x.doc_id == 2)
+    assert covered(got, end - 260, end, 10) == 1
+
+
+def test_words_between_passages_of_other_holders_are_found(spark):
+    left, right, middle = unlike("l", 60), unlike("r", 60), unlike("w", 60).split(" ")
+    rows = [(i, f"{unlike(f'a{i}x', 40)} {side} {unlike(f'b{i}x', 40)}") for i, side in [(1, left), (2, right), (4, left), (5, right)]]
+    rows += [(3, f"{left} {' '.join(middle)} {right}"), (6, f"{left} {' '.join(edited(middle, 5, 'new'))} {right}")]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).where("doc_id = 6").collect()
+    assert covered(got, 0, 180, 6) == 1
+
+
 def test_chains_equal_the_quadratic_version():
     r = random.Random(10)
     for _ in range(50):
