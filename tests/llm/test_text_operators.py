@@ -685,6 +685,42 @@ def test_words_between_passages_of_other_holders_are_found(spark):
     assert covered(got, 0, 180, 6) == 1
 
 
+def places_of(spark, texts):
+    """Seeds and places of texts as the tables of ``pairs_in_doubt``, each text one region."""
+    asked = [(s, d, 0, x) for d, text in enumerate(texts) for x, s in text]
+    holders = []
+    for d, text in enumerate(texts):
+        for seed in {s for _, s in text}:
+            at = [x for x, s in text if s == seed]
+            holders.append((seed, d, at[0], np.array(at[1:], "i4").tobytes() if at[1:] else None))
+    return spark.createDataFrame(asked, "seed long, doc_id long, region int, x int"), spark.createDataFrame(holders, "seed long, other long, pos int, more binary")
+
+
+def test_every_pair_with_a_chain_meets(spark):
+    r = random.Random(52)
+    texts = []
+    for _ in range(40):
+        at = list(itertools.accumulate(r.choice([1, 2, 5, 12, 40, 90]) for _ in range(r.randrange(1, 9))))
+        texts.append([(x, r.choice([1, 2, 3, r.randrange(4, 40)])) for x in at])
+    wanted = set()
+    for d, text in enumerate(texts):
+        for other in range(d + 1):
+            points = sorted((x, y) for x, s in text for y, z in texts[other] if s == z and (other < d or y < x))
+            if points and any(c[1] - c[0] >= 11 for c in substring_dedup.chains(*np.array(points).T, 12, 0.2)):
+                wanted.add((d, other))
+    assert 100 < len(wanted) < 800 and any(d == other for d, other in wanted)
+    asked, holders = places_of(spark, texts)
+    for few in (0, 12, 1000):
+        got = {(x.doc_id, x.other) for x in substring_dedup.pairs_in_doubt(asked, holders, 60.0, 11, few).collect()}
+        assert wanted <= got, few
+
+
+def test_a_common_short_line_makes_no_pairs(spark):
+    asked, holders = places_of(spark, [[(50, 1), (57, 2), (80, 1000 + d // 2), (95, 2000 + d // 2)] for d in range(300)])
+    got = {(x.doc_id, x.other) for x in substring_dedup.pairs_in_doubt(asked, holders, 60.0, 11, 50).collect()}
+    assert got == {(d, d - 1) for d in range(1, 300, 2)}
+
+
 def test_chains_equal_the_quadratic_version():
     r = random.Random(10)
     for _ in range(50):
