@@ -5,7 +5,9 @@ if the merged group is small enough. Here each round every group names its best
 groups name is decided at once. Group sizes and unions only grow, so a pair that doesn't fit now never will, and no decision
 taken elsewhere in the round could have come between: the result is the one of the one-by-one pass.
 
-Once no more than ``finish_rows`` pairs are open, one task decides the rest in order; that bound is a parameter and doesn't grow with the data.
+Such rounds can be many: where weights are equal the ids decide, and a path of rising ids is decided pair by pair. So the bound on output nodes, which takes two
+sizes a pair, is decided in slices instead: the best ``slice_rows`` open pairs are what the one-by-one pass would take next, and one task decides
+them in order; that bound is a parameter and doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphbatch.functions.lineage import cut
+from graphbatch.functions.lineage import cut, cut_and_observe
 from graphbatch.operators.influence import DIGITS
 from graphbatch.operators.prep import sorted_rank
 
@@ -61,20 +63,28 @@ def _moved(groups: DataFrame, moves: DataFrame) -> DataFrame:
     return groups.join(moves.select(F.col("old").alias("group_id"), "new"), "group_id", "left").select("node_id", F.coalesce("new", "group_id").alias("group_id"))
 
 
-def merge_by_outputs(pairs: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 50_000) -> DataFrame:
-    """(node_id, group_id): groups of at most ``cap`` output nodes; a group's id is its smallest node."""
+def _slice(live: DataFrame, rows: int) -> DataFrame:
+    """The first open pairs in the order of the one-by-one pass."""
+    return live.orderBy(*_best_first()).limit(rows)
+
+
+def merge_by_outputs(pairs: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 50_000, slice_rows: int = 200_000) -> DataFrame:
+    """(node_id, group_id): groups of at most ``cap`` output nodes; a group's id is its smallest node.
+
+    As long as more than ``finish_rows`` pairs are open, a round decides the best ``slice_rows`` of them one by one. Each is then inside a group or turned
+    down for good, as sizes only grow, so rounds are at most as many as slices; pairs that no longer fit leave on the way.
+    """
     groups = outputs.select("node_id", F.col("node_id").alias("group_id")).distinct()
-    live = cut(_rank(pairs))
+    live = _rank(pairs)
     while True:
         sizes = groups.groupBy("group_id").agg(F.count("*").alias("size"))
         s = lambda g: sizes.select(F.col("group_id").alias(g), F.col("size").alias(f"s_{g}"))  # noqa: E731,B023
-        live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= cap))
-        left = live.count()
-        if left == 0:
+        live, seen = cut_and_observe(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= cap), "open", left=F.count(F.lit(1)))
+        if seen["left"] == 0:
             return groups
-        if left <= finish_rows:
+        if seen["left"] <= finish_rows:
             return _moved(groups, _finish(live, cap))
-        moves = cut(_dominant(live).select(F.greatest("gi", "gj").alias("old"), F.least("gi", "gj").alias("new")))
+        moves = cut(_finish(_slice(live, slice_rows), cap).where("old <> new"))
         groups = cut(_moved(groups, moves))
         live = _renamed(live.drop("s_gi", "s_gj"), moves)
 
@@ -93,11 +103,11 @@ def _finish(live: DataFrame, cap: int) -> DataFrame:
                 g = parent[g]
             return g
 
-        for r in rows.itertuples():
-            for g, n in ((r.gi, r.s_gi), (r.gj, r.s_gj)):
+        for gi, gj, s_gi, s_gj in zip(*(rows[c].tolist() for c in ("gi", "gj", "s_gi", "s_gj")), strict=True):
+            for g, n in ((gi, s_gi), (gj, s_gj)):
                 parent.setdefault(g, g)
                 size.setdefault(g, n)
-            a, b = sorted((root(r.gi), root(r.gj)))
+            a, b = sorted((root(gi), root(gj)))
             if a != b and size[a] + size[b] <= cap:
                 parent[b], size[a] = a, size[a] + size[b]
         yield pd.DataFrame({"old": list(parent), "new": [root(g) for g in parent]})

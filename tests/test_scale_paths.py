@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphbatch.functions.lineage import scratch_path
 from graphbatch.operators import batches as B
 from graphbatch.operators import influence as P
+from graphbatch.operators import merge as M
 from graphbatch.operators import ordering as O
 from graphbatch.operators import partition as D
 from graphbatch.operators import prep as G
@@ -97,6 +98,16 @@ def test_pushed_sets_keep_their_bound(spark):
         assert (gap >= -1e-12).all() and (gap <= 1e-3 / 0.25).all()
 
 
+def test_equal_weights_merge_in_a_few_slices(spark, monkeypatch):
+    """A path of equal weights: the ids decide, so that one pair a round is the best of both its groups."""
+    n, rounds = 60, []
+    pairs = spark.createDataFrame([(v + 1, v, 0.5) for v in range(n - 1)], "i long, j long, weight double")
+    sliced = M._slice
+    monkeypatch.setattr(M, "_slice", lambda live, rows: rounds.append(1) or sliced(live, rows))
+    got = {r.node_id: r.group_id for r in M.merge_by_outputs(pairs, ids_df(spark, range(n)), 7, finish_rows=0, slice_rows=20).collect()}
+    assert got == {v: v // 7 * 7 for v in range(n)} and len(rounds) <= 3
+
+
 def test_numbers_are_drawn_without_replacement(spark):
     df = spark.range(6000).select("id", (F.col("id") % 6).alias("deg"))
     from graphbatch.functions.hashing import hash_uniform
