@@ -202,35 +202,65 @@ def pack_small_groups(groups: DataFrame, cap: int, buckets: int = 256) -> DataFr
     return _moved(groups, ends.join(names, ["size", "place"]).select("old", "new"))
 
 
-def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 200_000) -> DataFrame:
+def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap: int, finish_rows: int = 200_000, slice_rows: int = 200_000) -> DataFrame:
     """(node_id, group_id): as ``merge_by_outputs``, the bound being on the union of the groups' neighbour sets.
 
     A pair whose set sizes add up to more than int(cap 1.0005) is turned down at once, and one whose sizes add up to ``cap`` at most fits whatever the
-    sets share. Only for dominant pairs in between is the size of the union counted, by a join of their sets. Once at most ``finish_rows`` pairs
-    are open, each connected component of them with at most ``finish_rows`` rows of sets is decided in a task of its own; larger ones go on in rounds.
+    sets share. The best ``slice_rows`` open pairs are decided before all others, as the one-by-one pass would (``_merge_open``).
     """
     groups = outputs.select("node_id", F.col("node_id").alias("group_id")).distinct()
     sets = cut(neighbors.select(F.col("source").alias("g"), "node").join(outputs.select(F.col("node_id").alias("g")).distinct(), "g", "left_semi").distinct())
-    quick, live = int(cap * 1.0005), cut(_rank(pairs))
+    quick, live = int(cap * 1.0005), _rank(pairs)
+    while True:
+        live, seen = cut_and_observe(_fitting(live, sets, quick), "open", left=F.count(F.lit(1)))
+        if seen["left"] == 0:
+            return groups
+        if seen["left"] <= slice_rows:
+            return _moved(groups, _merge_open(live, sets, cap, quick, finish_rows))
+        part, place = cut(_slice(live, slice_rows)), F.struct((-F.col("w")).alias("w"), "i", "j")
+        moves = cut(_merge_open(part, sets, cap, quick, finish_rows).where("old <> new"))
+        groups = cut(_moved(groups, moves))
+        sets = cut(_joined(sets, moves))
+        # All pairs of the slice are decided; those that were turned down may still look as if they fit.
+        after = live.crossJoin(F.broadcast(part.agg(F.max(place).alias("last")))).where(place > F.col("last"))  # one row
+        live = _renamed(after.drop("s_gi", "s_gj", "last"), moves)
+
+
+def _fitting(live: DataFrame, sets: DataFrame, quick: int) -> DataFrame:
+    sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
+    s = lambda g: sizes.select(F.col("g").alias(g), F.col("size").alias(f"s_{g}"))
+    return live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= quick)
+
+
+def _joined(sets: DataFrame, moves: DataFrame) -> DataFrame:
+    return sets.join(moves.withColumnRenamed("old", "g"), "g", "left").select(F.coalesce("new", "g").alias("g"), "node").distinct()
+
+
+def _merge_open(live: DataFrame, sets: DataFrame, cap: int, quick: int, finish_rows: int) -> DataFrame:
+    """(old, new) group ids after deciding all pairs of ``live``, whose number the caller bounds.
+
+    Once at most ``finish_rows`` pairs are open, each connected component of them with at most ``finish_rows`` rows of sets is decided in a task of its own; larger
+    ones go on in rounds. Only for dominant pairs whose sizes leave doubt is the size of the union counted, by a join of their sets.
+    """
+    first = live.select(F.explode(F.array("gi", "gj")).alias("g")).distinct()
+    groups, sets = first.select(F.col("g").alias("node_id"), F.col("g").alias("group_id")), sets.join(first, "g", "left_semi")
+    named = lambda: groups.select(F.col("node_id").alias("old"), F.col("group_id").alias("new"))
     while True:
-        sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
-        s = lambda g: sizes.select(F.col("g").alias(g), F.col("size").alias(f"s_{g}"))  # noqa: E731,B023
-        live = cut(live.join(s("gi"), "gi").join(s("gj"), "gj").where(F.col("s_gi") + F.col("s_gj") <= quick))
         left = live.count()
         if left == 0:
-            return groups
+            return named()
         if left <= finish_rows:
             ends = cut(_components(live))
             open_sets = cut(sets.join(ends, "g"))
             large = cut(open_sets.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > finish_rows).select("component"))
             parts = live.join(ends.withColumnRenamed("g", "gi"), "gi")
             done = _finish_aux(parts.join(large, "component", "left_anti"), open_sets.join(large, "component", "left_anti"), cap, quick)
+            groups = _moved(groups, done)
             if large.isEmpty():
-                return _moved(groups, done)
-            groups = cut(_moved(groups, done))
+                return named()
+            groups = cut(groups)
             live = cut(parts.join(large, "component", "left_semi").drop("component"))
-        top = cut(_dominant(live).join(s("gi"), "gi").join(s("gj"), "gj"))
-        total = F.col("s_gi") + F.col("s_gj")
+        top, total = cut(_dominant(live).join(live.select("i", "j", "s_gi", "s_gj"), ["i", "j"])), F.col("s_gi") + F.col("s_gj")
         if quick > cap:
             unsure = top.where(total > cap).select("gi", "gj")
             both = unsure.join(sets.withColumnRenamed("g", "gi"), "gi").join(sets.withColumnRenamed("g", "gj"), ["gj", "node"]).groupBy("gi", "gj").agg(F.count("*").alias("shared"))
@@ -239,10 +269,10 @@ def merge_by_aux(pairs: DataFrame, neighbors: DataFrame, outputs: DataFrame, cap
             top = top.withColumn("fits", F.lit(True))
         moves = top.where("fits").select(F.greatest("gi", "gj").alias("old"), F.least("gi", "gj").alias("new"))
         groups = cut(_moved(groups, moves))
-        sets = cut(sets.join(moves.withColumnRenamed("old", "g"), "g", "left").select(F.coalesce("new", "g").alias("g"), "node").distinct())
+        sets = cut(_joined(sets, moves))
         # A pair that was turned down stays so; parallel pairs of the same two groups go with it.
         live = live.drop("s_gi", "s_gj").join(top.where("NOT fits").select("gi", "gj"), ["gi", "gj"], "left_anti")
-        live = cut(_renamed(live, moves))
+        live = cut(_fitting(_renamed(live, moves), sets, quick))
 
 
 def _components(live: DataFrame) -> DataFrame:
@@ -266,22 +296,30 @@ def _components(live: DataFrame) -> DataFrame:
     return live.select("gi", "gj").coalesce(1).mapInPandas(connect, "g long, component long")
 
 
-def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataFrame:
-    """(old, new) group ids after deciding the open pairs of each component one by one; the caller bounds both tables of a component."""
-    none = F.lit(None)
-    rows = live.select("component", "i", "j", "w", "gi", "gj").union(sets.select("component", "node", none.cast("long"), none.cast("double"), "g", none.cast("long")))
+def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int, lanes: int = 200) -> DataFrame:
+    """(old, new) group ids after deciding the open pairs of each component one by one; the caller bounds both tables of a component.
+
+    Components share ``lanes`` by hash, for most of them hold a few pairs only; what is open in one changes nothing in another.
+    """
+    none, lane = F.lit(None), F.pmod(F.xxhash64("component"), F.lit(lanes)).alias("lane")
+    rows = live.select(lane, "i", "j", "w", "gi", "gj").union(sets.select(lane, "node", none.cast("long"), none.cast("double"), "g", none.cast("long")))
 
     def decide(every: pd.DataFrame) -> pd.DataFrame:
-        aux = {int(g): set(part["i"].astype("i8")) for g, part in every[every["gj"].isna()].groupby("gi")}
+        aux: dict[int, set[int]] = {}
+        held = every[every["gj"].isna()]
+        for g, node in zip(held["gi"].tolist(), held["i"].tolist(), strict=True):
+            aux.setdefault(g, set()).add(node)
         parent, refused = {g: g for g in aux}, set()
 
         def root(g: int) -> int:
             while parent[g] != g:
+                parent[g] = parent[parent[g]]
                 g = parent[g]
             return g
 
-        for r in every[every["gj"].notna()].sort_values(["w", "i", "j"], ascending=[False, True, True]).itertuples():
-            a, b = sorted((root(int(r.gi)), root(int(r.gj))))
+        pairs = every[every["gj"].notna()].sort_values(["w", "i", "j"], ascending=[False, True, True])
+        for gi, gj in zip(pairs["gi"].tolist(), pairs["gj"].astype("i8").tolist(), strict=True):
+            a, b = sorted((root(gi), root(gj)))
             if a == b or (a, b) in refused:
                 continue
             if len(aux[a]) + len(aux[b]) <= quick and len(union := aux[a] | aux[b]) <= cap:
@@ -289,9 +327,9 @@ def _finish_aux(live: DataFrame, sets: DataFrame, cap: int, quick: int) -> DataF
                 del aux[b]
             else:
                 refused.add((a, b))
-        return pd.DataFrame({"old": list(parent), "new": [root(g) for g in parent]})
+        return pd.DataFrame({"old": list(parent), "new": [root(g) for g in parent]}, dtype="i8")
 
-    return rows.groupBy("component").applyInPandas(decide, "old long, new long")
+    return rows.groupBy("lane").applyInPandas(decide, "old long, new long")
 
 
 def _chain(sets: DataFrame, ranked: DataFrame, cap: int) -> tuple[int, int | None, int]:

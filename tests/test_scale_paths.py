@@ -21,7 +21,7 @@ from graphbatch.operators import scoring as N
 from graphbatch.plans import fixtures as X
 from graphbatch.plans import workloads as W
 from graphbatch.sources import io as S
-from tests.test_operators import edges_df, exact_ppr, graph, ids_df
+from tests.test_operators import edges_df, exact_ppr, graph, greedy, ids_df, pairs_of
 
 
 def cut_share(edges, parts) -> tuple[float, list[int]]:
@@ -108,6 +108,18 @@ def test_equal_weights_merge_in_a_few_slices(spark, monkeypatch):
     assert got == {v: v // 7 * 7 for v in range(n)} and len(rounds) <= 3
 
 
+@pytest.mark.parametrize(("cap", "finish"), [(14, 200_000), (14, 40), (2000, 200_000)])
+def test_slices_merge_sets_like_the_greedy_pass(spark, cap, finish):
+    pairs, r = pairs_of(9), random.Random(2)
+    aux = {v: {r.randrange(60) for _ in range(6)} for v in range(30)}
+    if cap == 2000:  # unions of sizes just above the cap: turned down, or not, though they look as if they fit
+        aux |= {pairs[0][0]: set(range(1000)), pairs[0][1]: set(range(999, 2000)), pairs[1][0]: set(range(1000)), pairs[1][1]: set(range(5000, 6001))}
+    want = greedy(30, pairs, lambda a, b: len(a) + len(b) <= int(cap * 1.0005) and len(a | b) <= cap, lambda a, b: set(aux[b]) if a is None else a | b)
+    near = spark.createDataFrame([(s, v) for s, a in aux.items() for v in a], "source long, node long")
+    got = M.merge_by_aux(spark.createDataFrame(pairs, "i long, j long, weight double"), near, ids_df(spark, range(30)), cap, finish_rows=finish, slice_rows=25)
+    assert {x.node_id: x.group_id for x in got.collect()} == want
+
+
 def test_numbers_are_drawn_without_replacement(spark):
     df = spark.range(6000).select("id", (F.col("id") % 6).alias("deg"))
     from graphbatch.functions.hashing import hash_uniform
