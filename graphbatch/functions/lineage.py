@@ -33,9 +33,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_and_observe(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """A written table of the rows, and aggregates over them that the writing itself yields: one job for both."""
+    path, told = write_observed(df, label, None, **metrics)
+    return df.sparkSession.read.schema(df.schema).parquet(path), told
+
+
+def write_observed(df: DataFrame, label: str, by: list[str] | None, **metrics: Column) -> tuple[str, dict]:
+    """(folder, aggregates): as ``cut_and_observe``, with a folder a value of the columns ``by``."""
     told, path = Observation(), scratch_path(df.sparkSession, label)
-    df.observe(told, *(c.alias(name) for name, c in metrics.items())).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), told.get
+    df.observe(told, *(c.alias(name) for name, c in metrics.items())).write.parquet(path, partitionBy=by)
+    return path, told.get
+
+
+def write_out(df: DataFrame, label: str) -> DataFrame:
+    """A written table of the rows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Deletes the files of written tables that nothing reads any more, so that a loop holds no more than its last state."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def write_bucketed(df: DataFrame, label: str, column: str | list[str], shuffle: bool = True) -> DataFrame:

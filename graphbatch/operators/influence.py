@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphbatch.functions.lineage import cut, cut_and_observe, write_bucketed
+from graphbatch.functions.lineage import cut, cut_and_observe, drop_written, write_bucketed, write_observed, write_out
 
 DIGITS = 12
 
@@ -42,21 +44,108 @@ def along_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return dealt.join(blocks, ["node", "block"]).withColumn("end", F.explode("ends")).drop("ends", "block", "node")
 
 
-def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: float = 2e-4, per_block: int = 1024, per_slice: int = 1_000_000) -> DataFrame:
+def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: float = 2e-4, per_block: int = 1024, per_slice: int = 1_000_000, per_lane: int = 1000, wide: int = 10_000) -> DataFrame:
     """(source, node, score) of the nodes that were pushed.
 
     Rounds in step: every (source, node) with residual of at least alpha eps deg(node) moves it to its score and sends
     (1 - alpha) residual / deg to each neighbour; a source is always pushed once. At the end 0 <= exact - score <= eps deg(node).
-    A round moves open residuals only: what was pushed is set aside and summed once at the end. Neighbours lie in blocks (``adjacency_blocks``) that carry the
-    bound of each end, and sources go in hash slices of about ``per_slice``, so a task joins at most a block's ends with a slice's sources, also at a hub.
-    Residuals meet per (source, node) by partial sums before the shuffle. Each round is one written table.
+
+    What one source sends is bounded: a node is pushed only for a share of the mass that goes with its degree, so the degrees of all pushes add up to
+    1 / (alpha eps) at most, besides the source's own. So sources go in lanes of at most ``per_lane`` (or ``per_slice``, if that is less), and a task takes a
+    lane's sources through the rounds with the neighbours it was given (``_lane``). Where a source would push a node whose neighbours its lane lacks, the
+    lane asks for them, and for those of nodes at half their bound; they are fetched for all lanes by one join, and these sources start again. Fetches are about as many
+    as steps that pushes reach from a source, not as many as rounds. Sources of more than ``wide`` neighbours, and all of them if the bound is above fifty times that, are
+    pushed by joins of each round instead (``_push_by_joins``).
     """
     links = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"))
-    limits = links.groupBy("node").agg((F.lit(alpha * eps) * F.count("*")).alias("limit"))
-    blocks, spread = adjacency_blocks(links, limits.withColumnRenamed("node", "other"), per_block)
-    known = sources.select(F.col("node_id").alias("source")).distinct().join(spread.withColumnRenamed("node", "source"), "source")
-    first = cut(known.select("source", F.col("source").alias("node"), F.lit(float(alpha)).alias("r"), F.lit(0.0).alias("limit"), "deg", "blocks"))
-    slices, pushed, degree = max(1, -(-first.count() // per_slice)), [], spread.select("node", "deg")
+    blocks, spread = adjacency_blocks(links, links.groupBy(F.col("node").alias("other")).agg(F.count("*").alias("deg")), per_block)
+    known = cut(sources.select(F.col("node_id").alias("source")).distinct().join(spread.withColumnRenamed("node", "source"), "source"))
+    near = F.col("deg") <= (wide if alpha * eps * 50 * wide >= 1 else 0)
+    n_near, n_far = known.agg(F.count(F.when(near, 1)), F.count(F.when(~near, 1))).first()
+    scores = [_push_in_lanes(known.where(near), n_near, blocks, alpha, eps, min(per_lane, per_slice))] if n_near or not n_far else []
+    if n_far:
+        scores.append(_push_by_joins(known.where(~near), n_far, blocks, spread, alpha, eps, per_slice))
+    return functools.reduce(DataFrame.unionByName, scores)
+
+
+def _push_in_lanes(known: DataFrame, n: int, blocks: DataFrame, alpha: float, eps: float, per_lane: int) -> DataFrame:
+    spark, lanes = known.sparkSession, max(1, -(-n // per_lane))
+    left = known.select(F.pmod(F.xxhash64("source"), F.lit(lanes)).cast("int").alias("lane"), F.col("source").alias("a"), F.col("deg").alias("b"), F.col("blocks").alias("c"))
+    asked, scores, fetched, n_open = left, [], [], 1
+    while n_open:
+        dealt = asked.select("lane", F.col("a").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("block"))
+        rows = dealt.join(blocks, ["node", "block"]).groupBy("lane").agg(F.collect_list(F.struct("node", "ends")).alias("e"))  # what a lane holds is bounded
+        ends = [F.flatten(F.transform("e", lambda x: x["ends"][c])).alias(c) for c in ("other", "deg", "blocks")]  # noqa: B023
+        fetched.append(write_out(rows.select("lane", F.col("e.node").alias("node"), F.transform("e", lambda x: F.size(x["ends"])).alias("size"), *ends), "fetched"))
+        there = functools.reduce(DataFrame.unionByName, fetched)
+        told = left.groupBy("lane").cogroup(there.groupBy("lane")).applyInPandas(functools.partial(_lane, alpha=alpha, eps=eps), "kind int, lane int, a long, b long, c int, score double")
+        path, seen = write_observed(told, "lanes", ["kind"], n_done=F.count(F.when(F.col("kind") == 0, 1)), n_open=F.count(F.when(F.col("kind") == 1, 1)))
+        of = lambda kind: spark.read.schema("lane int, a long, b long, c int, score double").parquet(f"{path}/kind={kind}")  # noqa: E731,B023
+        if seen.get("n_done"):
+            scores.append(of(0).select(F.col("a").alias("source"), F.col("b").alias("node"), "score"))
+        n_open = seen.get("n_open", 0)
+        if n_open:
+            left, asked = of(1), of(2)
+    drop_written(spark, fetched)
+    if not scores:
+        return spark.createDataFrame([], "source long, node long, score double")
+    return functools.reduce(DataFrame.unionByName, scores)
+
+
+def _lane(key: tuple, own: pd.DataFrame, near: pd.DataFrame, alpha: float, eps: float) -> pd.DataFrame:
+    """Rows by kind: 0 the scores (source, node) of the sources that came to their end, 1 the sources that stopped, 2 nodes whose neighbours they lack (with degree and blocks)."""
+    own, flat = own.sort_values("a"), lambda c: np.concatenate([*near[c], np.zeros(0, "i8")]).astype("i8")
+    src, at, lengths, other = own["a"].to_numpy("i8"), flat("node"), flat("size"), flat("other")
+    ids, first, ends = np.unique(np.concatenate([src, other]), return_index=True, return_inverse=True)
+    deg, n_blocks = (np.concatenate([own[c].to_numpy("i8"), flat(x)])[first] for c, x in (("b", "deg"), ("c", "blocks")))
+    ends = ends[len(src) :]
+    held = np.minimum(np.searchsorted(ids, at), max(0, len(ids) - 1))
+    used = ids[held] == at if len(ids) else np.zeros(0, bool)  # some were fetched for sources that came to their end
+    ends, held = ends[np.repeat(used, lengths)], held[used]
+    order = np.argsort(np.repeat(held, lengths[used]), kind="stable")
+    ends, size, limit = ends[order], np.bincount(held, lengths[used], len(ids)).astype("i8"), alpha * eps * deg
+    start, lacks = np.cumsum(size) - size, np.ones(len(ids), bool)
+    lacks[held] = False
+
+    u = np.searchsorted(ids, src)
+    keys, r, p = np.arange(len(src)) * len(ids) + u, np.full(len(src), float(alpha)), np.zeros(len(src))
+    i = np.flatnonzero(~lacks[u])
+    while len(i):
+        s, u = np.divmod(keys[i], len(ids))
+        sent = (1 - alpha) * r[i] / deg[u]
+        p[i] += r[i]
+        r[i] = 0.0
+        n = size[u]
+        to = ends[np.arange(n.sum()) + np.repeat(start[u] - (np.cumsum(n) - n), n)]
+        new, code = np.unique(np.repeat(s, n) * len(ids) + to, return_inverse=True)
+        got, place = np.bincount(code, np.repeat(sent, n), len(new)), np.searchsorted(keys, new)
+        fresh = place == len(keys)
+        fresh[~fresh] = keys[place[~fresh]] != new[~fresh]
+        r[place[~fresh]] += got[~fresh]
+        if fresh.any():
+            keys, r, p = np.insert(keys, place[fresh], new[fresh]), np.insert(r, place[fresh], got[fresh]), np.insert(p, place[fresh], 0.0)
+            place += np.cumsum(fresh) - fresh
+        u = new % len(ids)
+        i = place[(r[place] >= limit[u]) & ~lacks[u]]  # only what was sent to can have come above its bound
+    s, u = np.divmod(keys, len(ids))
+    stopped = np.zeros(len(src), bool)
+    stopped[s[lacks[u] & (r >= limit[u])]] = True  # what waits at a node without neighbours only grows, so the others came to their end
+    done, asked = (p > 0) & ~stopped[s], np.unique(u[lacks[u] & stopped[s] & (r >= limit[u] / 2)])
+    frame = lambda kind, a, b, c, score: pd.DataFrame({"kind": kind, "lane": key[0], "a": a, "b": b, "c": c, "score": score})
+    return pd.concat([
+        frame(0, src[s[done]], ids[u[done]], 0, p[done]),
+        frame(1, src[stopped], own["b"].to_numpy()[stopped], own["c"].to_numpy()[stopped], 0.0),
+        frame(2, ids[asked], deg[asked], n_blocks[asked], 0.0),
+    ]).astype({"kind": "i4", "lane": "i4", "a": "i8", "b": "i8", "c": "i4", "score": "f8"})
+
+
+def _push_by_joins(known: DataFrame, n: int, blocks: DataFrame, spread: DataFrame, alpha: float, eps: float, per_slice: int) -> DataFrame:
+    """A round moves open residuals only: what was pushed is set aside and summed once at the end. Neighbours lie in blocks (``adjacency_blocks``) that carry the
+    degree of each end, and sources go in hash slices of about ``per_slice``, so a task joins at most a block's ends with a slice's sources, also at a hub.
+    Residuals meet per (source, node) by partial sums before the shuffle. Each round is one written table.
+    """
+    first = known.select("source", F.col("source").alias("node"), F.lit(float(alpha)).alias("r"), F.lit(0.0).alias("limit"), "deg", "blocks")
+    slices, pushed, degree = max(1, -(-n // per_slice)), [], spread.select("node", "deg")
     for k in range(slices):
         state, n_active = first.where(F.pmod(F.xxhash64("source"), F.lit(slices)) == k).drop("deg"), 1
         while n_active:
@@ -64,7 +153,7 @@ def ppr_push(edges: DataFrame, sources: DataFrame, alpha: float = 0.25, eps: flo
             moved = state.where(active)
             pushed.append(moved.select("source", "node", "r"))
             sent = along_blocks(moved.join(degree, "node").select("source", "node", ((1 - alpha) * F.col("r") / F.col("deg")).alias("r"), "blocks"), blocks)
-            sent = sent.select("source", F.col("end.other").alias("node"), "r", F.col("end.limit").alias("limit"), F.col("end.blocks").alias("blocks"))
+            sent = sent.select("source", F.col("end.other").alias("node"), "r", (F.lit(alpha * eps) * F.col("end.deg")).alias("limit"), F.col("end.blocks").alias("blocks"))
             merged = state.where(~active).unionByName(sent).groupBy("source", "node").agg(F.sum("r").alias("r"), F.max("limit").alias("limit"), F.max("blocks").alias("blocks"))
             state, seen = cut_and_observe(merged, "push", n_active=F.count(F.when(active, 1)))
             n_active = seen["n_active"]

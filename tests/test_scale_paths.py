@@ -75,6 +75,18 @@ def test_blocks_and_slices_of_a_hub_change_nothing(spark, per_block, per_slice):
         assert (exact - p >= -1e-12).all() and (exact - p <= 1e-4 * deg + 1e-12).all()
 
 
+def test_lanes_push_like_joins_with_fewer_tables(spark, monkeypatch):
+    n, links = graph(4)
+    edges, sources, written = edges_df(spark, links | {(v, (v + 1) % 40) for v in range(40)}), ids_df(spark, range(0, 40, 3)), []
+    for name in ("write_observed", "cut_and_observe"):
+        monkeypatch.setattr(P, name, lambda *a, f=getattr(P, name), **b: written.append(1) or f(*a, **b))
+    push = lambda **k: {(r.source, r.node): r.score for r in P.ppr_push(edges, sources, 0.25, 1e-3, **k).collect()}
+    lanes = push(per_lane=4)
+    fetches, joined, mixed = len(written), push(wide=0), push(per_lane=4, wide=4)
+    assert lanes.keys() == joined.keys() == mixed.keys() and all(abs(lanes[k] - joined[k]) < 1e-12 and abs(mixed[k] - joined[k]) < 1e-12 for k in lanes)
+    assert fetches * 2 < len(written) - fetches
+
+
 def test_no_block_holds_a_hub(spark):
     links = edges_df(spark, {(0, v) for v in range(1, 1000)} | {(v, 0) for v in range(1, 1000)}).select(F.col("src").alias("node"), F.col("dst").alias("other"))
     blocks, spread = P.adjacency_blocks(links, None, 50)
