@@ -7,6 +7,7 @@ graph, (batch_id, node_id) for subgraphs of batches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphbatch.functions.lineage import cut
+from graphbatch.functions.lineage import cut, cut_and_observe
 from graphbatch.functions.vectors import sum_vectors
 
 NORM_EPS = 1e-5
@@ -38,15 +39,22 @@ def aggregate_mean(adj: DataFrame, x: DataFrame, batch: tuple[str, ...] = ()) ->
     return total.select(*batch, "node_id", F.transform("vec", lambda v: v / F.col("n")).alias("x"))
 
 
-def grid_blocks(adj: DataFrame, rows: int, cols: int, weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+def grid_blocks(adj: DataFrame, rows: int, cols: int, weight: str = "weight", largest: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(grid, needed): the adjacency as a grid of blocks, each with arrays of its entries, and which row blocks need the vector of each node.
 
     Sources fall into ``rows`` and targets into ``cols`` groups by hash, so a hub's entries are spread over a whole row or column of
-    blocks; entries / (rows cols) is what a task holds. grid is (rb, cb, r, c, w), needed (dst, cb, rb). The weight may be one number or an array, one a head. Both are
-    written once and serve all layers.
+    blocks. Where that gives blocks of more than ``largest`` entries, both are multiplied until they hold fewer on average, and a block that still holds more (a hub's) falls into several by
+    a hash of the entry, so a task holds about ``largest`` entries however many there are. grid is (rb, cb, r, c, w), needed (dst, cb, rb); a block that falls into several
+    has as many column numbers. The weight may be one number or an array, one a head. Both are written once and serve all layers.
     """
+    entries, seen = cut_and_observe(adj.select("src", "dst", F.col(weight).alias("w")), "entries", n=F.count(F.lit(1)))
+    times = max(1, math.ceil(math.sqrt((seen.get("n") or 0) / (rows * cols * largest))))
+    rows, cols = rows * times, cols * times
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    entries = cut(adj.select(place("src", rows).alias("rb"), place("dst", cols).alias("cb"), "src", "dst", F.col(weight).alias("w")))
+    entries = entries.select(place("src", rows).alias("rb"), place("dst", cols).alias("cb"), "src", "dst", "w")
+    pieces = entries.groupBy("rb", "cb").agg(F.ceil(F.count("*") / largest).cast("int").alias("pieces"))  # one row a block
+    piece = F.pmod(F.xxhash64("src", "dst"), F.col("pieces")).cast("int")
+    entries = cut(entries.join(F.broadcast(pieces), ["rb", "cb"]).select("rb", (F.col("cb") + piece * cols).alias("cb"), "src", "dst", "w"))
     packed = entries.groupBy("rb", "cb").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "w"))).alias("e"))
     grid = cut(packed.select("rb", "cb", F.col("e.src").alias("r"), F.col("e.dst").alias("c"), F.col("e.w").alias("w")))
     return grid, cut(entries.select("dst", "cb", "rb").distinct())

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphbatch.functions.lineage import scratch_path
+from graphbatch.functions.lineage import scratch_path, shared_folder
 from graphbatch.operators import batches as B
 from graphbatch.operators import influence as P
 from graphbatch.operators import merge as M
@@ -87,6 +88,28 @@ def test_lanes_push_like_joins_with_fewer_tables(spark, monkeypatch):
     assert fetches * 2 < len(written) - fetches
 
 
+def test_grid_blocks_stay_small_beside_a_hub(spark):
+    links = {(0, v) for v in range(1, 400)} | {(v, 0) for v in range(1, 400)} | {(v, v + 1) for v in range(399)}
+    adj = G.normalize_adj(edges_df(spark, links))
+    x = spark.createDataFrame([(v, [float(v), 1.0, -v / 7]) for v in range(400)], "node_id long, x array<double>")
+    grid, needed = N.grid_blocks(adj, 2, 2, largest=40)
+    assert max(r["n"] for r in grid.select(F.size("r").alias("n")).collect()) < 80 and grid.agg(F.sum(F.size("r"))).first()[0] == len(links)
+    want = {r.node_id: r.x for r in N.aggregate_sum(adj, x).collect()}
+    got = {r.node_id: r.x for r in N.aggregate_grid(grid, needed, x, slice_width=2).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[v], want[v]) for v in want)
+
+
+def test_power_iteration_keeps_one_state(spark):
+    n, links = graph(2)
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.glob("power-*"))
+    adj, sets = G.normalize_adj(edges_df(spark, links)), spark.createDataFrame([(0, 1), (0, 2), (1, 5)], "batch_id long, node_id long")
+    got = {(r.batch_id, r.node): r.score for r in P.batch_ppr(adj, sets, 0.25, 12, cut_every=2).collect()}
+    assert len(set(shared.glob("power-*")) - before) == 1
+    want = {(r.batch_id, r.node): r.score for r in P.batch_ppr(adj, sets, 0.25, 12, cut_every=50).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_no_block_holds_a_hub(spark):
     links = edges_df(spark, {(0, v) for v in range(1, 1000)} | {(v, 0) for v in range(1, 1000)}).select(F.col("src").alias("node"), F.col("dst").alias("other"))
     blocks, spread = P.adjacency_blocks(links, None, 50)
